@@ -1,4 +1,4 @@
-"""Join helpers for lookup tables whose size is not known beforehand."""
+"""Size checks and join helpers for lookup tables whose size is not known beforehand."""
 
 from __future__ import annotations
 
@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from plumbline.session import settle
 
 BROADCAST_ROWS = 200_000
+SMALL_INPUT_CONF = "plumbline.smallInputBytes"
+SMALL_INPUT_BYTES = 32 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's own upper estimate, from file sizes; no job is run."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return 1 << 62
+
+
+def is_small(df: DataFrame) -> bool:
+    """True when the whole input is small enough for one task, so any group in it is too."""
+    limit = int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
+    return limit > 0 and estimated_bytes(df) <= limit
 
 
 def attach(
@@ -19,10 +35,13 @@ def attach(
 ) -> DataFrame:
     """Join a computed lookup table (statistics, thresholds) onto a large one.
 
-    The lookup is computed once and measured. Up to ``max_rows`` it is broadcast, so
-    the large side is never shuffled by a possibly hot key; beyond that a shuffled
-    join is used, which adaptive execution splits when a key is skewed.
+    A lookup computed from a small input is broadcast as it is. Any other is computed
+    once and measured: up to ``max_rows`` it is broadcast, so the large side is never
+    shuffled by a possibly hot key; beyond that a shuffled join is used, which adaptive
+    execution splits when a key is skewed.
     """
+    if is_small(lookup):
+        return df.join(F.broadcast(lookup), on, how)
     kept = settle(lookup)
     if kept.count() <= max_rows:
         kept = F.broadcast(kept)

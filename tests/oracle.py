@@ -75,9 +75,13 @@ def main(argv):
     from plumbline.session import local_session
 
     folder = f"/root/testdata/sf{argv[0]}"
+    large = "--large" in argv  # take the paths meant for inputs that are not small
+    argv = [a for a in argv if a != "--large"]
     load_all()
     picked = [n for n in QUERIES if len(argv) < 2 or any(n.startswith(a) for a in argv[1:])]
     spark = local_session(8)
+    if large:
+        spark.conf.set("plumbline.smallInputBytes", "0")
     con = duck(folder)
     failed = 0
     for name in picked:
