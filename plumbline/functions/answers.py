@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that name a class, and keyword patterns counted in prose.
@@ -43,46 +43,52 @@ def keyword_prediction(text: Column) -> Column:
     return F.when(anomaly > normal, "anomaly").when(normal > anomaly, "normal")
 
 
-def json_object(text: Column) -> Column:
-    """First of: fenced JSON, the span from the first to the last brace, the whole text - that is an object."""
-    fenced = F.nullif(F.regexp_extract(text, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
-    span = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+def parse_verifier(
+    rows: DataFrame, raw: str, fallback: str, *, fallback_to_threshold: bool = True
+) -> DataFrame:
+    """Add parse_status, prediction_text, prediction, confidence, evidence from a raw response.
 
-    def parsed(candidate: Column) -> Column:
-        value = F.try_parse_json(candidate)
-        return F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), value)
-
-    return F.coalesce(parsed(fenced), parsed(span), parsed(text))
-
-
-def verifier_response(raw: Column, fallback: Column, *, fallback_to_threshold: bool = True) -> Column:
-    """Struct of parse_status, prediction_text, prediction, confidence, evidence.
-
-    A JSON object without a usable class goes to the fallback; only texts without an
-    object are searched for keywords.
+    The object is the first of: fenced JSON, the span from the first to the last brace, the
+    whole text. An object without a usable class goes to the fallback; only texts without
+    an object are searched for keywords.
     """
-    text = F.trim(F.coalesce(raw, F.lit("")))
-    parsed = json_object(text)
+    text = F.trim(F.coalesce(F.col(raw), F.lit("")))
+    fenced = F.nullif(F.regexp_extract("_text", r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
+    span = F.nullif(F.regexp_extract("_text", r"(?s)(\{.*\})", 1), F.lit(""))
+    found = rows.withColumn("_text", text).withColumns(
+        {"_v1": F.try_parse_json(fenced), "_v2": F.try_parse_json(span), "_v3": F.try_parse_json("_text")}
+    )
 
-    def field(*names: str) -> Column:
-        values = [F.try_variant_get(parsed, f"$.{n}", "string") for n in names]
-        return F.coalesce(*[F.when(~v.isin("", "false", "0"), v) for v in values])
+    def is_object(name: str) -> Column:
+        return F.startswith(F.schema_of_variant(name), F.lit("OBJECT"))
 
-    word = F.when(parsed.isNotNull(), prediction_word(field("prediction", "label", "answer"))).otherwise(
-        keyword_prediction(text)
+    found = found.withColumn(
+        "_o", F.coalesce(*[F.when(is_object(v), F.col(v)) for v in ("_v1", "_v2", "_v3")])
+    )
+    names = ("prediction", "label", "answer", "evidence", "rationale", "confidence")
+    found = found.withColumns({f"_{n}": F.try_variant_get("_o", f"$.{n}", "string") for n in names})
+
+    def field(*options: str) -> Column:
+        return F.coalesce(*[F.when(~F.col(f"_{n}").isin("", "false", "0"), F.col(f"_{n}")) for n in options])
+
+    has_object = F.col("_o").isNotNull()
+    found = found.withColumn(
+        "_word",
+        F.when(has_object, prediction_word(field("prediction", "label", "answer"))).otherwise(
+            keyword_prediction(F.col("_text"))
+        ),
     )
-    confidence = F.try_variant_get(parsed, "$.confidence", "string").try_cast("double")
+    confidence = F.col("_confidence").try_cast("double")
     if fallback_to_threshold:
-        default_word, default_status = F.when(fallback != 0, "anomaly").otherwise("normal"), "fallback_threshold"
+        default_word, default_status = F.when(F.col(fallback) != 0, "anomaly").otherwise("normal"), "fallback_threshold"
     else:
         default_word, default_status = F.lit("unknown"), "unparsed"
-    return F.struct(
-        F.when(word.isNull(), default_status)
-        .when(parsed.isNotNull(), "json")
-        .otherwise("keyword")
-        .alias("parse_status"),
+    word = F.col("_word")
+    return found.select(
+        *rows.columns,
+        F.when(word.isNull(), default_status).when(has_object, "json").otherwise("keyword").alias("parse_status"),
         F.coalesce(word, default_word).alias("prediction_text"),
-        F.when(word.isNull(), fallback).otherwise((word == "anomaly").cast("int")).alias("prediction"),
+        F.when(word.isNull(), F.col(fallback)).otherwise((word == "anomaly").cast("int")).alias("prediction"),
         F.when(~F.isnan(confidence), confidence).alias("confidence"),
         F.substring(F.coalesce(field("evidence", "rationale"), F.lit("")), 1, EVIDENCE_CHARS).alias("evidence"),
     )

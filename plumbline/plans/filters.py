@@ -155,7 +155,7 @@ def layout_class(spark, folder):
 
 @query(
     "flt9_run_settings",
-    """WITH r AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'DS-MVTec' WHEN 1 THEN ' vis_a ' WHEN 2 THEN 'dagm_KaggleUpload' WHEN 3 THEN 'mvtec_ad'
+    """WITH r AS (SELECT p_partkey, p_size, CASE p_partkey % 6 WHEN 0 THEN 'DS-MVTec' WHEN 1 THEN ' vis_a ' WHEN 2 THEN 'dagm_KaggleUpload' WHEN 3 THEN 'mvtec_ad'
         WHEN 4 THEN 'MPDD' END AS dataset, CASE p_size % 5 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN 'one' WHEN 3 THEN '2' END AS shots,
         CASE p_partkey % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'Ada-pt_CLIP' WHEN 2 THEN 'abound' END AS choice FROM part),
     k AS (SELECT *, CASE p_partkey % 6 WHEN 0 THEN 'mvtec' WHEN 1 THEN 'visa' WHEN 2 THEN 'dagm' WHEN 3 THEN 'mvtec' WHEN 4 THEN 'mpdd' ELSE '' END AS dataset_key,
@@ -303,9 +303,8 @@ verdicts AS (SELECT doc_id, fallback, CASE WHEN word IS NULL THEN 'fallback_thre
 
 @query("txt10_verifier_response", "WITH " + VERIFIER_SQL + " SELECT * EXCLUDE (fallback) FROM verdicts")
 def verifier_response(spark, folder):
-    return _verifier_rows(spark, folder).select(
-        "doc_id", A.verifier_response(F.col("raw"), F.col("fallback")).alias("v")
-    ).select("doc_id", "v.*")
+    out = A.parse_verifier(_verifier_rows(spark, folder), "raw", "fallback")
+    return out.drop("raw", "fallback")
 
 
 @query(

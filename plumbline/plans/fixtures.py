@@ -113,7 +113,7 @@ def qa(spark, folder) -> DataFrame:
 # --- boxes (lineitem): candidates per image --------------------------------------------
 
 BOXES_SQL = """boxes AS (
-  SELECT l_orderkey AS image_id, l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AS box_id,
+  SELECT l_orderkey AS image_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS box_id,
          CASE l_returnflag WHEN 'A' THEN 'box' WHEN 'N' THEN 'text' ELSE 'search' END AS source,
          CAST(l_quantity AS INTEGER) AS x1, CAST(l_partkey % 50 AS INTEGER) AS y1,
          CAST(l_quantity AS INTEGER) + CAST(5 + l_suppkey % 20 AS INTEGER) AS x2,
@@ -127,7 +127,9 @@ def boxes(spark, folder) -> DataFrame:
     x1, y1 = F.col("l_quantity").cast("int"), (F.col("l_partkey") % 50).cast("int")
     return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("image_id"),
-        (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_partkey") % 100).alias("box_id"),
+        (
+            ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
+        ).alias("box_id"),
         F.when(F.col("l_returnflag") == "A", "box")
         .when(F.col("l_returnflag") == "N", "text")
         .otherwise("search")
