@@ -26,6 +26,16 @@ def is_small(df: DataFrame) -> bool:
     return limit > 0 and estimated_bytes(df) <= limit
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep computed columns from being copied into later filters.
+
+    The optimizer moves a filter below the projection it reads by repeating the projection's
+    expressions; for long array expressions that repeats work many times over. A one-row
+    generator in between lets the columns be computed once.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def attach(
     df: DataFrame,
     lookup: DataFrame,
