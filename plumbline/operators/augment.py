@@ -1,0 +1,114 @@
+"""Augmented support images and synthetic defects, as table jobs over image arrays."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Small rotations (radians), shifts (share of half the image), quarter turns.
+ROTATIONS = [-math.pi / 4, -3 * math.pi / 16, -math.pi / 8, -math.pi / 16, math.pi / 16, math.pi / 8, 3 * math.pi / 16, math.pi / 4]
+SHIFTS = [(0.2, 0.2), (-0.2, 0.2), (-0.2, -0.2), (0.2, -0.2), (0.1, 0.1), (-0.1, 0.1), (-0.1, -0.1), (0.1, -0.1)]
+VARIANTS = (
+    [f"rotate_{i}" for i in range(len(ROTATIONS))]
+    + [f"shift_{i}" for i in range(len(SHIFTS))]
+    + ["flip", "grey", "quarter_1", "quarter_2", "quarter_3"]
+)
+
+
+def _mirror(at: np.ndarray, n: int) -> np.ndarray:
+    """Reflect coordinates at the centres of the edge pixels."""
+    if n == 1:
+        return np.zeros_like(at)
+    period = 2.0 * (n - 1)
+    at = np.abs(at) % period
+    return np.where(at > n - 1, period - at, at)
+
+
+def _warp(image: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Bilinear sampling at affine positions in -1..1 coordinates (corner pixels at the ends)."""
+    h, w = image.shape
+    gx, gy = np.meshgrid(np.linspace(-1, 1, w), np.linspace(-1, 1, h))
+    sx = matrix[0, 0] * gx + matrix[0, 1] * gy + matrix[0, 2]
+    sy = matrix[1, 0] * gx + matrix[1, 1] * gy + matrix[1, 2]
+    px, py = _mirror((sx + 1) / 2 * (w - 1), w), _mirror((sy + 1) / 2 * (h - 1), h)
+    x0, y0 = np.floor(px).astype(int), np.floor(py).astype(int)
+    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
+    fx, fy = px - x0, py - y0
+    top = image[y0, x0] * (1 - fx) + image[y0, x1] * fx
+    low = image[y1, x0] * (1 - fx) + image[y1, x1] * fx
+    return top * (1 - fy) + low * fy
+
+
+def transform(image: np.ndarray, variant: str) -> np.ndarray:
+    kind, _, number = variant.partition("_")
+    if kind == "rotate":
+        a = ROTATIONS[int(number)]
+        return _warp(image, np.array([[math.cos(a), -math.sin(a), 0], [math.sin(a), math.cos(a), 0]]))
+    if kind == "shift":
+        dx, dy = SHIFTS[int(number)]
+        return _warp(image, np.array([[1, 0, dx], [0, 1, dy]], dtype=float))
+    if kind == "flip":
+        return image[:, ::-1]
+    if kind == "quarter":
+        return np.rot90(image, int(number))
+    return image  # grey of a one-channel image
+
+
+def augmented(images: DataFrame) -> DataFrame:
+    """The 21 variants of each image. ``images``: image_id, height, width, vals (one channel)."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                done = transform(np.asarray(r.vals).reshape(r.height, r.width), r.variant)
+                out.append((r.image_id, r.variant, *done.shape, done.ravel().tolist()))
+            yield pd.DataFrame(out, columns=["image_id", "variant", "height", "width", "vals"])
+
+    rows = images.select("image_id", "height", "width", "vals", F.explode(F.array(*[F.lit(v) for v in VARIANTS])).alias("variant"))
+    return rows.mapInPandas(run, "image_id long, variant string, height int, width int, vals array<double>")
+
+
+def pasted(images: DataFrame, parameters: DataFrame, *, seed: int = 42) -> DataFrame:
+    """Paste a shifted patch of each image into itself and label the changed pixels.
+
+    ``images``: image_id, category, height, width, vals. ``parameters``: category, low and high
+    (patch half-width as a share of the side), mode ("swap" copies the patch, "uniform" blends
+    it by a random factor), label ("binary", "intensity" or "logistic"), slope, centre,
+    tolerance. Random numbers come from the seed and the image id, so a rerun task repeats itself.
+    """
+
+    def label_map(kind, change, tolerance, slope, centre):
+        if kind == "binary":
+            return (change > tolerance).astype(float)
+        if kind == "intensity":
+            return np.where(change > tolerance, change, 0.0)
+        if kind == "logistic":
+            return np.where(change > tolerance, 1.0 / (1.0 + np.exp(-slope * (change - centre))), 0.0)
+        raise ValueError(kind)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                rng = np.random.default_rng([seed, int(r.image_id)])
+                image = np.asarray(r.vals, dtype=float).reshape(r.height, r.width)
+                half = np.maximum(1, (rng.uniform(r.low, r.high, 2) * image.shape).astype(int))
+                size = np.minimum(2 * half, image.shape)
+                src = [int(rng.integers(0, n - s + 1)) for n, s in zip(image.shape, size)]
+                dst = [int(rng.integers(0, n - s + 1)) for n, s in zip(image.shape, size)]
+                patch = image[src[0] : src[0] + size[0], src[1] : src[1] + size[1]]
+                changed = image.copy()
+                window = np.s_[dst[0] : dst[0] + size[0], dst[1] : dst[1] + size[1]]
+                share = 1.0 if r.mode == "swap" else float(rng.uniform(0.05, 0.95))
+                changed[window] = (1 - share) * changed[window] + share * patch
+                labels = label_map(r.label, np.abs(changed - image), r.tolerance, r.slope, r.centre)
+                out.append((r.image_id, r.category, changed.ravel().tolist(), labels.ravel().tolist()))
+            yield pd.DataFrame(out, columns=["image_id", "category", "vals", "labels"])
+
+    rows = images.join(F.broadcast(parameters), "category")
+    return rows.mapInPandas(run, "image_id long, category string, vals array<double>, labels array<double>")
