@@ -10,7 +10,8 @@ from plumbline.functions import text as T
 from plumbline.functions.paths import safe_name
 
 
-def _regions(bases: DataFrame) -> DataFrame:
+def region_rows(bases: DataFrame) -> DataFrame:
+    """category, target, pos, region and the region's fields."""
     rows = bases.select(
         "category", F.col("kb.target_object").alias("target"), F.posexplode(F.map_entries("kb.regions")).alias("pos", "r")
     )
@@ -18,14 +19,14 @@ def _regions(bases: DataFrame) -> DataFrame:
 
 
 def _defects(bases: DataFrame) -> DataFrame:
-    rows = _regions(bases).select("category", "target", "pos", "region", F.posexplode("defects").alias("k", "d"))
+    rows = region_rows(bases).select("category", "target", "pos", "region", F.posexplode("defects").alias("k", "d"))
     return rows.withColumn("node_id", F.concat_ws("_", "region", "d.type"))
 
 
 def graph_edges(bases: DataFrame) -> DataFrame:
     """category, src, dst, relation, logic, ordinal from parsed knowledge bases (category, kb)."""
     none = F.lit(None).cast("string")
-    regions, defects = _regions(bases), _defects(bases)
+    regions, defects = region_rows(bases), _defects(bases)
     has = regions.select(
         "category", F.col("target").alias("src"), F.col("region").alias("dst"), F.lit("has_region").alias("relation"), none.alias("logic"), F.col("pos").alias("ordinal")
     )
@@ -67,7 +68,7 @@ def graph_nodes(bases: DataFrame) -> DataFrame:
             ordinal.cast("long").alias("ordinal"),
         )
 
-    regions, defects = _regions(bases), _defects(bases)
+    regions, defects = region_rows(bases), _defects(bases)
     root = node(bases, F.col("kb.target_object"), "root", F.lit(-1))
     region = node(
         regions,

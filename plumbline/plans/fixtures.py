@@ -275,9 +275,7 @@ def knowledge(spark, folder) -> DataFrame:
     part, size = F.col("p_partkey"), F.col("p_size")
 
     def region(pos: int):
-        first = ((part + pos) % 8).cast("int")
-        second = ((first + 1 + size % 6) % 8).cast("int")
-        one, two = F.get("_vocab", first), F.get("_vocab", second)
+        one, two = F.col(f"_one{pos}"), F.col(f"_two{pos}")
 
         def defect(own, target, difference, present):
             return F.struct(
@@ -316,9 +314,15 @@ def knowledge(spark, folder) -> DataFrame:
         )
         return [name, body]
 
+    picked = {}
+    for pos in range(3):
+        first = ((part + pos) % 8).cast("int")
+        picked[f"_one{pos}"] = F.get("_vocab", first)
+        picked[f"_two{pos}"] = F.get("_vocab", ((first + 1 + size % 6) % 8).cast("int"))
     return (
         table(spark, folder, "part")
         .withColumn("_vocab", vocab)
+        .withColumns(picked)
         .select(
             F.concat(F.lit("part_"), part.cast("string")).alias("category"),
             F.struct(

@@ -21,7 +21,7 @@ from plumbline.plans.evidence import (
     defects,
     order_reports,
 )
-from plumbline.plans.fixtures import BOXES_SQL, KB_SQL, SCORES_SQL, boxes, scores
+from plumbline.plans.fixtures import BOXES_SQL, KB_SQL, SCORES_SQL, boxes, knowledge, scores
 from plumbline.plans.graphs import REGION_TEXT_SQL, graph
 from plumbline.plans.registry import query, table
 
@@ -52,8 +52,7 @@ def _plan(spark, folder):
         (cust % 5 != 0).alias("has_query"),
         (order % 7 != 0).alias("include_global"),
     )
-    nodes, _ = graph(spark, folder)
-    regions = nodes.where("type = 'region'").select("category", F.col("node_id").alias("region"), F.col("ordinal").alias("pos"), "critical_check")
+    regions = G.region_rows(knowledge(spark, folder)).select("category", "region", "pos", "critical_check")
     near = attach(requests, regions, ["category"]).withColumn("rank", ((F.col("pos") + F.col("request_id")) % 3 + 1).cast("int"))
     ranked = near.where(F.col("has_query") & (F.col("rank") <= F.col("top_k"))).select("request_id", "region", "rank")
     return R.plan_regions(requests, regions, ranked)
@@ -244,8 +243,7 @@ def supported_hypotheses(spark, folder):
     FROM k WHERE NOT has_local OR kept = 0 OR keep""",
 )
 def prompt_blocks(spark, folder):
-    nodes, _ = graph(spark, folder)
-    regions = nodes.where("type = 'region'").select("category", F.col("node_id").alias("region"), "ordinal")
+    regions = G.region_rows(knowledge(spark, folder)).select("category", "region", F.col("pos").alias("ordinal"))
     rows = attach(order_reports(spark, folder).select("report_id", "category"), regions, ["category"])
     hidden = ((F.col("report_id") % 3 == 0) & (F.col("ordinal") == 0)) | ((F.col("report_id") % 6 == 0) & (F.col("ordinal") == 1))
     blocks = rows.select("report_id", "region", (~hidden).alias("prompt_visible"))
