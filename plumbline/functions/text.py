@@ -8,7 +8,6 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import lexicon as L
-from plumbline.functions.arrays import let
 
 
 def words(terms) -> Column:
@@ -20,87 +19,91 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, r"(?U)\s+", " "))
 
 
-def _spelled(token: Column) -> Column:
-    out = token
-    for wrong, right in L.SPELLING.items():
-        out = F.when(token == wrong, right) if out is token else out.when(token == wrong, right)
-    return out.otherwise(token)
-
-
-def normalize_token(token: Column) -> Column:
-    """Spelling, then the first suffix rule that applies, then spelling again."""
-
-    def stemmed(t: Column) -> Column:
-        size = F.length(t)
-
-        def ends(*suffixes: str) -> Column:
-            found = F.endswith(t, F.lit(suffixes[0]))
-            for s in suffixes[1:]:
-                found = found | F.endswith(t, F.lit(s))
-            return found
-
-        def cut(n: int) -> Column:
-            return F.substring(t, F.lit(1), size - n)
-
-        past = F.when(F.endswith(cut(2), F.lit("c")), F.concat(cut(2), F.lit("e"))).otherwise(cut(2))
-        return (
-            F.when((size > 6) & ends("ations"), cut(6))
-            .when((size > 5) & ends("ation"), cut(5))
-            .when((size > 5) & ends("ities"), F.concat(cut(5), F.lit("y")))
-            .when((size > 4) & ends("ity"), cut(3))
-            .when((size > 5) & ends("ness"), cut(4))
-            .when((size > 5) & ends("ive"), cut(3))
-            .when((size > 5) & ends("ing"), cut(3))
-            .when((size > 4) & ends("ed"), past)
-            .when((size > 4) & ends("ches", "shes", "sses", "xes", "zes"), cut(2))
-            .when((size > 3) & ends("es"), cut(1))
-            .when((size > 3) & ends("s"), cut(1))
-            .otherwise(t)
-        )
+def _listed(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _spelled(t: str) -> str:
+    return f"CASE {t} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in L.SPELLING.items()) + f" ELSE {t} END"
+
+
+def _stemmed(t: str) -> str:
+    """The first suffix rule that applies, as SQL text (one expression; array functions take it as a lambda body)."""
+
+    def rule(least: int, suffixes: str, result: str) -> str:
+        ends = " OR ".join(f"endswith({t}, '{s}')" for s in suffixes.split())
+        return f"WHEN length({t}) > {least} AND ({ends}) THEN {result}"
+
+    def cut(n: int) -> str:
+        return f"substring({t}, 1, length({t}) - {n})"
+
+    past = f"CASE WHEN endswith({cut(2)}, 'c') THEN {cut(2)} || 'e' ELSE {cut(2)} END"
+    rules = [
+        rule(6, "ations", cut(6)),
+        rule(5, "ation", cut(5)),
+        rule(5, "ities", f"{cut(5)} || 'y'"),
+        rule(4, "ity", cut(3)),
+        rule(5, "ness", cut(4)),
+        rule(5, "ive ing", cut(3)),
+        rule(4, "ed", past),
+        rule(4, "ches shes sses xes zes", cut(2)),
+        rule(3, "es s", cut(1)),
+    ]
+    return f"CASE {' '.join(rules)} ELSE {t} END"
+
+
+def _normalized(t: str) -> str:
+    """Spelling, suffix rule, spelling."""
+    return f"transform(array({_spelled(t)}), v -> transform(array({_stemmed('v')}), w -> {_spelled('w')})[0])[0]"
+
+
+def normalize_token(name: str) -> Column:
+    return F.expr(_normalized(name))
+
 
-    return let(_spelled(token), lambda t: let(stemmed(t), _spelled))
+def normalized_each(name: str) -> Column:
+    """Normalized tokens of an array column, in order."""
+    return F.expr(f"transform({name}, t -> {_normalized('t')})")
 
 
 def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def tokens(text: Column) -> Column:
-    """Set of normalized tokens without stop words, as a distinct array."""
-    raw = F.array_distinct(raw_tokens(normalize_text(text)))
-    kept = F.filter(raw, lambda t: (F.length(t) > 1) & ~t.isin(L.STOP_TOKENS))
-    stems = F.transform(kept, normalize_token)
-    return F.array_distinct(F.filter(stems, lambda t: (F.length(t) > 1) & ~t.isin(L.STOP_TOKENS)))
+def tokens(name: str) -> Column:
+    """Set of normalized tokens of a text column without stop words, as a distinct array."""
+    stop = _listed(L.STOP_TOKENS)
+    plain = f"trim(regexp_replace(replace(lower(coalesce({name}, '')), '_', ' '), '(?U)\\\\s+', ' '))"
+    raw = f"array_distinct(regexp_extract_all({plain}, '[a-z0-9]+', 0))"
+    kept = f"filter({raw}, t -> length(t) > 1 AND t NOT IN {stop})"
+    stems = f"transform({kept}, t -> {_normalized('t')})"
+    return F.expr(f"array_distinct(filter({stems}, t -> length(t) > 1 AND t NOT IN {stop}))")
 
 
-def ordered_tokens(text: Column) -> Column:
-    return F.transform(raw_tokens(text), normalize_token)
+def ordered_tokens(name: str) -> Column:
+    """Normalized tokens of a text column in order, stop words included."""
+    return F.expr(f"transform(regexp_extract_all({name}, '[a-z0-9]+', 0), t -> {_normalized('t')})")
 
 
 @cache
 def _normalized_lists() -> dict[str, list[str]]:
     """The fixed word lists in normalized form, so they enter plans as constants."""
     lists = {**L.ATTRIBUTES, "weak": L.WEAK_TOKENS}
-    stems = [F.array_sort(F.array_distinct(F.transform(words(w), normalize_token))).alias(n) for n, w in lists.items()]
-    return SparkSession.active().range(1).select(*stems).first().asDict()
+    raw = SparkSession.active().range(1).select(*[words(w).alias(n) for n, w in lists.items()])
+    return raw.select(*[F.array_sort(F.array_distinct(normalized_each(n))).alias(n) for n in lists]).first().asDict()
 
 
 def weak_tokens() -> Column:
     return words(_normalized_lists()["weak"])
 
 
-def attribute_hits(token_set: Column) -> Column:
-    """Map attribute -> hit terms (only attributes with hits), from a token array."""
-    found = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("key"),
-                F.array_intersect(words(_normalized_lists()[name]), token_set).alias("value"),
-            )
-            for name in L.ATTRIBUTES
-        ]
+def attribute_hits(name: str) -> Column:
+    """Map attribute -> hit terms (only attributes with hits), from a token array column."""
+    known = _normalized_lists()
+    entries = ", ".join(
+        f"named_struct('key', '{a}', 'value', array_intersect(array{_listed(known[a])}, {name}))" for a in L.ATTRIBUTES
     )
-    return F.map_from_entries(F.filter(found, lambda e: F.size(e["value"]) > 0))
+    return F.expr(f"map_from_entries(filter(array({entries}), e -> size(e.value) > 0))")
 
 
 def attribute_overlap(left: Column, right: Column) -> Column:

@@ -12,10 +12,10 @@ from plumbline.operators.joins import attach, hold
 SOURCE_CHANNELS = ["visual_signature", "visual_signature_attribute", "graph_visual_attribute", "semantic_embedding"]
 
 
-def profiled(df: DataFrame, **texts: str | Column) -> DataFrame:
-    """For each ``name=text`` add ``name_tokens`` and ``name_attrs``."""
-    df = df.withColumns({f"{n}_tokens": T.tokens(F.col(c) if isinstance(c, str) else c) for n, c in texts.items()})
-    return hold(df.withColumns({f"{n}_attrs": T.attribute_hits(F.col(f"{n}_tokens")) for n in texts}))
+def profiled(df: DataFrame, **texts: str) -> DataFrame:
+    """For each ``name=text column`` add ``name_tokens`` and ``name_attrs``."""
+    df = df.withColumns({f"{n}_tokens": T.tokens(c) for n, c in texts.items()})
+    return hold(df.withColumns({f"{n}_attrs": T.attribute_hits(f"{n}_tokens") for n in texts}))
 
 
 def evidence_text(
@@ -288,7 +288,7 @@ def rank_reports(reports: DataFrame, defects: DataFrame, *, top: int = 3, min_si
     and evidence fields. Each (category, report text) is scored once.
     """
     told = reports.select("report").distinct().withColumn("_text", T.normalize_text(F.col("report")))
-    told = hold(told.withColumn("_words", T.ordered_tokens(F.col("_text"))))
+    told = hold(told.withColumn("_words", T.ordered_tokens("_text")))
     told = told.where((F.col("_text") != "") & ~T.reports_normal(F.col("_text"), F.col("_words"))).select("report")
     texts = attach(reports.select("category", "report").distinct(), profiled(told, report="report"), ["report"])
     known = defects.withColumn(

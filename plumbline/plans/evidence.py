@@ -72,8 +72,8 @@ def reports(spark, folder):
 )
 def normalized_words(spark, folder):
     rows = table(spark, folder, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("normalized"))
-    stems = F.array_distinct(F.transform(F.array_distinct(T.raw_tokens(F.col("normalized"))), T.normalize_token))
-    rows = rows.withColumn("s", F.array_sort(stems))
+    rows = rows.withColumn("raw", F.array_distinct(T.raw_tokens(F.col("normalized"))))
+    rows = rows.withColumn("s", F.array_sort(F.array_distinct(T.normalized_each("raw"))))
     return rows.select("doc_id", "normalized", F.size("s").cast("long").alias("words"), F.array_join("s", " ").alias("stems"))
 
 
@@ -84,7 +84,7 @@ def normalized_words(spark, folder):
     + " SELECT d.doc_id, count(tok) AS token_count, coalesce(string_agg(tok, ' ' ORDER BY tok), '') AS tokens FROM documents d LEFT JOIN toks USING (doc_id) GROUP BY d.doc_id",
 )
 def token_sets(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", F.array_sort(T.tokens(F.col("text"))).alias("t"))
+    rows = table(spark, folder, "documents").select("doc_id", F.array_sort(T.tokens("text")).alias("t"))
     return rows.select("doc_id", F.size("t").cast("long").alias("token_count"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -202,7 +202,7 @@ NORMAL_SQL = (
 @query("txt8_normal_reports", "WITH " + REPORT_SQL + ", " + NORMAL_SQL + " SELECT doc_id, phrase AS normal_phrase, phrase AND NOT affirmed AS is_normal FROM verdict")
 def normal_reports(spark, folder):
     rows = reports(spark, folder).withColumn("n", T.normalize_text(F.col("report")))
-    rows = rows.withColumn("w", T.ordered_tokens(F.col("n")))
+    rows = rows.withColumn("w", T.ordered_tokens("n"))
     return rows.select(
         "doc_id", T.has_normal_phrase(F.col("n")).alias("normal_phrase"), T.reports_normal(F.col("n"), F.col("w")).alias("is_normal")
     )
@@ -222,7 +222,7 @@ def normal_without_evidence(spark, folder):
     doc = F.col("doc_id")
     yes_no = F.create_map(F.lit("A"), F.lit("Yes"), F.lit("B"), F.lit("No"))
     other = F.create_map(F.lit("A"), F.lit("Left"), F.lit("B"), F.lit("Right"))
-    rows = reports(spark, folder).withColumn("w", T.ordered_tokens(F.lower("report")))
+    rows = reports(spark, folder).withColumn("low", F.lower("report")).withColumn("w", T.ordered_tokens("low"))
     return rows.select(
         "doc_id",
         T.prefers_normal(

@@ -398,7 +398,7 @@ def graph_supported(rows, backed_defects, *, min_signal: float = 2.0, margin: fl
     support = shown.select("category", F.explode(F.map_keys("evidence_attrs")).alias("attr")).distinct()
     support = support.groupBy("category").agg(F.array_sort(F.collect_list("attr")).alias("attrs"))
     told = rows.select("report").distinct().withColumn("_n", T.normalize_text(F.col("report")))
-    told = told.withColumn("_w", T.ordered_tokens(F.col("_n")))
+    told = told.withColumn("_w", T.ordered_tokens("_n"))
     told = told.withColumn("_normal", T.reports_normal(F.col("_n"), F.col("_w")))
     texts = E.hold(told.select("report", "_normal")).where(~F.col("_normal")).select("report")
     pairs = attach(rows.select("report", "option_text").distinct(), texts, ["report"])
