@@ -26,6 +26,16 @@ def is_small(df: DataFrame) -> bool:
     return limit > 0 and estimated_bytes(df) <= limit
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Put a small input, often one file and so one task, on all cores before heavy row work.
+
+    Large inputs come in many splits already and are left as they are.
+    """
+    if is_small(df):
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Keep computed columns from being copied into later filters.
 

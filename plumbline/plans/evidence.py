@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import lexicon as L
 from plumbline.functions import text as T
 from plumbline.operators import evidence as E
+from plumbline.operators.joins import spread
 from plumbline.plans import textsql as S
 from plumbline.plans.fixtures import KB_SQL, knowledge
 from plumbline.plans.registry import query, table
@@ -56,7 +57,7 @@ REPORT_SQL = f"""reports AS (SELECT doc_id, {_sql_pick(REPORTS, 'doc_id % 12')}
 def reports(spark, folder):
     doc = F.col("doc_id")
     phrase = _pick(REPORTS, doc % 12)
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         "doc_id",
         F.when(doc % 3 == 0, F.concat(phrase, F.lit(". "), "text")).otherwise(phrase).alias("report"),
         _pick(OPTIONS, doc % 7 + doc % 5).alias("option_text"),
@@ -71,7 +72,7 @@ def reports(spark, folder):
     SELECT doc_id, any_value(normal) AS normalized, count(tok) AS words, coalesce(string_agg(tok, ' ' ORDER BY tok), '') AS stems FROM n LEFT JOIN f USING (doc_id) GROUP BY doc_id""",
 )
 def normalized_words(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("normalized"))
+    rows = spread(table(spark, folder, "documents")).select("doc_id", T.normalize_text(F.col("text")).alias("normalized"))
     rows = rows.withColumn("raw", F.array_distinct(T.raw_tokens(F.col("normalized"))))
     rows = rows.withColumn("s", F.array_sort(F.array_distinct(T.normalized_each("raw"))))
     return rows.select("doc_id", "normalized", F.size("s").cast("long").alias("words"), F.array_join("s", " ").alias("stems"))
@@ -84,7 +85,7 @@ def normalized_words(spark, folder):
     + " SELECT d.doc_id, count(tok) AS token_count, coalesce(string_agg(tok, ' ' ORDER BY tok), '') AS tokens FROM documents d LEFT JOIN toks USING (doc_id) GROUP BY d.doc_id",
 )
 def token_sets(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", F.array_sort(T.tokens("text")).alias("t"))
+    rows = spread(table(spark, folder, "documents")).select("doc_id", F.array_sort(T.tokens("text")).alias("t"))
     return rows.select("doc_id", F.size("t").cast("long").alias("token_count"), F.array_join("t", " ").alias("tokens"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.joins import spread
 from plumbline.plans.registry import table
 
 # --- scored images (events): normal training scores and labelled test scores -----------
@@ -320,7 +321,7 @@ def knowledge(spark, folder) -> DataFrame:
         picked[f"_one{pos}"] = F.get("_vocab", first)
         picked[f"_two{pos}"] = F.get("_vocab", ((first + 1 + size % 6) % 8).cast("int"))
     return (
-        table(spark, folder, "part")
+        spread(table(spark, folder, "part"))
         .withColumn("_vocab", vocab)
         .withColumns(picked)
         .select(
