@@ -114,7 +114,7 @@ def qa(spark, folder) -> DataFrame:
 # --- boxes (lineitem): candidates per image --------------------------------------------
 
 BOXES_SQL = """boxes AS (
-  SELECT l_orderkey AS image_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS box_id,
+  SELECT l_orderkey AS image_id, (((l_orderkey * 10 + l_linenumber) * 1000 + l_partkey % 1000) * 100 + l_suppkey % 100) * 100 + CAST(l_quantity AS BIGINT) AS box_id,
          CASE l_returnflag WHEN 'A' THEN 'box' WHEN 'N' THEN 'text' ELSE 'search' END AS source,
          CAST(l_quantity AS INTEGER) AS x1, CAST(l_partkey % 50 AS INTEGER) AS y1,
          CAST(l_quantity AS INTEGER) + CAST(5 + l_suppkey % 20 AS INTEGER) AS x2,
@@ -129,7 +129,8 @@ def boxes(spark, folder) -> DataFrame:
     return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("image_id"),
         (
-            ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
+            (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + F.col("l_partkey") % 1000) * 100 + F.col("l_suppkey") % 100) * 100
+            + F.col("l_quantity").cast("long")
         ).alias("box_id"),
         F.when(F.col("l_returnflag") == "A", "box")
         .when(F.col("l_returnflag") == "N", "text")
