@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, prefix_counts
+from plumbline.llm import bpe, html_consensus, language, prefix_counts, repetition, toxicity, warc
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -36,3 +37,39 @@ def op2_bpe_round_trip(spark, folder):
 @query
 def op5_token_counts(spark, folder):
     return prefix_counts.token_budget(table(spark, folder, "documents"), vocabulary_path(), TOKEN_LIMIT)
+
+
+@query
+def op4_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    docs = docs.select("doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True)).alias("held_out"))
+    learn = docs.where((F.col("held_out") == F.lit(False)) & F.col("lang").isNotNull())
+    model = language.train(learn)
+    found = language.identify(docs, model, keep_columns=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", F.col("nearest").alias("lang_pred"), "score", "margin", (F.col("language") == "und").alias("rejected"))
+
+
+@query
+def op6_quality_rules(spark, folder):
+    return repetition.repetition(table(spark, folder, "documents"))
+
+
+@query
+def op8_warc(spark, folder):
+    records = warc.through_archives(table(spark, folder, "pages"))
+    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+@query
+def op9_html_extraction(spark, folder):
+    return html_consensus.main_text(table(spark, folder, "pages"))
+
+
+@query
+def op7_toxicity(spark, folder):
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True)).alias("held_out")
+    docs = table(spark, folder, "documents").select("doc_id", "text", held_out)
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs.where(F.col("held_out") == F.lit(False)).join(labels, "doc_id"))
+    scored = toxicity.score(docs, model, keep_columns=("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
