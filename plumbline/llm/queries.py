@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, html_consensus, language, prefix_counts, repetition, toxicity, warc
+from plumbline.llm import bpe, html_consensus, language, prefix_counts, repetition, suffix_dedup, toxicity, warc
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op7_toxicity(spark, folder):
     model = toxicity.train(docs.where(F.col("held_out") == F.lit(False)).join(labels, "doc_id"))
     scored = toxicity.score(docs, model, keep_columns=("doc_id", "held_out"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query
+def op10_suffix_dedup(spark, folder):
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept_bytes")

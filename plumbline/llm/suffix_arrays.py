@@ -8,13 +8,13 @@ import numpy as np
 LANES = 2048
 
 
-def suffix_array(keys: np.ndarray, width: int = 1, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(keys: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of a sequence in order, and the rank of each.
 
     ``keys`` holds for each place an integer that orders the next ``width`` symbols. Suffixes that share a first key form
     a group; each round orders the members of every group that is left by the rank of the suffix that begins where the
-    compared part ends, so the compared part doubles. Groups of one take no part any more. With ``depth``, suffixes
-    that agree in that many symbols may be left in any order and share a rank.
+    compared part ends, so the compared part doubles. Groups of one take no part any more. The order is total: common
+    prefixes carry from one place to the next only then.
     """
     n = len(keys)
     order = np.argsort(keys, kind="stable")
@@ -25,7 +25,7 @@ def suffix_array(keys: np.ndarray, width: int = 1, depth: int | None = None) ->
     head = np.concatenate(([True], ordered[1:] != ordered[:-1]))
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     left = np.flatnonzero(~(head & np.concatenate((head[1:], [True]))))
-    while left.size and (depth is None or width < depth):
+    while left.size:
         at = order[left]
         then = at + width
         inside = then < n

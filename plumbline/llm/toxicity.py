@@ -23,7 +23,7 @@ from plumbline.llm.bpe import _schema
 from plumbline.llm.language import letters
 
 PARAMETERS = zstandard.ZstdCompressionParameters(
-    window_log=17, chain_log=14, hash_log=14, search_log=3, min_match=4, target_length=16,
+    window_log=17, chain_log=14, hash_log=14, search_log=3, min_match=6, target_length=16,
     strategy=zstandard.STRATEGY_GREEDY, write_checksum=False, write_content_size=False, write_dict_id=False,
 )
 
@@ -40,9 +40,9 @@ class ToxicitySettings:
     toxic_bytes: int = 2 << 10
     window: int = 32
     overlap: int = 12
-    min_share: float = 0.02
+    min_share: float = 0.025
     min_texts: int = 4
-    min_odds: float = 2.5
+    min_odds: float = 3.0
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -103,10 +103,17 @@ def _separating(toxic: list[str], ordinary: list[str], settings: ToxicitySetting
     for t in ordinary:
         among_ordinary.update(frequent & _pieces(t))
     odds = {p: math.log((among_toxic[p] + 0.5) / (len(toxic) + 1)) - math.log((among_ordinary[p] + 0.5) / (len(ordinary) + 1)) for p in frequent}
-    # a longer piece that says no more than its beginning is left out
+    passed = {p for p in frequent if odds[p] >= settings.min_odds}
+    # along the beginnings of a word, the longest piece that keeps nearly all of a shorter one's texts stands for it, and
+    # pieces that keep few of them add nothing to the shorter one
+    kept = set(passed)
+    for p in passed:
+        for q in (p[:k] for k in range(5, len(p))):
+            if q in passed:
+                kept.discard(q if among_toxic[p] >= 0.8 * among_toxic[q] else p)
     chosen, content = [], ""
-    for p in sorted((p for p in frequent if odds[p] >= settings.min_odds), key=lambda p: (-among_toxic[p] * odds[p], p)):
-        if p.strip() not in content and len(content) + len(p) <= settings.toxic_bytes:
+    for p in sorted(kept, key=lambda p: (-among_toxic[p] * odds[p], p)):
+        if p not in content and len(content) + len(p) <= settings.toxic_bytes:
             chosen.append(p)
             content += p
     return "".join(reversed(chosen)).encode()
@@ -161,7 +168,7 @@ def _base(texts: list[str], size: int) -> bytes:
     return (b"".join(samples) + content)[-size:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 50):
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01, steps: int = 50):
     """Newton steps; the gains of all features are held at zero or above, as more saved bytes never mean less toxic."""
     w, weight = np.zeros(x.shape[1]), weight / weight.mean()
     free = np.ones(len(w), bool)
