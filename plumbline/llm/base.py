@@ -61,13 +61,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # large star: (v, m) for each larger neighbour v of u; ends are ordered so that u > v
-        down = keep(large.unionAll(both.where("v < u").join(low, "u").select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        down = keep(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u")
         step = keep(
-            small.select("u", F.col("m").alias("v")).unionAll(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+            small.select("u", F.col("m").alias("v")).unionAll(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         )
         # a star forest: each node has one smaller neighbour, and that one has none
         if step.groupBy("u").count().where("count > 1").isEmpty() and step.join(step.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
