@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, html_consensus, language, prefix_counts, repetition, shingle_join, suffix_dedup, toxicity, warc
+from plumbline.llm import bpe, decontaminate, html_consensus, language, prefix_counts, repetition, shingle_join, suffix_dedup, toxicity, warc
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -77,9 +77,14 @@ def op7_toxicity(spark, folder):
 
 @query
 def op10_suffix_dedup(spark, folder):
-    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept_bytes")
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept_text")
 
 
 @query
 def op1_ngram_jaccard(spark, folder):
     return shingle_join.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op3_benchmark_decontamination(spark, folder):
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

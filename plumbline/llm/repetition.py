@@ -111,9 +111,11 @@ FIELDS = (
 )
 
 
-def repetition(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), text: str = "text", keep_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def repetition(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), text: str = "text", keep_columns: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """``keep_columns`` with counts, the share covered by repeats, the longest repeat's share and the verdict of each row.
 
+    The new columns' names begin with ``prefix``.
+
     Words are runs without space, tab, line feed, vertical tab, form feed or carriage return. A repeat is a run of
     words (of code points inside words of more than 64) that begins at two places of the text, overlapping or not; all
     its places count. A null or empty text has no words, so the base rule on words rejects it. Texts of any length are
@@ -124,7 +126,7 @@ def repetition(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), text
     def run(batches):
         for batch in by_bytes(batches, text):
             got = measure(batch.column(text).to_pylist(), rules)
-            yield with_rest(batch, columns, {k: pa.array(v) for k, v in got.items()})
+            yield with_rest(batch, columns, {prefix + k: pa.array(v) for k, v in got.items()})
 
     source = docs.select(*columns, *([text] if text not in columns else []))
-    return source.mapInArrow(run, _schema([docs.schema[c] for c in columns], FIELDS))
+    return source.mapInArrow(run, _schema([docs.schema[c] for c in columns], ", ".join(prefix + f for f in FIELDS.split(", "))))

@@ -276,12 +276,14 @@ def _searched(w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
     return np.searchsorted(kind, kind, side="right") - np.searchsorted(kind, kind, side="left")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep_columns: tuple[str, ...] = ("doc_id",), size: int = MIN_BYTES, anchor: int = ANCHOR_BYTES) -> DataFrame:
-    """``keep_columns`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept_bytes`` (what is left) of every row.
+def remove_repeats(docs: DataFrame, text: str = "text", keep_columns: tuple[str, ...] = ("doc_id",), size: int = MIN_BYTES, anchor: int = ANCHOR_BYTES, prefix: str = "") -> DataFrame:
+    """``keep_columns`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (of the bytes left) and ``kept_text`` of every row.
+
+    The new columns' names begin with ``prefix``.
 
     Every byte in a string of ``size`` bytes that begins anywhere else in the corpus is removed, at all its places, as judged on the
     input. Matches end at the ends of texts. Null and empty texts have no bytes; texts shorter than ``size`` are left whole. Repeated rows
-    are copies of each other. ``kept_bytes`` may break a character in two.
+    are copies of each other. Where a cut breaks a character in two, ``kept_text`` leaves its other bytes out.
     An empty table gives no rows. Null ids and texts of any length are allowed.
     """
     columns = list(keep_columns)
@@ -297,15 +299,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_columns: tuple[str,
                 batch,
                 columns,
                 {
-                    "n_bytes": pa.compute.binary_length(batch.column("__bytes")).cast(pa.int64()),
-                    "n_removed": pa.array([r for _, r, _ in got], pa.int64()),
-                    "n_spans": pa.array([n for _, _, n in got], pa.int64()),
-                    "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-                    "kept_bytes": pa.array(kept, pa.binary()),
+                    f"{prefix}n_bytes": pa.compute.binary_length(batch.column("__bytes")).cast(pa.int64()),
+                    f"{prefix}n_removed": pa.array([r for _, r, _ in got], pa.int64()),
+                    f"{prefix}n_spans": pa.array([n for _, _, n in got], pa.int64()),
+                    f"{prefix}kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                    f"{prefix}kept_text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()),
                 },
             )
 
-    return joined.mapInArrow(run, _schema([docs.schema[c] for c in columns], "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"))
+    fields = [f"{prefix}{f}" for f in ("n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "kept_text string")]
+    return joined.mapInArrow(run, _schema([docs.schema[c] for c in columns], ", ".join(fields)))
 
 
 def _cut(raw: bytes, spans: list[dict], size: int) -> tuple[bytes, int, int]:
