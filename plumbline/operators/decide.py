@@ -74,7 +74,7 @@ def override_answer(
     near = ~local & says_yes & report_normal & (threshold > 0) & (heat < threshold) & ~clear
     kept = ~local | says_yes
     reason = (
-        F.when(vetoed, "normal_part_veto_corrects_yes_to_no")
+        F.when(vetoed, "sam3_normal_part_veto_corrects_yes_to_no")
         .when(below, "clearly_below_threshold_and_normal_phase1_corrects_yes_to_no")
         .when(kept & near, "near_threshold_uncertainty_keeps_original_yes")
         .when(kept & ~local, "no_override_without_stable_local_evidence")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators.joins import attach, hold, spread
+from plumbline.operators.joins import attach, hold
 
 SOURCE_CHANNELS = ["visual_signature", "visual_signature_attribute", "graph_visual_attribute", "semantic_embedding"]
 
@@ -235,7 +235,7 @@ def match_options(options: DataFrame, defects: DataFrame, *, min_score: float =
     fields = ["defect", "visual_signature", "visual_attributes", "region", "region_definition", "critical_check", "distinctions"]
     keyed = hold(defects.withColumn("_evidence_key", F.to_json(F.struct(*fields))))
     unique = keyed.groupBy("_evidence_key").agg(*[F.any_value(f).alias(f) for f in fields])
-    profile = defect_evidence(spread(unique)).drop(*fields)
+    profile = defect_evidence(unique).drop(*fields)
     known = attach(keyed, profile, ["_evidence_key"]).drop("_evidence_key")
     pairs = attach(texts, known, ["category"]).where(
         _touching(
@@ -292,7 +292,7 @@ def rank_reports(reports: DataFrame, defects: DataFrame, *, top: int = 3, min_si
     ``reports``: category, report_id, report. ``defects``: category, defect_order, defect_node
     and evidence fields. Each (category, report text) is scored once.
     """
-    told = spread(reports.select("report").distinct()).withColumn("_text", T.normalize_text(F.col("report")))
+    told = reports.select("report").distinct().withColumn("_text", T.normalize_text(F.col("report")))
     told = hold(told.withColumn("_words", T.ordered_tokens("_text")))
     told = told.where((F.col("_text") != "") & ~T.reports_normal(F.col("_text"), F.col("_words"))).select("report")
     texts = attach(reports.select("category", "report").distinct(), profiled(told, report="report"), ["report"])
@@ -307,7 +307,7 @@ def rank_reports(reports: DataFrame, defects: DataFrame, *, top: int = 3, min_si
         ),
     )
     stated = hold(stated.select("category", "defect_order", "defect_node", "defect", "region", "_evidence"))
-    profile = profiled(spread(stated.select("_evidence").distinct()), evidence="_evidence")
+    profile = profiled(stated.select("_evidence").distinct(), evidence="_evidence")
     known = attach(stated, profile, ["_evidence"]).drop("_evidence")
     pairs = attach(texts, known, ["category"]).where(_touching("report", [("evidence_tokens", "evidence_attrs")]))
     scored = score_pairs(pairs, "report", "evidence")

@@ -1,40 +1,10 @@
-"""Size checks and join helpers for lookup tables whose size is not known beforehand."""
+"""Join helpers. Which side is broadcast is left to adaptive execution, which knows the sizes that came out."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import settle
-
-BROADCAST_ROWS = 200_000
-SMALL_INPUT_CONF = "plumbline.smallInputBytes"
-SMALL_INPUT_BYTES = 32 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's own upper estimate, from file sizes; no job is run."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return 1 << 62
-
-
-def is_small(df: DataFrame) -> bool:
-    """True when the whole input is small enough for one task, so any group in it is too."""
-    limit = int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
-    return limit > 0 and estimated_bytes(df) <= limit
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Put a small input, often one file and so one task, on all cores before heavy row work.
-
-    Large inputs come in many splits already and are left as they are.
-    """
-    if is_small(df):
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
-
 
 def hold(df: DataFrame) -> DataFrame:
     """Keep computed columns from being copied into later filters.
@@ -46,26 +16,13 @@ def hold(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
-def attach(
-    df: DataFrame,
-    lookup: DataFrame,
-    on: list[str] | Column,
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join a computed lookup table (statistics, thresholds) onto a large one.
+def attach(df: DataFrame, lookup: DataFrame, on: list[str] | Column, how: str = "inner") -> DataFrame:
+    """Join a computed table (statistics, thresholds) onto a large one, with no hint and no job while the plan is built.
 
-    A lookup computed from a small input is broadcast as it is. Any other is computed
-    once and measured: up to ``max_rows`` it is broadcast, so the large side is never
-    shuffled by a possibly hot key; beyond that a shuffled join is used, which adaptive
-    execution splits when a key is skewed.
+    A computed table has no known size before it runs: adaptive execution broadcasts it when it turns out small, and
+    splits the large side's partitions when a key is hot.
     """
-    if is_small(lookup):
-        return df.join(F.broadcast(lookup), on, how)
-    kept = settle(lookup)
-    if kept.count() <= max_rows:
-        kept = F.broadcast(kept)
-    return df.join(kept, on, how)
+    return df.join(lookup, on, how)
 
 
 def literal_lookup(df: DataFrame, table: DataFrame, on, how: str = "left") -> DataFrame:

@@ -1,9 +1,9 @@
 """Exact order statistics and running totals that never gather a large group.
 
-Small inputs (by the optimizer's size estimate) take the plain aggregate or window. Beyond
-that a sketch proposes cut values per group; rows are counted per slice between the cuts;
-only the slices that hold a wanted rank are sorted. The result is exact whatever the
-sketch's error is, since ranks come from counts and the sketch only places the cuts.
+A sketch proposes cut values per group; rows are counted per slice between the cuts; only
+the slices that hold a wanted rank are sorted. The result is exact whatever the sketch's error is,
+since ranks come from counts and the sketch only places the cuts. The plan is the same for
+inputs of every size.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.operators.joins import attach, is_small
+from plumbline.operators.joins import attach
 
 
 def slice_of(value: Column, cuts: Column, n_cuts: int) -> Column:
@@ -48,16 +48,6 @@ def exact_quantiles(
     Returns ``keys, n, max_value`` and one column per entry of ``probs``.
     """
     probs = {name: min(1.0, max(0.0, float(p))) for name, p in probs.items()}
-    if is_small(df):
-        return (
-            df.where(F.col(value).isNotNull())
-            .groupBy(*keys)
-            .agg(
-                F.count(value).alias("n"),
-                F.max(F.col(value).cast("double")).alias("max_value"),
-                *[F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()],
-            )
-        )
     marks = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-width, width)})
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     sketch = rows.groupBy(*keys).agg(
@@ -119,16 +109,6 @@ def running_totals(
     """
     names = list(measures)
     per_value = df.groupBy(*keys, order).agg(*[F.sum(c).alias(n) for n, c in measures.items()])
-    if is_small(df):
-        upto = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-        whole = W.partitionBy(*keys)
-        return per_value.select(
-            *keys,
-            order,
-            *names,
-            *[F.sum(n).over(upto).alias(f"{n}_upto") for n in names],
-            *[F.sum(n).over(whole).alias(f"{n}_all") for n in names],
-        )
     marks = [i / slices for i in range(1, slices)]
     cuts = per_value.groupBy(*keys).agg(
         F.percentile_approx(order, marks, slices * 16).alias("_cuts"),

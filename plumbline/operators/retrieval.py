@@ -272,7 +272,7 @@ def visible_crops(crops: DataFrame, key: str) -> DataFrame:
     flags = crops.groupBy(key).agg(
         F.bool_or(heat & (F.coalesce("proposal_source", F.lit("")) == "strict")).alias("_strict"),
         F.bool_or(F.coalesce(weak, F.lit(False))).alias("_weak"),
-        F.count_if(F.col("source") == "search_node").alias("_nodes"),
+        F.count_if(F.col("source") == "mcts_node").alias("_nodes"),
         F.count_if(heat).alias("_heats"),
         F.min("at").alias("_first"),
     )
@@ -280,7 +280,7 @@ def visible_crops(crops: DataFrame, key: str) -> DataFrame:
     only_weak = F.col("_weak") & ~F.col("_strict")
     most = F.when(F.lower("task_type").isin(TWO_CROP_TASKS), 2).otherwise(3)
     structural = (
-        (F.col("source") == "text_mask")
+        (F.col("source") == "sam3_text")
         & is_structural_role(F.col("prompt_role"))
         & (F.col("mask_score") >= 0.90)
         & F.col("mask_accepted")
@@ -288,8 +288,8 @@ def visible_crops(crops: DataFrame, key: str) -> DataFrame:
     )
     primary = (
         F.when(only_weak & weak, "pixel_threshold_heatmap_fallback_crop")
-        .when(~only_weak & (F.col("source") == "search_node"), "search_focus_after_strict_contour")
-        .when(~only_weak & (F.col("_nodes") == 0) & heat, "strict_heatmap_proposal_fallback_when_search_missing")
+        .when(~only_weak & (F.col("source") == "mcts_node"), "mcts_focus_after_strict_contour")
+        .when(~only_weak & (F.col("_nodes") == 0) & heat, "strict_heatmap_proposal_fallback_when_mcts_missing")
     )
     rows = rows.withColumns({"_why": primary, "_mask": F.coalesce(structural, F.lit(False)), "_most": most, "_only_weak": only_weak})
     tier = F.when(F.col("_why").isNotNull(), 1).when(F.col("_mask"), 2).otherwise(3)
@@ -303,7 +303,7 @@ def visible_crops(crops: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("_shown", shown).withColumn("_any", F.max("_shown").over(W.partitionBy(key)))
     reason = (
         F.when(F.col("_shown") & (F.col("_tier") == 1), F.col("_why"))
-        .when(F.col("_shown"), "high_confidence_structural_text_mask")
+        .when(F.col("_shown"), "high_confidence_structural_sam3_text_mask")
         .when(~F.col("_any") & (F.col("at") == F.col("_first")), "fallback_first_selected_candidate")
     )
     return rows.withColumn("prompt_reason", reason).where("prompt_reason is not null").select(*crops.columns, "prompt_reason")

@@ -187,16 +187,18 @@ def run_settings(spark, folder):
     "flt10_task_policy",
     "WITH "
     + QA_SQL
-    + """ SELECT conv_id, turn, CASE WHEN task_type = 'Object Structure' THEN 'object' ELSE 'defect' END AS task_group,
-      task_type <> 'Object Structure' AS use_search, task_type NOT IN ('Object Structure', 'Defect Localization') AS use_no_local_anomaly_gate,
-      task_type = 'Object Structure' AS include_global_reference_in_final,
+    + """, o AS (SELECT *, task_type = 'Object Structure' AS obj FROM qa)
+    SELECT conv_id, turn, CASE WHEN obj THEN 'object' ELSE 'defect' END AS task_group,
+      NOT obj AS use_local_anomaly_stream, NOT obj AS use_mcts_search, NOT obj AS use_local_evidence_crops,
+      NOT obj AS show_local_crops_in_final_prompt, NOT obj AS use_sam3_local_refinement, NOT obj AS use_raw_heatmap_fill,
+      NOT obj AND task_type <> 'Defect Localization' AS use_no_local_anomaly_gate, obj AS include_global_reference_in_final,
+      TRUE AS show_rag_blocks_in_final_prompt, TRUE AS show_phase1_report_in_final_prompt, FALSE AS use_pvla_defect_hypothesis_prompt,
       CASE task_type WHEN 'Object Structure' THEN 'global_reference' WHEN 'Anomaly Detection' THEN 'global_reference'
-        WHEN 'Defect Localization' THEN 'global_spatial_reference' ELSE 'logic_guided_primary' END AS logic_role FROM qa""",
+        WHEN 'Defect Localization' THEN 'global_spatial_reference' ELSE 'logic_guided_primary' END AS phase1_logic_role FROM o""",
 )
 def task_policy(spark, folder):
-    return S.with_task_policy(qa(spark, folder)).select(
-        "conv_id", "turn", "task_group", "use_search", "use_no_local_anomaly_gate", "include_global_reference_in_final", "logic_role"
-    )
+    fields = [f.split()[0] for f in S.POLICY_FIELDS.split(", ")[1:]]
+    return S.with_task_policy(qa(spark, folder)).select("conv_id", "turn", *fields)
 
 
 @query(

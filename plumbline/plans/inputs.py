@@ -117,7 +117,7 @@ def resolved_paths(spark, folder):
     wanted = rows.select(
         (conv * 100 + F.col("turn")).alias("row_id"),
         "subclass",
-        F.when(conv % 3 == 0, F.substring("image_path", 7, 500))
+        F.when(conv % 3 == 0, F.expr("substring(image_path, 7)"))
         .when(conv % 3 == 1, F.col("image_path"))
         .otherwise(prefixed)
         .alias("rel_path"),

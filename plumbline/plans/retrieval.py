@@ -283,24 +283,24 @@ def prompt_plan(spark, folder):
     "win13_visible_crops",
     "WITH "
     + BOXES_SQL
-    + """, c AS (SELECT image_id, box_id AS slot, CASE WHEN image_id % 3 = 0 THEN 'object details' ELSE 'defect analysis' END AS task, CASE source WHEN 'box' THEN 'heatmap_proposal' WHEN 'text' THEN 'text_mask' ELSE CASE WHEN image_id % 5 = 0 THEN 'other' ELSE 'search_node' END END AS src,
+    + """, c AS (SELECT image_id, box_id AS slot, CASE WHEN image_id % 3 = 0 THEN 'object details' ELSE 'defect analysis' END AS task, CASE source WHEN 'box' THEN 'heatmap_proposal' WHEN 'text' THEN 'sam3_text' ELSE CASE WHEN image_id % 5 = 0 THEN 'other' ELSE 'mcts_node' END END AS src,
        CASE WHEN source = 'box' THEN CASE WHEN line % 2 = 0 THEN 'strict' ELSE 'weak_pixel_threshold_fallback' END END AS psrc, CASE WHEN line > 3 THEN 'defect_hole' ELSE 'defect_stain' END AS role, 0.85::DOUBLE + discount AS ms, tax * 6 AS ratio FROM boxes),
-    f AS (SELECT *, bool_or(src = 'heatmap_proposal' AND psrc = 'strict') OVER w AS strict_, bool_or(src = 'heatmap_proposal' AND psrc LIKE 'weak%') OVER w AS weak_, count(*) FILTER (src = 'search_node') OVER w AS nodes, min(slot) OVER w AS first_, CASE WHEN image_id % 3 = 0 THEN 3 ELSE 2 END AS most FROM c WINDOW w AS (PARTITION BY image_id)),
-    t AS (SELECT *, weak_ AND NOT strict_ AS ow, CASE WHEN weak_ AND NOT strict_ THEN CASE WHEN src = 'heatmap_proposal' THEN 'pixel_threshold_heatmap_fallback_crop' END WHEN src = 'search_node' THEN 'search_focus_after_strict_contour'
-        WHEN nodes = 0 AND src = 'heatmap_proposal' THEN 'strict_heatmap_proposal_fallback_when_search_missing' END AS why, src = 'text_mask' AND role = 'defect_hole' AND ms >= 0.9::DOUBLE AND ratio <= 0.35::DOUBLE AS mask FROM f),
+    f AS (SELECT *, bool_or(src = 'heatmap_proposal' AND psrc = 'strict') OVER w AS strict_, bool_or(src = 'heatmap_proposal' AND psrc LIKE 'weak%') OVER w AS weak_, count(*) FILTER (src = 'mcts_node') OVER w AS nodes, min(slot) OVER w AS first_, CASE WHEN image_id % 3 = 0 THEN 3 ELSE 2 END AS most FROM c WINDOW w AS (PARTITION BY image_id)),
+    t AS (SELECT *, weak_ AND NOT strict_ AS ow, CASE WHEN weak_ AND NOT strict_ THEN CASE WHEN src = 'heatmap_proposal' THEN 'pixel_threshold_heatmap_fallback_crop' END WHEN src = 'mcts_node' THEN 'mcts_focus_after_strict_contour'
+        WHEN nodes = 0 AND src = 'heatmap_proposal' THEN 'strict_heatmap_proposal_fallback_when_mcts_missing' END AS why, src = 'sam3_text' AND role = 'defect_hole' AND ms >= 0.9::DOUBLE AND ratio <= 0.35::DOUBLE AS mask FROM f),
     u AS (SELECT *, CASE WHEN why IS NOT NULL THEN 1 WHEN mask THEN 2 ELSE 3 END AS tier FROM t), n AS (SELECT *, row_number() OVER (PARTITION BY image_id, tier ORDER BY slot) AS nth FROM u),
     l AS (SELECT *, count(*) FILTER (tier = 1 AND nth <= CASE WHEN ow OR nodes = 0 THEN 1 ELSE most END) OVER (PARTITION BY image_id) AS taken FROM n),
     s AS (SELECT *, (tier = 1 AND nth <= CASE WHEN ow OR nodes = 0 THEN 1 ELSE most END) OR (tier = 2 AND nth <= most - taken) AS shown FROM l), a AS (SELECT *, bool_or(shown) OVER (PARTITION BY image_id) AS any_ FROM s)
-    SELECT image_id, slot AS crop_at, CASE WHEN shown AND tier = 1 THEN why WHEN shown THEN 'high_confidence_structural_text_mask' ELSE 'fallback_first_selected_candidate' END AS prompt_reason FROM a WHERE shown OR (NOT any_ AND slot = first_)""",
+    SELECT image_id, slot AS crop_at, CASE WHEN shown AND tier = 1 THEN why WHEN shown THEN 'high_confidence_structural_sam3_text_mask' ELSE 'fallback_first_selected_candidate' END AS prompt_reason FROM a WHERE shown OR (NOT any_ AND slot = first_)""",
 )
 def visible_crops(spark, folder):
     image, line = F.col("image_id"), F.col("line")
-    searched = F.when(image % 5 == 0, "other").otherwise("search_node")
+    searched = F.when(image % 5 == 0, "other").otherwise("mcts_node")
     crops = boxes(spark, folder).select(
         "image_id",
         F.col("box_id").alias("at"),
         F.when(image % 3 == 0, "object details").otherwise("defect analysis").alias("task_type"),
-        F.when(F.col("source") == "box", "heatmap_proposal").when(F.col("source") == "text", "text_mask").otherwise(searched).alias("source"),
+        F.when(F.col("source") == "box", "heatmap_proposal").when(F.col("source") == "text", "sam3_text").otherwise(searched).alias("source"),
         F.when(F.col("source") == "box", F.when(line % 2 == 0, "strict").otherwise("weak_pixel_threshold_fallback")).alias("proposal_source"),
         F.when(line > 3, "defect_hole").otherwise("defect_stain").alias("prompt_role"),
         (F.col("discount") + 0.85).alias("mask_score"),

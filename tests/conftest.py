@@ -17,7 +17,7 @@ def spark():
 
 @pytest.fixture
 def large(spark):
-    """Take the paths meant for inputs that are not small."""
-    spark.conf.set("plumbline.smallInputBytes", "0")
+    """Joins as large inputs get them: none is broadcast by its estimated size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield spark
-    spark.conf.unset("plumbline.smallInputBytes")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

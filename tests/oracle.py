@@ -81,7 +81,7 @@ def main(argv):
     picked = [n for n in QUERIES if len(argv) < 2 or any(n.startswith(a) for a in argv[1:])]
     spark = local_session(8)
     if large:
-        spark.conf.set("plumbline.smallInputBytes", "0")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     con = duck(folder)
     failed = 0
     for name in picked:

@@ -1,4 +1,4 @@
-"""The plans for large inputs give the same results as the plain ones, hot groups included."""
+"""Order statistics and running totals give the plain results, hot groups included, with no join broadcast by estimate."""
 
 import numpy as np
 import pytest
@@ -71,3 +71,11 @@ def test_no_scores_is_no_row(large, spark, rows):
     wanted = spark.createDataFrame([("s", "new")], "dataset string, category string")
     row = calibrate.preset_thresholds(wanted, rows, fixed=None).first()
     assert (row["n"], row["threshold"], row["threshold_policy"]) == (0, 0.5, "fixed(0.5)")
+
+
+def test_computed_tables_carry_no_hint(spark):
+    from plumbline.operators.joins import attach
+
+    many = spark.range(10).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(1000))))
+    plan = attach(spark.range(10), many, ["id"])._jdf.queryExecution().analyzed().toString()
+    assert "Hint" not in plan
