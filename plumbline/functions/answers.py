@@ -44,13 +44,13 @@ def keyword_prediction(text: Column) -> Column:
 
 
 def parse_verifier(
-    rows: DataFrame, raw: str, fallback: str, *, fallback_to_threshold: bool = True
+    rows: DataFrame, raw: str, fallback: str, *, fallback_to_threshold: bool = True, evidence_chars: int | None = EVIDENCE_CHARS
 ) -> DataFrame:
     """Add parse_status, prediction_text, prediction, confidence, evidence from a raw response.
 
     The object is the first of: fenced JSON, the span from the first to the last brace, the
     whole text. An object without a usable class goes to the fallback; only texts without
-    an object are searched for keywords.
+    an object are searched for keywords. ``evidence_chars`` shortens the evidence; None keeps it whole.
     """
     text = F.trim(F.coalesce(F.col(raw), F.lit("")))
     fenced = F.nullif(F.regexp_extract("_text", r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
@@ -84,11 +84,12 @@ def parse_verifier(
     else:
         default_word, default_status = F.lit("unknown"), "unparsed"
     word = F.col("_word")
+    stated = F.coalesce(field("evidence", "rationale"), F.lit(""))
     return found.select(
         *rows.columns,
         F.when(word.isNull(), default_status).when(has_object, "json").otherwise("keyword").alias("parse_status"),
         F.coalesce(word, default_word).alias("prediction_text"),
         F.when(word.isNull(), F.col(fallback)).otherwise((word == "anomaly").cast("int")).alias("prediction"),
         F.when(~F.isnan(confidence), confidence).alias("confidence"),
-        F.substring(F.coalesce(field("evidence", "rationale"), F.lit("")), 1, EVIDENCE_CHARS).alias("evidence"),
+        (stated if evidence_chars is None else F.substring(stated, 1, evidence_chars)).alias("evidence"),
     )

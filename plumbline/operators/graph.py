@@ -23,12 +23,20 @@ def _defects(bases: DataFrame) -> DataFrame:
     return rows.withColumn("node_id", F.concat_ws("_", "region", "d.type"))
 
 
+def _order(defect: str | None = None, distinction: str | None = None) -> Column:
+    """Place of a statement in its file: region, defect in it, distinction in that; a million of each have their own place."""
+    place = F.col("pos").cast("long") * (1 << 40)
+    if defect:
+        place = place + (F.col(defect) + 1).cast("long") * (1 << 20)
+    return place + F.col(distinction).cast("long") + 1 if distinction else place
+
+
 def graph_edges(bases: DataFrame) -> DataFrame:
     """category, src, dst, relation, logic, ordinal from parsed knowledge bases (category, kb)."""
     none = F.lit(None).cast("string")
     regions, defects = region_rows(bases), _defects(bases)
     has = regions.select(
-        "category", F.col("target").alias("src"), F.col("region").alias("dst"), F.lit("has_region").alias("relation"), none.alias("logic"), F.col("pos").alias("ordinal")
+        "category", F.col("target").alias("src"), F.col("region").alias("dst"), F.lit("has_region").alias("relation"), none.alias("logic"), _order().alias("ordinal")
     )
     possible = defects.select(
         "category",
@@ -36,7 +44,7 @@ def graph_edges(bases: DataFrame) -> DataFrame:
         F.col("node_id").alias("dst"),
         F.lit("possible_anomaly").alias("relation"),
         none.alias("logic"),
-        (F.col("pos") * 1000 + F.col("k")).alias("ordinal"),
+        _order("k").alias("ordinal"),
     )
     distinct = defects.select("category", "region", "node_id", "pos", "k", F.posexplode("d.distinctions").alias("j", "t")).select(
         "category",
@@ -44,7 +52,7 @@ def graph_edges(bases: DataFrame) -> DataFrame:
         F.concat_ws("_", "region", "t.target_defect").alias("dst"),
         F.lit("distinct_from").alias("relation"),
         F.col("t.difference").alias("logic"),
-        ((F.col("pos") * 1000 + F.col("k")) * 1000 + F.col("j")).alias("ordinal"),
+        _order("k", "j").alias("ordinal"),
     )
     every = has.unionByName(possible).unionByName(distinct)
     # one edge per pair of nodes: a later statement replaces an earlier one

@@ -19,6 +19,7 @@ from plumbline.plans.fixtures import (
 )
 from plumbline.plans.metrics import ANSWERS_SQL, answers
 from plumbline.plans.registry import query, table
+from plumbline.session import shared_path
 from plumbline.sources import documents, layout, sinks
 
 IMAGE_SQL = "lower(regexp_extract(path, '\\.([^./]*)$', 1)) IN ('bmp','jpeg','jpg','png','tif','tiff','webp')"
@@ -540,7 +541,12 @@ def resumed_predictions(spark, folder):
     + "SELECT subclass, replace(task_type, ' ', '_') AS task, image_path, turn, given_answer FROM answers WHERE NOT correct",
 )
 def wrong_answers(spark, folder):
-    return sinks.wrong_answers(answers(spark, folder)).select("subclass", "task", "image_path", "turn", "given_answer")
+    """Wrong answers written in a folder per subclass and task, and read back."""
+    path = shared_path(spark, "wrong")
+    rows = answers(spark, folder).select("subclass", "task_type", "image_path", "turn", "given_answer", "correct")
+    sinks.write_wrong_answers(rows, path)
+    fields = "image_path string, turn long, given_answer string, subclass string, task string"
+    return spark.read.schema(fields).json(path).select("subclass", "task", "image_path", "turn", "given_answer")
 
 
 @query(
@@ -553,15 +559,9 @@ def missing_results(spark, folder):
     return sinks.missing_results(samples, done, ["conv_id", "turn"]).select("conv_id", "turn")
 
 
-@query("snk1_written_lines")
+@query("snk1_written_lines", "WITH " + PREDICTIONS_SQL + " SELECT * FROM predictions")
 def written_lines(spark, folder):
     """Prediction rows written as JSON lines and read back."""
-    import tempfile
-
-    from plumbline.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base}/lines-{table(spark, folder, 'labels').count()}"
+    path = shared_path(spark, "lines")
     sinks.write_lines(predictions(spark, folder), path)
     return spark.read.schema(predictions(spark, folder).schema).json(path)

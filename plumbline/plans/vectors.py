@@ -88,7 +88,7 @@ def layer_weighted_score(spark, folder):
 
 STATE_SQL = """members AS (SELECT label AS category, CAST(vec_id // 10 % 2 AS INTEGER) AS state, vec_id, embedding,
     row_number() OVER (PARTITION BY label, vec_id // 10 % 2 ORDER BY vec_id) AS place FROM embeddings),
-dims AS (SELECT category, state, dim, avg(CAST(embedding[dim] AS DOUBLE)) AS m FROM members, (SELECT unnest(range(1, 65)) AS dim) WHERE place <= 15 GROUP BY ALL),
+dims AS (SELECT category, state, dim, avg(CAST(embedding[dim] AS DOUBLE)) AS m FROM members, (SELECT unnest(range(1, 65)) AS dim) GROUP BY ALL),
 protos AS (SELECT category, state, dim, m / (sqrt(sum(m * m) OVER (PARTITION BY category, state)) + 1e-8) AS p FROM dims)"""
 
 
@@ -99,7 +99,7 @@ def _prototypes(spark, folder):
         "vec_id",
         F.col("embedding").alias("vec"),
     )
-    return V.prototypes(members, ["category", "state"], "vec_id", cap=15)
+    return V.prototypes(members, ["category", "state"], "vec_id")
 
 
 @query(
