@@ -46,7 +46,7 @@ class Node:
 
     def __init__(self, tag, parent, label, skipped):
         self.tag, self.parent, self.skipped = tag, parent, skipped
-        self.path = f"{parent.path}>{label}" if parent else label
+        self.path = f"{parent.path}>{label}" if parent and parent.path else label
         self.inside_article = bool(parent) and (parent.inside_article or parent.tag in ("article", "main"))
         self.own = self.linked = 0
 

@@ -222,7 +222,7 @@ def export(archives: DataFrame, uri: str) -> DataFrame:
         store.create_dir(folder, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with store.open_output_stream(f"{folder}/{name}") as out:
+                with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
                     out.write(content)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(content)], pa.int64())], names=["archive", "bytes"])
 

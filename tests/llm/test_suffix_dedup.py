@@ -28,6 +28,18 @@ def test_suffix_array_and_prefixes(letters, n):
     assert shared.tolist() == [0] * min(n, 1) + [common(a, b) for a, b in zip(order[:-1], order[1:])]
 
 
+def test_prefixes_by_eights():
+    rng = random.Random(4)
+    raw = b"".join(rng.choice([b"abcabcab", b"\x00\x00", b"abcabcabc" * 3, b"x"]) for _ in range(120)) + b"\x00" * 9
+    data = np.frombuffer(raw, np.uint8)
+    padded = raw + bytes(8)
+    eights = np.array([int.from_bytes(padded[k : k + 8], "big") for k in range(len(raw))], np.uint64)
+    order, _ = suffix_arrays.suffix_array(data.astype(np.int64))
+    for depth in (None, 20):
+        plain = suffix_arrays.common_prefixes(data, order, depth)
+        assert plain.tolist() == suffix_arrays.common_prefixes(data, order, depth, eights).tolist()
+
+
 def brute(texts, size):
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[k : k + size] for r in raws for k in range(len(r) - size + 1))
