@@ -6,6 +6,8 @@ import numpy as np
 
 #: Stretches of a text whose common prefixes are computed side by side.
 LANES = 2048
+#: Numbers of eight bytes that are compared at once where two suffixes agree in the first eight.
+AHEAD = 16
 
 
 def suffix_array(keys: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +43,17 @@ def suffix_array(keys: np.ndarray, width: int = 1) -> tuple[np.ndarray, np.ndarr
     return order, rank
 
 
-def common_prefixes(symbols: np.ndarray, order: np.ndarray, depth: int | None = None) -> np.ndarray:
+def _leading(differ: np.ndarray) -> np.ndarray:
+    """Equal bytes at the head of numbers of eight bytes, none of which agree in all."""
+    return 8 - sum((differ >= np.uint64(1 << 8 * k)).astype(np.int64) for k in range(1, 8)) - 1
+
+
+def common_prefixes(symbols: np.ndarray, order: np.ndarray, depth: int | None = None, eights: np.ndarray | None = None) -> np.ndarray:
     """For each rank, the length that this suffix has in common with the one before it in order (0 for the first).
 
     The text is cut in stretches, in each of which the length known for one place, less one, is where the next
-    begins to compare. All stretches advance together. ``depth`` ends the comparison.
+    begins to compare. All stretches advance together. ``depth`` ends the comparison. For bytes, ``eights`` (the next eight
+    bytes of each place as one unsigned number, zeros beyond the end) lets eight be compared at once.
     """
     n = len(symbols)
     found = np.zeros(n, np.int64)
@@ -55,6 +63,8 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, depth: int | None =
     before[order[0]] = -1
     before[order[1:]] = order[:-1]
     most = n if depth is None else depth
+    if eights is not None:
+        eights, ahead = np.concatenate((eights, np.zeros(8 * AHEAD, np.uint64))), 8 * np.arange(AHEAD)
     size = max(64, -(-n // LANES))
     starts = np.arange(0, n, size)
     same = np.zeros(len(starts), np.int64)
@@ -68,15 +78,31 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, depth: int | None =
                 break
         j = before[i]
         same = np.where(j < 0, 0, np.maximum(same - 1, 0))
-        going = np.flatnonzero((j >= 0) & (same < most))
+        going, first = np.flatnonzero((j >= 0) & (same < most)), True
         while going.size:
             a, b = i[going] + same[going], j[going] + same[going]
             inside = (a < n) & (b < n)
             going, a, b = going[inside], a[inside], b[inside]
-            equal = symbols[a] == symbols[b]
-            going = going[equal]
-            same[going] += 1
+            if eights is None:
+                going = going[symbols[a] == symbols[b]]
+                same[going] += 1
+            elif first:
+                differ = eights[a] ^ eights[b]
+                last = differ != 0
+                same[going[last]] += _leading(differ[last])
+                going = going[~last]
+                same[going] += 8
+                first = False
+            else:  # few are left: many bytes at once
+                differ = eights[a[:, None] + ahead] ^ eights[b[:, None] + ahead]
+                last = differ.any(axis=1)
+                at = (differ[last] != 0).argmax(axis=1)
+                same[going[last]] += 8 * at + _leading(differ[last][np.arange(len(at)), at])
+                going = going[~last]
+                same[going] += 8 * AHEAD
             going = going[same[going] < most]
+        if eights is not None:
+            same = np.minimum(same, np.minimum(most, n - np.maximum(i, j)))
         by_place[i] = same
     found[:] = by_place[order]
     return found

@@ -112,7 +112,7 @@ def repeated_windows(run: list[bytes], windows: list[int], size: int) -> tuple[n
     for k in range(1, 8):
         key = key << np.uint64(8) | padded[k : n + k]
     order, _ = suffix_array((key ^ np.uint64(1 << 63)).view(np.int64), 8)
-    shared = common_prefixes(data, order, size)
+    shared = common_prefixes(data, order, size, key)
     ends = np.cumsum([len(p) for p in run])
     starts = ends - np.array([len(p) for p in run])
     edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + np.array(windows), minlength=n + 1)
