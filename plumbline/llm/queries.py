@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, html_consensus, language, prefix_counts, repetition, shingle_join, suffix_dedup, toxicity, warc
+from plumbline.llm import bpe, decontaminate, html_consensus, language, prefix_counts, repetition, shingle_join, sql, suffix_dedup, toxicity, warc
 
 QUERIES = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(sql.SQL)
 #: The vocabulary the contracts name.
 VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
