@@ -1,7 +1,9 @@
 """Nearest neighbours, class densities and prototypes over vector tables.
 
-Pairs are scored in blocks: both sides are hashed into blocks of bounded size, each pair of
-blocks meets in one task as a matrix product, and only the best few per query leave it.
+A memory whose counted size is small is shipped to the queries, which then are read once and not
+moved. A larger one is scored in blocks: both sides are hashed into blocks of bounded size, each
+pair of blocks meets in one task, and only the best few per query leave it. Either way a task
+multiplies tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from plumbline.operators.joins import attach
 
 QUERY_BLOCK = 32_768
 MEMORY_BLOCK = 16_384
+#: Bytes of vectors up to which a table is shipped to every task.
+SHIPPED_BYTES = 64 << 20
+#: Similarities that a task holds at once.
+TILE = 4 << 20
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -32,6 +38,27 @@ def _blocks(df: DataFrame, keys: list[str], size: int, name: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
 
 
+def _shipped(df: DataFrame, vec: str, limit: int):
+    """The rows as a pandas table in a broadcast variable when their counted size allows it, else None."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    if 8 * size["n"] * (size["d"] or 0) > limit:
+        return None
+    return df.sparkSession.sparkContext.broadcast(df.toPandas())
+
+
+def _nearest(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and similarities of the ``k`` closest rows of ``right`` (unit rows), the lower place first among equals."""
+    take = min(k, len(right))
+    places, values = [], []
+    step = max(1, TILE // max(1, len(right)))
+    for start in range(0, len(left), step):
+        near = _unit(left[start : start + step]) @ right.T
+        order = np.argsort(-near, axis=1, kind="stable")[:, :take] if take > 1 else near.argmax(axis=1)[:, None]
+        places.append(order)
+        values.append(np.take_along_axis(near, order, axis=1))
+    return np.concatenate(places), np.concatenate(values)
+
+
 def top_similar(
     queries: DataFrame,
     memory: DataFrame,
@@ -40,12 +67,19 @@ def top_similar(
     *,
     query_block: int = QUERY_BLOCK,
     memory_block: int = MEMORY_BLOCK,
+    shipped_bytes: int = SHIPPED_BYTES,
 ) -> DataFrame:
     """The ``k`` most similar memory vectors (cosine) of each query within its key group.
 
     ``queries``: keys, query_id, vec. ``memory``: keys, memory_id, vec (both ids are long).
     Returns keys, query_id, memory_id, similarity, rank; ties go to the lower id.
     """
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
+    schema = ", ".join([f"{c} {kinds[c]}" for c in keys] + ["query_id long, memory_id long, similarity double"])
+    names = [*keys, "query_id", "memory_id", "similarity"]
+    shipped = _shipped(memory.select(*keys, "memory_id", "vec"), "vec", shipped_bytes)
+    if shipped is not None:
+        return _against_shipped(queries.select(*keys, "query_id", "vec"), shipped, keys, k, schema)
     # fresh column identities, as both sides may come from one table
     queries, memory = (df.select(*keys, name, "vec").toDF(*keys, name, "vec") for df, name in ((queries, "query_id"), (memory, "memory_id")))
     sizes = _blocks(queries, keys, query_block, "_nq").join(_blocks(memory, keys, memory_block, "_nm"), keys)
@@ -58,20 +92,16 @@ def top_similar(
         "_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nq").cast("long") - 1))
     )
     by = [*keys, "_q", "_m"]
-    kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
-    schema = ", ".join([f"{c} {kinds[c]}" for c in keys] + ["query_id long, memory_id long, similarity double"])
-    names = [*keys, "query_id", "memory_id", "similarity"]
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
         right = right.sort_values("memory_id")
-        near = _unit(_matrix(left["vec"])) @ _unit(_matrix(right["vec"])).T
-        take = min(k, near.shape[1])
-        order = np.argsort(-near, axis=1, kind="stable")[:, :take] if take > 1 else near.argmax(axis=1)[:, None]
+        order, near = _nearest(_matrix(left["vec"]), _unit(_matrix(right["vec"])), k)
+        take = order.shape[1]
         out = {c: np.repeat(left[c].to_numpy(), take) for c in [*keys, "query_id"]}
         out["memory_id"] = right["memory_id"].to_numpy()[order].ravel()
-        out["similarity"] = np.take_along_axis(near, order, axis=1).ravel()
+        out["similarity"] = near.ravel()
         return pd.DataFrame(out)[names]
 
     m = m.select(*by, "memory_id", "vec").toDF(*by, "memory_id", "vec")
@@ -88,6 +118,24 @@ def top_similar(
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _against_shipped(queries: DataFrame, shipped, keys: list[str], k: int, schema: str) -> DataFrame:
+    def score(batches):
+        groups = {}
+        for name, rows in shipped.value.sort_values("memory_id").groupby(keys, sort=False) if len(shipped.value) else ():
+            groups[name] = rows["memory_id"].to_numpy(), _unit(_matrix(rows["vec"]))
+        for batch in batches:
+            for name, rows in batch.groupby(keys, sort=False):
+                if name not in groups:
+                    continue
+                ids, matrix = groups[name]
+                order, near = _nearest(_matrix(rows["vec"]), matrix, k)
+                take = order.shape[1]
+                out = {c: np.repeat(rows[c].to_numpy(), take) for c in [*keys, "query_id"]}
+                yield pd.DataFrame({**out, "memory_id": ids[order].ravel(), "similarity": near.ravel(), "rank": np.tile(np.arange(1, take + 1), len(rows))})
+
+    return queries.mapInPandas(score, schema + ", rank int")
+
+
 def nearest_distance(queries: DataFrame, memory: DataFrame, keys: list[str], **blocks) -> DataFrame:
     """Distance (1 - cosine) of each query to the closest memory vector, with that vector's id."""
     out = top_similar(queries, memory, keys, 1, **blocks)
@@ -169,18 +217,14 @@ def class_moments(rows: DataFrame, key: str = "category") -> DataFrame:
 
 
 def most_likely_class(
-    queries: DataFrame, classes: DataFrame, *, key: str = "category", diagonal: bool = False, block: int = QUERY_BLOCK
+    queries: DataFrame, classes: DataFrame, *, key: str = "category", diagonal: bool = False, block: int = QUERY_BLOCK, shipped_bytes: int = SHIPPED_BYTES
 ) -> DataFrame:
     """Class with the highest Gaussian log-density per query.
 
     ``queries``: query_id, vec. ``classes``: one row per class with mean and covariance
-    (flat, row-major; or the variances when ``diagonal``). Queries are hashed into blocks and
-    the class rows are copied to each block.
+    (flat, row-major; or the variances when ``diagonal``). Class rows of a small counted size go
+    to the queries; else queries are hashed into blocks and the class rows are copied to each.
     """
-    n = queries.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("n"))
-    blocks = F.lit(n.scalar())
-    q = queries.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), blocks).cast("long").alias("_b"))
-    c = classes.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
     kind = classes.schema[key].dataType.simpleString()
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -205,4 +249,12 @@ def most_likely_class(
             {"query_id": left["query_id"].to_numpy(), key: right[key].to_numpy()[best], "log_density": table[np.arange(len(best)), best]}
         )
 
-    return q.groupBy("_b").cogroup(c.groupBy("_b")).applyInPandas(score, f"query_id long, {key} {kind}, log_density double")
+    schema = f"query_id long, {key} {kind}, log_density double"
+    shipped = _shipped(classes, "covariance", shipped_bytes)
+    if shipped is not None:
+        return queries.select("query_id", "vec").mapInPandas(lambda batches: (score(b, shipped.value) for b in batches), schema)
+    n = queries.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("n"))
+    blocks = F.lit(n.scalar())
+    q = queries.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), blocks).cast("long").alias("_b"))
+    c = classes.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
+    return q.groupBy("_b").cogroup(c.groupBy("_b")).applyInPandas(score, schema)

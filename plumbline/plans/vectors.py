@@ -51,21 +51,15 @@ def halved_distance(spark, folder):
     "sco8_nearest_difference",
     "WITH "
     + PATCH_SQL
-    + """ SELECT n.vec_id AS query_id, n.memory_id, round(list_sum(list_transform(range(1, 65), lambda i: abs(q.u[i] - m.u[i]))), 6) AS total_difference,
-      round(list_max(list_transform(range(1, 65), lambda i: abs(q.u[i] - m.u[i]))), 6) AS largest_difference
-    FROM nearest n JOIN unit q ON q.vec_id = n.vec_id JOIN unit m ON m.vec_id = n.memory_id""",
+    + """ SELECT n.vec_id AS query_id, n.memory_id, CAST(i - 1 AS INTEGER) AS dim, round(abs(q.u[i] - m.u[i]), 6) AS difference
+    FROM nearest n JOIN unit q ON q.vec_id = n.vec_id JOIN unit m ON m.vec_id = n.memory_id, unnest(range(1, 65)) x(i)""",
 )
 def nearest_difference(spark, folder):
     queries, memory = patches(spark, folder)
     keys = ["category", "layer"]
     near = V.nearest_distance(queries, memory, keys)
     out = V.nearest_difference(queries, memory, near, keys)
-    return out.select(
-        "query_id",
-        "memory_id",
-        F.round(A.total(F.col("difference")), 6).alias("total_difference"),
-        F.round(F.array_max("difference"), 6).alias("largest_difference"),
-    )
+    return out.select("query_id", "memory_id", F.posexplode("difference").alias("dim", "v")).select("query_id", "memory_id", "dim", F.round("v", 6).alias("difference"))
 
 
 LAYER_WEIGHTS = [(0, 0.4), (1, 0.3), (2, 0.2), (3, 0.1)]
@@ -147,11 +141,13 @@ def text_class_similarity(spark, folder):
 
 @query(
     "sco12_support_memory",
-    "SELECT label AS category, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 4",
+    """SELECT label AS category, vec_id, CAST(i - 1 AS INTEGER) AS dim, CAST(embedding[i] AS DOUBLE) AS value
+    FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings), unnest(range(1, 65)) x(i) WHERE rn <= 4""",
 )
 def support_memory(spark, folder):
-    rows = table(spark, folder, "embeddings").select("vec_id", F.col("label").alias("category"))
-    return V.first_per_category(rows, 4).select("category", "vec_id")
+    """The feature memory: every value of the first vectors of each category."""
+    kept = V.first_per_category(_labelled(spark, folder), 4)
+    return kept.select("category", "vec_id", F.posexplode("vec").alias("dim", "v")).select("category", "vec_id", "dim", F.col("v").cast("double").alias("value"))
 
 
 def _labelled(spark, folder):

@@ -18,14 +18,18 @@ def tables(spark):
 def test_blocks_give_the_same_neighbours(spark, large):
     q, m, dq, dm = tables(spark)
     unit = lambda v: np.array(v) / np.linalg.norm(v)
-    got = V.top_similar(dq, dm, ["category"], 3, query_block=7, memory_block=5).collect()
+    shipped = V.top_similar(dq, dm, ["category"], 3)
+    assert "Exchange" not in shipped._jdf.queryExecution().executedPlan().toString()
+    got = V.top_similar(dq, dm, ["category"], 3, query_block=7, memory_block=5, shipped_bytes=0).collect()
+    order = lambda r: (r["query_id"], r["rank"], r["memory_id"])
+    assert sorted(map(order, shipped.collect())) == sorted(map(order, got))
     found = {}
     for r in sorted(got, key=lambda r: r["rank"]):
         found.setdefault(r["query_id"], []).append(r["memory_id"])
     for key, i, vec in q:
         near = sorted((-float(unit(vec) @ unit(v)), j) for k, j, v in m if k == key)[:3]
         assert found[i] == [j for _, j in near]
-    nearest = V.nearest_distance(dq, dm, ["category"], query_block=11, memory_block=6).collect()
+    nearest = V.nearest_distance(dq, dm, ["category"], query_block=11, memory_block=6, shipped_bytes=0).collect()
     assert {r["query_id"]: r["memory_id"] for r in nearest} == {i: ids[0] for i, ids in found.items()}
 
 
