@@ -36,13 +36,13 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 @dataclass(frozen=True)
 class JoinSettings:
-    """Two sets link when ``100 * intersection >= percent * union``. ``sketch_bits``: the sketch has 2 ** bits counters.
+    """Two sets link when ``100 * intersection >= percent * union``. ``sketch_bits``: the sketch has 2 ** bits counters of a byte.
     ``most_matches``: the longest prefix asks for so many shared shingles. ``block``: classes verified in one task at once.
     ``delegates``: about so many of a neighbourhood stand in each of its blocks."""
 
     words: int = 4
     percent: int = 85
-    sketch_bits: int = 20
+    sketch_bits: int = 26
     most_matches: int = 8
     block: int = 2048
     delegates: int = 32
@@ -98,45 +98,55 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def frequency_sketch(docs: DataFrame, text: str, settings: JoinSettings) -> np.ndarray:
-    """How many documents have a shingle of each hash class, over all documents: 2 ** bits counters, whatever the corpus."""
-    size = 1 << settings.sketch_bits
-    slices = 16
-    part = size // slices
+    """Frequency classes of shingle hashes, over all documents: 2 ** bits counters of a byte each, whatever the corpus.
+
+    A task adds up its own documents and sends the counters that are not zero; the sums are made per slice of the counters.
+    """
+    bits = settings.sketch_bits
+    slices = 1 << min(6, bits)
+    part = (1 << bits) // slices
+
+    def added(total, cells, counts):
+        total[cells] = np.minimum(total[cells].astype(np.int64) + counts, 255)
+
+    def rows(numbers, blobs):
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "counts"])
 
     def count(batches):
-        total = np.zeros(size, np.int64)
+        total = np.zeros(1 << bits, np.uint8)
         for batch in by_bytes(batches, text):
             hashes, _ = shingle_sets(batch.column(text).to_pylist(), settings.words)
-            total += np.bincount((hashes >> np.uint64(64 - settings.sketch_bits)).astype(np.int64), minlength=size)
-        yield from _slices(total)
-
-    def _slices(total):
+            added(total, *np.unique((hashes >> np.uint64(64 - bits)).astype(np.int64), return_counts=True))
         for k in range(slices):
-            blob = zlib.compress(total[k * part : (k + 1) * part].tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=["slice", "counts"])
+            own = total[k * part : (k + 1) * part]
+            cells = np.flatnonzero(own)
+            if len(cells):
+                packed = np.diff(cells, prepend=0).astype(np.uint32).tobytes() + own[cells].tobytes()
+                yield rows([k], [zlib.compress(packed, 1)])
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[k] = held.get(k, 0) + np.frombuffer(zlib.decompress(blob), np.int64)
+                packed = zlib.decompress(blob)
+                n = len(packed) // 5
+                cells = np.cumsum(np.frombuffer(packed, np.uint32, n).astype(np.int64))
+                added(held.setdefault(k, np.zeros(part, np.uint8)), cells, np.frombuffer(packed, np.uint8, n, 4 * n))
         for k, total in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["slice", "counts"])
+            yield rows([k], [zlib.compress(total.tobytes(), 1)])
 
     fields = "slice int, counts binary"
-    rows = docs.select(text).mapInArrow(count, fields).repartition(slices, "slice").mapInArrow(add, fields).collect()
-    out = np.zeros(size, np.int64)
-    for r in rows:
-        out[r["slice"] * part : (r["slice"] + 1) * part] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    out = np.zeros(1 << bits, np.uint8)
+    for r in docs.select(text).mapInArrow(count, fields).repartition(slices, "slice").mapInArrow(add, fields).toLocalIterator():
+        out[r["slice"] * part : (r["slice"] + 1) * part] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return frequency_classes(out)
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
-    """0 for what cannot be told from the sketch's background, else the binary order of the count above it."""
-    usual = float(np.median(counts))
-    above = counts - usual
-    seen = above >= 8 * np.sqrt(usual) + 8
-    return np.where(seen, np.log2(np.maximum(above, 1)), 0).astype(np.uint8)
+    """The binary order of what a counter holds above the usual one."""
+    usual = int(np.median(counts))
+    order = np.log2(1 + np.maximum(np.arange(256) - max(usual, 1), 0)).astype(np.uint8)
+    return order[counts]
 
 
 def prefixes(hashes: np.ndarray, number: np.ndarray, classes: np.ndarray, settings: JoinSettings) -> list[tuple[np.ndarray, int]]:
