@@ -21,6 +21,8 @@ QUERY_BLOCK = 32_768
 MEMORY_BLOCK = 16_384
 #: Bytes of vectors up to which a table is shipped to every task.
 SHIPPED_BYTES = 64 << 20
+#: Bytes of partial sums that a task holds before it passes them on.
+MOMENT_BYTES = 256 << 20
 #: Similarities that a task holds at once.
 TILE = 4 << 20
 
@@ -187,7 +189,8 @@ def merged_prototype(a: Column, b: Column) -> Column:
 def class_moments(rows: DataFrame, key: str = "category") -> DataFrame:
     """Population mean and covariance per class: key, n, i, j, mean_i, cov (for i <= j).
 
-    Tasks emit one partial sum of products per class, so the exchange holds matrices and not rows.
+    Tasks emit partial sums per class, as arrays, and hold at most ``MOMENT_BYTES`` of them; the
+    arrays of a class are added one after another, so neither step grows with rows or classes.
     """
 
     def partial(batches):
@@ -197,23 +200,37 @@ def class_moments(rows: DataFrame, key: str = "category") -> DataFrame:
                 x = _matrix(group["vec"])
                 got = sums.get(name)
                 part = [len(x), x.sum(axis=0), x.T @ x]
-                sums[name] = part if got is None else [a + b for a, b in zip(got, part)]
-        for name, (n, s, p) in sums.items():
-            yield pd.DataFrame({key: [name], "n": [n], "s": [s.tolist()], "p": [p.ravel().tolist()]})
+                sums[name] = part if got is None else [a + b for a, b in zip(got, part, strict=True)]
+                if len(sums) * part[2].nbytes > MOMENT_BYTES:
+                    yield from map(packed, sums.items())
+                    sums = {}
+        yield from map(packed, sums.items())
+
+    def packed(item):
+        name, (n, s, p) = item
+        return pd.DataFrame({key: [name], "n": [n], "s": [s.tolist()], "p": [p.ravel().tolist()]})
+
+    def added(batches):
+        held = None
+        for pdf in batches:
+            for name, n, s, p in zip(pdf[key], pdf["n"], pdf["s"], pdf["p"], strict=True):
+                if held is not None and held[0] != name:
+                    yield moments(*held)
+                    held = None
+                held = (name, n, s, p) if held is None else (name, held[1] + n, held[2] + s, held[3] + p)
+        if held is not None:
+            yield moments(*held)
+
+    def moments(name, n, s, p):
+        mean, d = s / n, len(s)
+        i, j = np.triu_indices(d)
+        cov = p.reshape(d, d)[i, j] / n - mean[i] * mean[j]
+        return pd.DataFrame({key: [name] * len(i), "n": n, "i": i, "j": j, "mean_i": mean[i], "cov": cov})
 
     kind = rows.schema[key].dataType.simpleString()
     parts = rows.select(key, "vec").mapInPandas(partial, f"{key} {kind}, n long, s array<double>, p array<double>")
-    counts = parts.groupBy(key).agg(F.sum("n").alias("n"), F.max(F.size("s")).alias("d"))
-    sums = parts.select(key, F.posexplode("s").alias("i", "v")).groupBy(key, "i").agg(F.sum("v").alias("s"))
-    products = parts.select(key, F.posexplode("p").alias("at", "v")).groupBy(key, "at").agg(F.sum("v").alias("p"))
-    out = products.join(counts, key).select(
-        key, "n", F.floor(F.col("at") / F.col("d")).cast("int").alias("i"), (F.col("at") % F.col("d")).cast("int").alias("j"), "p"
-    )
-    left = sums.withColumnRenamed("s", "si")
-    right = sums.select(key, F.col("i").alias("j"), F.col("s").alias("sj"))
-    out = out.where("i <= j").join(left, [key, "i"]).join(right, [key, "j"])
-    mean_i, mean_j = F.col("si") / F.col("n"), F.col("sj") / F.col("n")
-    return out.select(key, "n", "i", "j", mean_i.alias("mean_i"), (F.col("p") / F.col("n") - mean_i * mean_j).alias("cov"))
+    together = parts.repartition(key).sortWithinPartitions(key)
+    return together.mapInPandas(added, f"{key} {kind}, n long, i int, j int, mean_i double, cov double")
 
 
 def most_likely_class(

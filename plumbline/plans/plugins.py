@@ -210,8 +210,8 @@ def unseen_images(spark, folder):
     rows = _stream(spark, folder, "events").select(path("user_id"), F.col("user_id").alias("uid"))
     history = table(spark, folder, "customer").where("c_acctbal < 2000").select(path("c_custkey"))
     out = _place(spark, "unseen")
-    jobs.append_log(jobs.unseen(rows, history), out, _place(spark, "unseen-state")).awaitTermination()
-    return spark.read.schema("image_path string, uid long").json(out)
+    jobs.append_unseen(rows, out, _place(spark, "unseen-state"), history).awaitTermination()
+    return spark.read.parquet(out).select("image_path", "uid")
 
 
 @query(
@@ -248,8 +248,8 @@ def running_accuracy(spark, folder):
     rows = _stream(spark, folder, "conversations").select(
         F.concat(F.lit("part"), (conv % 5).cast("string")).alias("subclass"), ((conv % 4) == ((conv + F.length("text")) % 4)).alias("correct")
     )
-    name = f"totals_{uuid.uuid4().hex}"
-    jobs.collect_table(jobs.running_accuracy(rows, ("subclass",)), name, _place(spark, "totals-state")).awaitTermination()
-    return spark.table(name).select("subclass", "total", "correct", F.round("accuracy", 6).alias("accuracy"))
+    out = _place(spark, "totals")
+    jobs.write_versions(jobs.running_accuracy(rows, ("subclass",)), out, _place(spark, "totals-state")).awaitTermination()
+    return jobs.latest_version(spark, out).select("subclass", "total", "correct", F.round("accuracy", 6).alias("accuracy"))
 
 

@@ -27,12 +27,45 @@ def decided(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     )
 
 
-def unseen(rows: DataFrame, history: DataFrame | None = None, key: str = "image_path") -> DataFrame:
-    """Each image once; images of the static history are skipped."""
-    if history is not None:
-        known = history.select(key).distinct().withColumn("_known", F.lit(True))
-        rows = rows.join(known, key, "left").where(F.col("_known").isNull()).drop("_known")
-    return rows.dropDuplicates([key])
+def append_unseen(rows: DataFrame, path: str, checkpoint: str, history: DataFrame | None = None, key: str = "image_path", buckets: int = 64) -> StreamingQuery:
+    """Each image once; images of the static history and of earlier batches are skipped.
+
+    What was seen is the written table itself, so a query keeps no state in memory. Rows lie in buckets of the key, and a
+    batch reads the buckets it touches only. A repeated batch overwrites its own folder.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.dropDuplicates([key])
+        if history is not None:
+            rows = rows.join(history.select(key), key, "left_anti")
+        rows = rows.withColumn("_bucket", _bucket(key, buckets))
+        if batch_id and _exists(batch.sparkSession, path):
+            touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most ``buckets``
+            known = batch.sparkSession.read.schema(f"{key} string, batch long, _bucket int").parquet(path)
+            known = known.where(F.col("_bucket").isin(touched) & (F.col("batch") < batch_id))
+            rows = rows.join(known.select(key), key, "left_anti")
+        rows.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/batch={batch_id}")
+
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, folder = _folder(spark, path)
+    return fs.exists(folder)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, folder = _folder(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
 
 
 def append_log(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -47,36 +80,66 @@ def append_log(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def upsert_latest(rows: DataFrame, path: str, checkpoint: str, key: str = "image_path") -> StreamingQuery:
-    """Keep the last row per image by ordinal. Each batch writes a new version folder, so a failed
-    or repeated batch never damages the one before it; ``latest_version`` reads the newest."""
+def upsert_latest(rows: DataFrame, path: str, checkpoint: str, key: str = "image_path", buckets: int = 64) -> StreamingQuery:
+    """Keep the last row per image by ordinal. Rows lie in buckets of the key; each batch writes a new
+    version of the buckets it touches, so a failed or repeated batch never damages the one before it.
+    Versions that a newer one had replaced before the batch began are removed; ``latest_version`` reads the newest."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        older = latest_version(spark, path, before=batch_id)
+        batch = batch.withColumn("_bucket", _bucket(key, buckets))
+        touched = {r[0] for r in batch.select("_bucket").distinct().collect()}  # at most ``buckets``
+        before = newest(spark, path, before=batch_id)
+        read = [p for bucket, p in before.items() if bucket in touched]
+        older = spark.read.schema(batch.drop("_bucket").schema).parquet(*read).withColumn("_bucket", _bucket(key, buckets)) if read else None
         merged = batch if older is None else older.unionByName(batch)
-        last_per_image(merged, key).write.mode("overwrite").parquet(f"{path}/version={batch_id:010d}")
+        last_per_image(merged, key).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/version={batch_id:010d}")
+        _remove_replaced(spark, path, batch_id, set(before.values()))
 
     return (
         rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def write_versions(rows: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
+    """Write the whole result of each batch as a new version; only the newest and the one before it are kept."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = newest(batch.sparkSession, path, before=batch_id)
+        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id:010d}")
+        _remove_replaced(batch.sparkSession, path, batch_id, set(before.values()))
+
+    return rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest(spark: SparkSession, path: str, before: int | None = None) -> dict[int | None, str]:
+    """Path of the newest finished version of each bucket (of the whole table where it has none)."""
+    out: dict[int | None, str] = {}
+    for name in reversed(_names(spark, path)):
+        if not name.startswith("version=") or (before is not None and int(name.split("=")[1]) >= before):
+            continue
+        inside = _names(spark, f"{path}/{name}")
+        if "_SUCCESS" not in inside:
+            continue
+        for bucket in [int(n.split("=")[1]) for n in inside if n.startswith("_bucket=")] or [None]:
+            out.setdefault(bucket, f"{path}/{name}" + ("" if bucket is None else f"/_bucket={bucket}"))
+    return out
+
+
+def _remove_replaced(spark: SparkSession, path: str, batch_id: int, used: set[str]) -> None:
+    for name in _names(spark, path):
+        if not name.startswith("version=") or int(name.split("=")[1]) >= batch_id:
+            continue
+        parts = [n for n in _names(spark, f"{path}/{name}") if n.startswith("_bucket=")]
+        for part in [f"{path}/{name}/{n}" for n in parts] or [f"{path}/{name}"]:
+            if part not in used:
+                fs, folder = _folder(spark, part)
+                fs.delete(folder, True)
+
+
 def latest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    names = [f.getPath().getName() for f in fs.listStatus(folder)]
-    done = [
-        n
-        for n in names
-        if n.startswith("version=")
-        and (before is None or int(n.split("=")[1]) < before)
-        and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
-    ]
-    return spark.read.parquet(f"{path}/{max(done)}") if done else None
+    paths = sorted(newest(spark, path, before).values())
+    return spark.read.parquet(*paths) if paths else None
 
 
 def running_accuracy(rows: DataFrame, keys=("subclass", "task_type")) -> DataFrame:
@@ -86,15 +149,3 @@ def running_accuracy(rows: DataFrame, keys=("subclass", "task_type")) -> DataFra
         F.count_if("correct").alias("correct"),
         F.avg(F.col("correct").cast("int")).alias("accuracy"),
     )
-
-
-def collect_table(rows: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Run a query over what is available now into an in-memory table (small results only)."""
-    return (
-        rows.writeStream.format("memory")
-        .queryName(name)
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )

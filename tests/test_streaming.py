@@ -27,6 +27,23 @@ def test_restart_appends_only_new_rows_and_last_write_wins(spark):
     assert got == {"a": 0.9, "b": 0.2}
 
 
+def test_several_batches(spark):
+    """Seen images, replaced rows and totals over three batches that arrive one after another."""
+    source, seen, state, latest, state2, totals, state3 = (place(spark) for _ in range(7))
+    batches = [[("a", 1, 0.1), ("b", 2, 0.2), ("a", 3, 0.3)], [("b", 4, 0.4), ("c", 5, 0.5)], [("a", 6, 0.6)]]
+    history = spark.createDataFrame([("c",)], "image_path string")
+    for batch in batches:
+        spark.createDataFrame(batch, SCHEMA).write.mode("append").parquet(source)
+        rows = jobs.read_rows(spark, source, SCHEMA)
+        jobs.append_unseen(rows, seen, state, history, buckets=3).awaitTermination()
+        jobs.upsert_latest(rows, latest, state2, buckets=3).awaitTermination()
+        counted = rows.groupBy("image_path").count()
+        jobs.write_versions(counted, totals, state3).awaitTermination()
+    assert sorted(r["image_path"] for r in spark.read.parquet(seen).collect()) == ["a", "b"]
+    assert {r["image_path"]: r["score"] for r in jobs.latest_version(spark, latest).collect()} == {"a": 0.6, "b": 0.4, "c": 0.5}
+    assert {r["image_path"]: r["count"] for r in jobs.latest_version(spark, totals).collect()} == {"a": 3, "b": 2, "c": 1}
+
+
 def test_completeness(spark):
     rows = spark.createDataFrame([("a", 1, 0.1), ("b", 2, 0.2)], SCHEMA)
     sinks.assert_complete(rows, rows)
