@@ -1,12 +1,14 @@
 """The word lists behind text evidence, stated as they are used."""
 
-STOP_TOKENS = (
-    "a an and are as be by defect defective good in is it normal of on only or the there to with"
-).split()
+STOP_TOKENS = [
+    "a", "an", "and", "are", "as", "be", "by", "defect", "defective", "good", "in", "is", "it", "normal", "of", "on",
+    "only", "or", "the", "there", "to", "with",
+]
 
-WEAK_TOKENS = (
-    "body color component core inner insulation layer material object outer part ring surface"
-).split()
+WEAK_TOKENS = [
+    "body", "color", "component", "core", "inner", "insulation", "layer", "material", "object", "outer", "part",
+    "ring", "surface",
+]
 
 SPELLING = {
     "colour": "color",
@@ -19,36 +21,47 @@ SPELLING = {
 
 # Visual failure modes and the words that express them.
 ATTRIBUTES = {
-    "shape_deformation": (
-        "bend bent buckl collapsed collaps concave dent deform deformation deformity distort distortion flat flatten "
-        "geometry contour outline misalign misshapen shape symmet symmetry symmetric symmetrical asymmet asymmetry "
-        "asymmetric asymmetrical warp"
-    ).split(),
-    "material_split": "break broken crack fissure fracture jagged rupture separation split tear".split(),
-    "material_cut_or_exposure": "cut expos expose exposure reveal remove scrape slice slit".split(),
-    "surface_abrasion": "abrasion line linear matte scratch scuff thin".split(),
-    "hole_or_puncture": "circular dot gap hole indent penetration poke puncture round void".split(),
-    "absence_or_missing": "absence absent blank empty gap gone hollow lack miss missing sparse void".split(),
-    "color_or_marking": "blemish chipped code discolor faded font identifier imprint ink print stain text".split(),
-    "exposed_material_contrast": "contrast highlight inner light lighter reveal".split(),
-    "fiber_or_thread": "fabric fiber fuzzy string thread weav weave woven".split(),
-    "foreign_metal": "contamination foreign hard metal metallic rigid shiny".split(),
-    "color_layout_mismatch": "coding incorrect mapping mismatch position swap wrong".split(),
+    "shape_deformation": [
+        "bend", "bent", "buckl", "collapsed", "collaps", "concave", "dent", "deform", "deformation", "deformity",
+        "distort", "distortion", "flat", "flatten", "geometry", "contour", "outline", "misalign", "misshapen",
+        "shape", "symmet", "symmetry", "symmetric", "symmetrical", "asymmet", "asymmetry", "asymmetric",
+        "asymmetrical", "warp",
+    ],
+    "material_split": [
+        "break", "broken", "crack", "fissure", "fracture", "jagged", "rupture", "separation", "split", "tear",
+    ],
+    "material_cut_or_exposure": ["cut", "expos", "expose", "exposure", "reveal", "remove", "scrape", "slice", "slit"],
+    "surface_abrasion": ["abrasion", "line", "linear", "matte", "scratch", "scuff", "thin"],
+    "hole_or_puncture": [
+        "circular", "dot", "gap", "hole", "indent", "penetration", "poke", "puncture", "round", "void",
+    ],
+    "absence_or_missing": [
+        "absence", "absent", "blank", "empty", "gap", "gone", "hollow", "lack", "miss", "missing", "sparse", "void",
+    ],
+    "color_or_marking": [
+        "blemish", "chipped", "code", "discolor", "faded", "font", "identifier", "imprint", "ink", "print", "stain",
+        "text",
+    ],
+    "exposed_material_contrast": ["contrast", "highlight", "inner", "light", "lighter", "reveal"],
+    "fiber_or_thread": ["fabric", "fiber", "fuzzy", "string", "thread", "weav", "weave", "woven"],
+    "foreign_metal": ["contamination", "foreign", "hard", "metal", "metallic", "rigid", "shiny"],
+    "color_layout_mismatch": ["coding", "incorrect", "mapping", "mismatch", "position", "swap", "wrong"],
 }
 
-SURFACE_TERMS = (
-    "cut edge irregular layer lighter natural scrape seam separ separation shallow shell surface texture"
-).split()
+SURFACE_TERMS = [
+    "cut", "edge", "irregular", "layer", "lighter", "natural", "scrape", "seam", "separ", "separation", "shallow",
+    "shell", "surface", "texture",
+]
 
-DECISIVE_TERMS = (
-    "absence absent broken contamination crack deep foreign fracture hole ink metal missing print puncture rupture "
-    "split structural tear void"
-).split()
+DECISIVE_TERMS = [
+    "absence", "absent", "broken", "contamination", "crack", "deep", "foreign", "fracture", "hole", "ink", "metal",
+    "missing", "print", "puncture", "rupture", "split", "structural", "tear", "void",
+]
 
-NEGATIONS = "no not without absent absence neither nor".split()
-RESETS = "and but however although though except".split()
-BENIGN_HOLE_WORDS = "board hole holes insert inserted seat seated solder soldered".split()
-EXTRA_ANOMALY_WORDS = "abnormal anomaly damage damaged defect defective".split()
+NEGATIONS = ["no", "not", "without", "absent", "absence", "neither", "nor"]
+RESETS = ["and", "but", "however", "although", "though", "except"]
+BENIGN_HOLE_WORDS = ["board", "hole", "holes", "insert", "inserted", "seat", "seated", "solder", "soldered"]
+EXTRA_ANOMALY_WORDS = ["abnormal", "anomaly", "damage", "damaged", "defect", "defective"]
 
 NORMAL_PHRASES = [
     r"\bnormal\b",
