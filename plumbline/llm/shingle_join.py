@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,14 +172,14 @@ def prefixes(hashes: np.ndarray, number: np.ndarray, classes: np.ndarray, settin
     return out
 
 
-def _described(docs: DataFrame, id_column: str, text: str, classes: np.ndarray, settings: JoinSettings) -> DataFrame:
+def _described(docs: DataFrame, id_column: str, text: str, classes: Broadcast, settings: JoinSettings) -> DataFrame:
     def run(batches):
         for batch in by_bytes(batches, "text"):
             hashes, number = shingle_sets(batch.column("text").to_pylist(), settings.words)
             ends = np.cumsum(number)
             raw = hashes.tobytes()
             signs = [xxhash.xxh3_128_intdigest(raw[8 * (e - n) : 8 * e]) for e, n in zip(ends.tolist(), number.tolist(), strict=True)]
-            got = prefixes(hashes, number, classes, settings)
+            got = prefixes(hashes, number, classes.value, settings)
             # the shortest prefix is what documents meet by
             short = [p[: max(0, len(p) - m + 1)].view(np.int64) for p, m in got]
             yield with_rest(
@@ -262,7 +263,7 @@ def verify(hashes: np.ndarray, number: np.ndarray, classes: np.ndarray, settings
     return links.root
 
 
-def _verified(rows: DataFrame, classes: np.ndarray, settings: JoinSettings) -> DataFrame:
+def _verified(rows: DataFrame, classes: Broadcast, settings: JoinSettings) -> DataFrame:
     """Rows (place, nbh, block, probe, known, text), one task per run of blocks: edges (a, b) between linked classes."""
 
     def blocks(batches):
@@ -288,7 +289,7 @@ def _verified(rows: DataFrame, classes: np.ndarray, settings: JoinSettings) -> D
             place = np.array([r["place"] for r in held])
             probes = np.array([r["probe"] for r in held])
             known = np.array([r["known"] for r in held])
-            root = verify(hashes, number, classes, settings, probes if probes.any() else None, known)
+            root = verify(hashes, number, classes.value, settings, probes if probes.any() else None, known)
             linked = np.flatnonzero(root != np.arange(len(root)))
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(place[linked]), pa.array(place[root[linked]])], names=["a", "b"])
@@ -305,7 +306,8 @@ def near_duplicates(docs: DataFrame, settings: JoinSettings = JoinSettings(), id
     never is a component's id unless all ids of the group are null. Rows that repeat with id and text stand together.
     An empty table gives no rows.
     """
-    classes = frequency_sketch(docs, text, settings)
+    # of a fixed size; sent once and read by every step
+    classes = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, text, settings))
     described = keep(_described(docs, id_column, text, classes, settings))
     lowest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("at")
     sets = described.where("n > 0").groupBy("s1", "s2").agg(lowest, F.first("prefix").alias("prefix"))
