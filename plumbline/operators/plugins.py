@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.arrays import mask_stats
-from plumbline.operators.regions import propose
 
 SCORE_SCHEMA = "image_id long, height int, width int, vals array<double>, image_score double, category string, error string"
 
@@ -116,14 +115,3 @@ def mask_audit(rows: DataFrame, configured: Column | None = None) -> DataFrame:
     return rows.select(
         "image_id", status.alias("status"), (status == "box_prompt_refinement").alias("mask_valid"), area.alias("area_pixels"), "mask_score"
     )
-
-
-@F.udtf(returnType="rank int, x int, y int, w int, h int, score double")
-class HeatmapRegions:
-    """Table function: region rows of one heatmap, for lateral joins."""
-
-    def eval(self, vals, height: int, width: int, image_cut: float, pixel_cut: float):
-        heat = np.asarray(vals, dtype=np.float64).reshape(height, width)
-        found = propose(heat, image_cut, pixel_cut, "", top_k=3, min_area=1, kernel=3)
-        for rank, region in enumerate(found, start=1):
-            yield (rank, *region[:4], region[4])

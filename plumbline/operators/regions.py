@@ -1,4 +1,4 @@
-"""Connected regions of heatmaps, region proposals, smoothing and region overlap curves.
+"""Connected regions of heatmaps and region overlap curves.
 
 Spark partitions the images; the helpers below work on one image's array inside a task.
 """
@@ -10,13 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NEAR_THRESHOLD = 0.95
-VISUAL_TASKS = ("defect localization", "defect classification", "defect description", "defect analysis")
-PROPOSAL_SCHEMA = (
-    "x int, y int, w int, h int, score double, source string, component_id int, selection_score double, "
-    "selection_reason string, pixel_threshold double, coverage double, compactness double, robust_peak_z double"
-)
-
 
 def _grid(values, height, width) -> np.ndarray:
     return np.asarray(values, dtype=np.float64).reshape(int(height), int(width))
@@ -58,156 +51,6 @@ def label_components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
     return out.reshape(h, w)
 
 
-def _spread(mask: np.ndarray, size: int) -> np.ndarray:
-    """Dilation by a square of odd or even ``size``, anchored at its centre."""
-    before = size // 2
-    after = size - 1 - before
-    out = mask
-    for axis in (0, 1):
-        pad = [(0, 0), (0, 0)]
-        pad[axis] = (after, before)
-        wide = np.pad(out, pad)
-        n = out.shape[axis]
-        out = np.zeros_like(out)
-        for i in range(size):
-            out |= np.take(wide, range(i, i + n), axis=axis)
-    return out
-
-
-def _shrink(mask: np.ndarray, size: int) -> np.ndarray:
-    return ~_spread(~mask, size)
-
-
-def _outer_regions(mask: np.ndarray):
-    """Outer contours of a mask: (x, y, w, h, enclosed area) each, holes filled.
-
-    The area is that of the polygon through the border pixels' centres: by Pick's theorem
-    the filled pixel count less half the border pixels less one.
-    """
-    h, w = mask.shape
-    outside = label_components(np.pad(~mask, 1, constant_values=True), diagonal=False)
-    filled = (outside != outside[0, 0])[1:-1, 1:-1]
-    labels = label_components(filled)
-    padded = np.pad(filled, 1)
-    inner = padded[:-2, 1:-1] & padded[2:, 1:-1] & padded[1:-1, :-2] & padded[1:-1, 2:]
-    border = filled & ~inner
-    regions = []
-    for i in range(1, labels.max() + 1 if labels.size else 1):
-        ys, xs = np.nonzero(labels == i)
-        edge = int(border[ys, xs].sum())
-        area = max(0.0, len(ys) - edge / 2.0 - 1.0)
-        regions.append((int(xs.min()), int(ys.min()), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1, area))
-    return regions
-
-
-def grouped_regions(heat, pixel_cut, image_cut, top_k, min_area, kernel, source):
-    """Regions above ``pixel_cut`` whose peak reaches ``image_cut``; close ones are grouped by dilation."""
-    mask = heat > pixel_cut
-    labels = label_components(mask)
-    if not labels.any():
-        return []
-    peaks = np.full(labels.max() + 1, -np.inf)
-    np.maximum.at(peaks, labels.ravel(), heat.ravel())
-    ids = [i for i in range(1, len(peaks)) if peaks[i] >= image_cut]
-    ids = sorted(ids, key=lambda i: -peaks[i])[:top_k]
-    if not ids:
-        return []
-    out = []
-    for x, y, w, h, area in _outer_regions(_spread(np.isin(labels, ids), kernel)):
-        if area < min_area:
-            continue
-        window = np.s_[y : y + h, x : x + w]
-        score = float(heat[window].max())
-        inside = [i for i in np.unique(labels[window]) if i in ids]
-        best = max(inside, key=lambda i: peaks[i]) if inside else None
-        out.append((x, y, w, h, score, source, best, score, "strict_threshold_component", float(pixel_cut), None, None, None))
-    return sorted(out, key=lambda r: -r[4])[:top_k]
-
-
-def _cutoff(heat, fraction, min_pixels):
-    ok = heat[np.isfinite(heat)]
-    positive = np.sort(ok[ok > 0])[::-1]
-    if positive.size == 0:
-        return None
-    count = max(int(min_pixels or 1), int(np.rint(positive.size * min(0.2, max(0.001, fraction)))))
-    return max(0.0, float(positive[min(count, positive.size) - 1]))
-
-
-def tail_regions(heat, top_k, min_area, kernel, fraction, source):
-    """Regions of the highest-valued pixels, ranked by peak, tail mean, coverage and compactness."""
-    cut = _cutoff(heat, fraction, min_area)
-    if cut is None:
-        return []
-    mask = heat >= cut
-    size = max(1, heat.size)
-    ok = heat[np.isfinite(heat)]
-    middle = float(np.median(ok))
-    scale = max(1e-6, 1.4826 * float(np.median(np.abs(ok - middle))))
-    out = []
-    closed = _shrink(np.pad(_spread(np.pad(mask, kernel), kernel), 0), kernel)[kernel:-kernel, kernel:-kernel]
-    for number, (x, y, w, h, area) in enumerate(_outer_regions(_spread(closed, kernel)), start=1):
-        if area < min_area:
-            continue
-        roi = heat[y : y + h, x : x + w]
-        tail = roi[roi >= cut]
-        if tail.size == 0:
-            continue
-        peak, mean = float(roi.max()), float(tail.mean())
-        coverage = min(1.0, tail.size / max(1, w * h) * 8.0)
-        compact = min(1.0, tail.size / size * 200.0)
-        if peak <= middle or mean <= middle or (w * h / size > 0.65 and coverage < 0.25):
-            continue
-        rank = 0.60 * peak + 0.25 * mean + 0.10 * coverage + 0.05 * compact
-        z = max(0.0, (peak - middle) / scale)
-        out.append((x, y, w, h, peak, source, number, rank, f"{source}_heatmap_component", cut, coverage, compact, z))
-    return sorted(out, key=lambda r: (-r[7], -r[4]))[:top_k]
-
-
-def propose(
-    heat,
-    image_cut,
-    pixel_cut,
-    task="",
-    *,
-    top_k=3,
-    min_area=50,
-    kernel=15,
-    fallback_score=0.15,
-    fallback_area=20,
-    fraction=0.015,
-):
-    """Region proposals of one map by task: strict regions first, then the task's fallback."""
-    name = (task or "").lower()
-    strict = grouped_regions(heat, pixel_cut, image_cut, top_k, min_area, kernel, "strict")
-    if strict:
-        return strict
-    if name in VISUAL_TASKS:
-        return grouped_regions(heat, pixel_cut, fallback_score, 1, fallback_area, 5, "weak_pixel_threshold_fallback")
-    ok = heat[np.isfinite(heat)]
-    peak = float(ok.max()) if ok.size else 0.0
-    if name == "anomaly detection" and image_cut > 0 and image_cut * NEAR_THRESHOLD <= peak < image_cut:
-        return tail_regions(heat, top_k, fallback_area, 5, fraction, "near_threshold_ad_ranked_tail")
-    return []
-
-
-def region_proposals(maps: DataFrame, **options) -> DataFrame:
-    """``maps``: image_id, height, width, vals, image_cut, pixel_cut, task -> one row per proposal."""
-
-    def run(batches):
-        names = ["image_id", "rank"] + [c.split()[0] for c in PROPOSAL_SCHEMA.split(", ")]
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                found = propose(_grid(r.vals, r.height, r.width), r.image_cut, r.pixel_cut, r.task, **options)
-                rows += [(r.image_id, i + 1, *p) for i, p in enumerate(found)]
-            out = pd.DataFrame(rows, columns=names)
-            out["component_id"] = out["component_id"].astype("Int32")
-            yield out
-
-    need = maps.select("image_id", "height", "width", "vals", "image_cut", "pixel_cut", "task")
-    return need.mapInPandas(run, f"image_id long, rank int, {PROPOSAL_SCHEMA}")
-
-
 def component_labels(masks: DataFrame, mask: str = "mask") -> DataFrame:
     """Add ``labels``: flat 8-connected component ids (0 is background). ``masks``: image_id, height, width."""
 
@@ -223,62 +66,6 @@ def component_labels(masks: DataFrame, mask: str = "mask") -> DataFrame:
     return rows.mapInPandas(run, "image_id long, labels array<int>")
 
 
-def gaussian_weights(sigma: float, truncate: float = 4.0) -> np.ndarray:
-    radius = int(truncate * sigma + 0.5)
-    at = np.arange(-radius, radius + 1)
-    weights = np.exp(-0.5 * (at / sigma) ** 2)
-    return weights / weights.sum()
-
-
-def smooth(heat: np.ndarray, sigma: float) -> np.ndarray:
-    """Separable Gaussian filter with mirrored borders (edge pixel repeated)."""
-    weights = gaussian_weights(sigma)
-    radius = len(weights) // 2
-    for axis in (0, 1):
-        pad = [(0, 0), (0, 0)]
-        pad[axis] = (radius, radius)
-        wide = np.pad(heat, pad, mode="symmetric")
-        heat = sum(w * np.take(wide, range(i, i + heat.shape[axis]), axis=axis) for i, w in enumerate(weights))
-    return heat
-
-
-def resize_bilinear(heat: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear resize with pixel centres at half positions."""
-
-    def weights(n_in, n_out):
-        at = np.clip((np.arange(n_out) + 0.5) * n_in / n_out - 0.5, 0, None)
-        low = np.minimum(np.floor(at).astype(int), n_in - 1)
-        return low, np.minimum(low + 1, n_in - 1), at - low
-
-    y0, y1, fy = weights(heat.shape[0], height)
-    x0, x1, fx = weights(heat.shape[1], width)
-    rows = heat[y0] * (1 - fy)[:, None] + heat[y1] * fy[:, None]
-    return rows[:, x0] * (1 - fx) + rows[:, x1] * fx
-
-
-def smoothed_maps(maps: DataFrame, sigma: float = 4.0, size: tuple[int, int] | None = None) -> DataFrame:
-    """Smooth every map and optionally resize it. ``maps``: image_id, height, width, vals."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                heat = smooth(_grid(r.vals, r.height, r.width), sigma)
-                out.append(heat if size is None else resize_bilinear(heat, *size))
-            yield pd.DataFrame(
-                {
-                    "image_id": pdf["image_id"],
-                    "height": [o.shape[0] for o in out],
-                    "width": [o.shape[1] for o in out],
-                    "vals": [o.ravel().tolist() for o in out],
-                }
-            )
-
-    return maps.select("image_id", "height", "width", "vals").mapInPandas(
-        run, "image_id long, height int, width int, vals array<double>"
-    )
-
-
 def region_overlap_area(maps: DataFrame, key: str = "category", steps: int = 200, limit: float = 0.3) -> DataFrame:
     """Area under the mean-region-recall curve for false-positive rates below ``limit``, rescaled to 0..1.
 

@@ -425,39 +425,6 @@ def merge_masks(rows, key: str, threshold: float):
     )
 
 
-def _proposal_maps(spark, folder, task):
-    cut = A.adaptive_cutoffs(F.col("vals"), A.tail_mean(F.col("vals"), 0.01), A.tail_mean(F.col("vals"), 0.05))
-    return heatmaps(spark, folder).withColumn("c", cut).select(
-        "image_id", "height", "width", "vals", F.col("c.image").alias("image_cut"), F.col("c.pixel").alias("pixel_cut"), F.lit(task).alias("task")
-    )
-
-
-@query("reg1_region_proposals")
-def region_proposals(spark, folder):
-    """Proposals of the anomaly path: cutoffs from the map itself, minimum area and kernel from its size."""
-    maps = _proposal_maps(spark, folder, "Defect Localization")
-    return R.region_proposals(maps, top_k=3, min_area=1, kernel=3, fallback_score=0.0, fallback_area=1, fraction=0.02)
-
-
-@query("reg3_grouped_regions")
-def grouped_regions(spark, folder):
-    maps = _proposal_maps(spark, folder, "object analysis")
-    return R.region_proposals(maps, top_k=3, min_area=2, kernel=3)
-
-
-@query("reg4_tail_regions")
-def tail_regions(spark, folder):
-    """Near-threshold maps of the detection task: peak just below the image cutoff."""
-    maps = _proposal_maps(spark, folder, "Anomaly Detection").withColumn("image_cut", F.array_max("vals") * 1.02)
-    return R.region_proposals(maps, top_k=3, min_area=50, fallback_area=2, fraction=0.1)
-
-
-@query("sco14_smoothed_maps")
-def smoothed_maps(spark, folder):
-    out = R.smoothed_maps(heatmaps(spark, folder), sigma=4.0, size=(16, 16))
-    return out.select("image_id", "height", "width", F.round(A.total(F.col("vals")), 6).alias("total"), F.round(F.array_max("vals"), 6).alias("peak"))
-
-
 @query("agg11_region_overlap_area")
 def region_overlap_area(spark, folder):
     return R.region_overlap_area(heatmaps(spark, folder))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import answers as A
 from plumbline.functions import arrays as AR
-from plumbline.operators import augment as AU
 from plumbline.operators import calibrate as cal
 from plumbline.operators import plugins as P
 from plumbline.plans.calibration import STATS_SQL
@@ -134,36 +133,6 @@ def mask_audit(spark, folder):
     return P.mask_audit(rows).drop("mask_score")
 
 
-@query("udf7_region_rows")
-def region_rows(spark, folder):
-    """Region proposals as a table function joined laterally."""
-    maps = heatmaps(spark, folder).select("image_id", "vals", "height", "width")
-    cut = F.array_max("vals")
-    maps = maps.select("image_id", "vals", "height", "width", (cut * 0.95).alias("image_cut"), (cut * 0.6).alias("pixel_cut"))
-    made = P.HeatmapRegions(*[F.col(c).outer() for c in ("vals", "height", "width", "image_cut", "pixel_cut")])
-    return maps.lateralJoin(made).select("image_id", "rank", "x", "y", "w", "h", "score")
-
-
-@query("aug1_augmented_images")
-def augmented_images(spark, folder):
-    out = AU.augmented(heatmaps(spark, folder))
-    return out.select("image_id", "variant", "height", "width", F.round(AR.total(F.col("vals")), 6).alias("total"))
-
-
-@query("aug2_pasted_patches")
-def pasted_patches(spark, folder):
-    names = [f"cat{i}" for i in range(10)]
-    rows = [
-        (n, 0.1, 0.3, "swap" if i % 2 else "uniform", ["binary", "intensity", "logistic"][i % 3], 12.0, 0.1, 1e-6)
-        for i, n in enumerate(names)
-    ]
-    parameters = spark.createDataFrame(
-        rows, "category string, low double, high double, mode string, label string, slope double, centre double, tolerance double"
-    )
-    out = AU.pasted(heatmaps(spark, folder), parameters)
-    return out.select("image_id", "category", F.size(F.filter("labels", lambda v: v > 0)).alias("changed_pixels"), F.round(AR.total(F.col("vals")), 6).alias("total"))
-
-
 # --- streaming: the source is a table folder, everything available is processed --------
 
 
@@ -251,5 +220,3 @@ def running_accuracy(spark, folder):
     out = _place(spark, "totals")
     jobs.write_versions(jobs.running_accuracy(rows, ("subclass",)), out, _place(spark, "totals-state")).awaitTermination()
     return jobs.latest_version(spark, out).select("subclass", "total", "correct", F.round("accuracy", 6).alias("accuracy"))
-
-

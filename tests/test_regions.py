@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 
-from plumbline.operators import augment as AU
 from plumbline.operators import regions as R
 
 
@@ -28,34 +27,6 @@ def test_labels_match_flood_fill():
             assert np.array_equal(R.label_components(mask), flood(mask))
 
 
-def test_contour_area_of_a_block_and_a_ring():
-    mask = np.zeros((20, 20), bool)
-    mask[3:9, 4:14] = True
-    assert R._outer_regions(mask) == [(4, 3, 10, 6, 45.0)]  # (10 - 1) * (6 - 1)
-    mask[5:7, 6:9] = False  # a hole does not change the outer contour
-    assert R._outer_regions(mask) == [(4, 3, 10, 6, 45.0)]
-
-
-def test_strict_regions_group_near_peaks():
-    heat = np.zeros((32, 32))
-    heat[5:8, 5:8] = 0.9
-    heat[5:8, 10:13] = 0.7
-    heat[25, 25] = 0.4
-    found = R.propose(heat, 0.6, 0.5, "Anomaly Detection", min_area=1, kernel=5)
-    assert [f[:5] for f in found] == [(3, 3, 12, 7, 0.9)]
-    weak = R.propose(heat, 2.0, 0.3, "Defect Localization", min_area=1, fallback_score=0.15, fallback_area=1)
-    assert len(weak) == 1 and weak[0][5] == "weak_pixel_threshold_fallback"
-    near = R.propose(heat, 0.92, 0.95, "anomaly detection", min_area=1, fallback_area=1)
-    assert near and near[0][5] == "near_threshold_ad_ranked_tail"
-    assert R.propose(heat, 2.0, 0.95, "object details") == []
-
-
-def test_smoothing_keeps_mass_and_resize_keeps_constants():
-    heat = np.random.default_rng(1).random((16, 16))
-    assert R.smooth(heat, 2.0).sum() == pytest.approx(heat.sum())
-    assert np.allclose(R.resize_bilinear(np.full((4, 4), 2.0), 9, 7), 2.0)
-
-
 def test_overlap_area_matches_direct_computation(spark):
     rng = np.random.default_rng(2)
     rows, maps, masks = [], [], []
@@ -80,11 +51,3 @@ def test_overlap_area_matches_direct_computation(spark):
     x = (fprs[keep] - fprs[keep].min()) / (fprs[keep].max() - fprs[keep].min())
     want = abs(np.trapezoid(pros[keep], x))
     assert got == pytest.approx(want, abs=1e-9)
-
-
-def test_augmentation_variants():
-    image = np.arange(12.0).reshape(3, 4)
-    assert len(AU.VARIANTS) == 21
-    assert np.array_equal(AU.transform(image, "flip"), image[:, ::-1])
-    assert AU.transform(image, "quarter_1").shape == (4, 3)
-    assert np.allclose(AU._warp(image, np.array([[1.0, 0, 0], [0, 1, 0]])), image)
