@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.session import ensure_checkpoint_dir
 
 #: Bytes of text that a task's function works on at once.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -333,10 +333,15 @@ def near_duplicates(docs: DataFrame, settings: JoinSettings = JoinSettings(), id
         # what is not connected to the largest part of its neighbourhood meets every block of it
         found = components(links)
         known = several.join(found.select(F.col("node").alias("place"), "root"), "place", "left").withColumn("known", F.coalesce("root", "place"))
-        parts = known.groupBy("nbh", "known").count().groupBy("nbh").agg(F.max_by("known", "count").alias("largest"))
-        known = known.join(parts, "nbh")
-        probes = known.where("known <> largest").withColumn("probe", F.lit(True)).withColumn("block", everywhere)
-        links = keep(links.unionAll(_verified(known.select(columns).unionAll(probes.select(columns)), classes, settings)))
+        parts = known.groupBy("nbh", "known").count().groupBy("nbh").agg(F.max_by("known", "count").alias("largest"), F.sum("count").alias("all"), F.max("count").alias("most"))
+        rest = parts.where("all > most").select("nbh", "largest", F.ceil((F.col("all") - F.col("most")) / settings.block).alias("sides"))
+        known = keep(known.join(rest, "nbh"))
+        # a block of members meets a block of such rows, so a task holds two blocks at most
+        side = F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1))
+        members = known.withColumn("side", side).withColumn("block", F.col("block") * F.col("sides") + F.col("side"))
+        probes = known.where("known <> largest").withColumn("probe", F.lit(True)).withColumn("side", F.pmod(F.xxhash64(F.lit(3), F.col("place")), F.col("sides")))
+        probes = probes.withColumn("block", everywhere).withColumn("block", F.col("block") * F.col("sides") + F.col("side"))
+        links = keep(links.unionAll(_verified(members.select(columns).unionAll(probes.select(columns)), classes, settings)))
     groups = components(links)
     named = sets.join(groups.select(F.col("node").alias("place"), "root"), "place", "left").withColumn("root", F.coalesce("root", "place"))
     heads = named.groupBy("root").agg(F.min("at").alias("head"))
