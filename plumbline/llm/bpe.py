@@ -51,7 +51,8 @@ def byte_letters() -> dict[int, str]:
 class Vocabulary:
     """A byte-level BPE vocabulary file (tokenizers' JSON): encode, decode, forced boundaries."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_parts: int = KNOWN_PARTS):
+        self.known_parts = known_parts
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         byte_of = {letter: b for b, letter in byte_letters().items()}
@@ -131,7 +132,7 @@ class Vocabulary:
     def _missing(self, part: str) -> tuple[int, ...]:
         ids = self.older.get(part) or self.encode_part(part)
         if len(part) <= KNOWN_LENGTH:
-            if len(self.known) >= KNOWN_PARTS // 2:
+            if len(self.known) >= self.known_parts // 2:
                 self.older, self.known = self.known, {}
             self.known[part] = ids
         return ids
@@ -154,8 +155,8 @@ class Vocabulary:
 
 
 @functools.lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(path: str, known_parts: int = KNOWN_PARTS) -> Vocabulary:
+    return Vocabulary(path, known_parts)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep_columns: tuple[str, ...] = (), out: str = "token_ids") -> DataFrame:
@@ -186,16 +187,18 @@ def decode(encoded: DataFrame, path: str, ids: str = "token_ids", keep_columns:
     return encoded.select(*columns, ids).mapInArrow(run, _schema([encoded.schema[c] for c in columns], f"{out} string"))
 
 
-def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", known_parts: int = KNOWN_PARTS) -> DataFrame:
     """Encode every text, decode its ids again and digest both, in one pass.
 
+    ``known_parts`` bounds what a worker remembers between texts: memory against time.
+
     Rows: the id column, ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas), ``decoded_sha256`` (decoded text
     in UTF-8). Null and empty texts have no tokens; their digests are those of the empty string. Repeated rows and null
     ids give a row each; other columns are not read. An empty table gives no rows.
     """
 
     def run(batches):
-        vocab = vocabulary(path)
+        vocab = vocabulary(path, known_parts)
         names, tokens = vocab.text_of, vocab.bytes_of
         for batch in by_bytes(batches, text):
             counts, ids_sha, text_sha = [], [], []
