@@ -39,6 +39,8 @@ WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[\s\xa0]+")
 #: A path is a host's if at least this share of the host's pages voted for it, so a host has at most 1 / share paths.
 MIN_SHARE = 0.05
+#: Keys that the pages of one host are dealt over.
+HOST_PARTS = 64
 
 
 class Node:
@@ -213,6 +215,9 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url: str = "url", ht
 
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     rows = rows.mapInArrow(with_host, _schema([*rows.schema], "host string"))
-    joined = rows.join(paths, "host", "left").select("page_id", "url", "html", "paths")
+    # the pages of a host are dealt over several keys, each with the host's few paths, so that a frequent host is no single task
+    paths = paths.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(HOST_PARTS)).cast("int"))
+    joined = rows.join(paths, ["host", "part"], "left").select("page_id", "url", "html", "paths")
     out = joined.mapInArrow(run, _schema([rows.schema["page_id"], rows.schema["url"]], "text string, n_chars long, path string"))
     return out.select(F.col("page_id").alias(id_column), F.col("url").alias(url), "text", "n_chars", "path")
