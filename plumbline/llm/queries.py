@@ -70,7 +70,7 @@ def op7_toxicity(spark, folder):
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True)).alias("held_out")
     docs = table(spark, folder, "documents").select("doc_id", "text", held_out)
     labels = table(spark, folder, "labels").select("doc_id", "toxic")
-    model = toxicity.train(docs.where(F.col("held_out") == F.lit(False)).join(labels, "doc_id"))
+    model = toxicity.train(docs.where(F.col("held_out") == F.lit(False)), labels=labels)
     scored = toxicity.score(docs, model, keep_columns=("doc_id", "held_out"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 

@@ -119,19 +119,26 @@ def _separating(toxic: list[str], ordinary: list[str], settings: ToxicitySetting
     return "".join(reversed(chosen)).encode()
 
 
-def train(rows: DataFrame, label: str = "toxic", text: str = "text", settings: ToxicitySettings = ToxicitySettings()) -> ToxicityModel:
+def train(rows: DataFrame, label: str = "toxic", text: str = "text", settings: ToxicitySettings = ToxicitySettings(), labels: DataFrame | None = None, id_column: str = "doc_id") -> ToxicityModel:
     """Learn from a bounded sample of labelled rows: ``bins`` texts per label, ``sample_chars`` code points of each.
 
+    Labels in a table of their own (``labels``) are joined to the hashes of the texts, so that no text is shuffled.
+
     Two thirds of the sampled texts train the dictionaries; the last third calibrates threshold and curve. With fewer than two
     texts of a label every score is the smoothed share of the toxic rows.
     """
-    hashed = rows.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    own = [F.col(id_column)] if labels is not None else [F.col(label)]
+    hashed = rows.where(F.col(text).isNotNull()).select(*own, F.xxhash64(text).alias("h"))
+    if labels is not None:
+        hashed = hashed.join(labels.select(id_column, label), id_column)
+    hashed = hashed.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), "h")
     counts = {r["label"]: r["count"] for r in hashed.groupBy("label").count().collect()}
-    chosen = hashed.groupBy("label", F.pmod("h", F.lit(settings.bins)).alias("bin")).agg(F.min("h").alias("h")).select("label", "h")
+    chosen = hashed.groupBy("label", F.pmod("h", F.lit(settings.bins)).alias("bin")).agg(F.min("h").alias("h")).select("label", "h").distinct()
+    texts = rows.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     size = settings.sample_chars
     start = F.when(F.length("text") > size, F.pmod(F.shiftright("h", 8), F.length("text") - size + 1)).otherwise(F.lit(0)).cast("int") + 1
     # at most 2 * bins rows of bounded length
-    sample = hashed.join(F.broadcast(chosen), ["label", "h"]).groupBy("label", "h").agg(F.first(F.substr("text", start, F.lit(size))).alias("text"))
+    sample = texts.join(F.broadcast(chosen), "h").groupBy("label", "h").agg(F.first(F.substr("text", start, F.lit(size))).alias("text"))
     got: dict[int, list[str]] = {0: [], 1: []}
     for r in sample.orderBy("h", "label").toLocalIterator():
         got[r["label"]].append(r["text"])
