@@ -359,7 +359,18 @@ def near_duplicates(docs: DataFrame, settings: JoinSettings = JoinSettings(), id
 
 
 def drop_near_duplicates(docs: DataFrame, settings: JoinSettings = JoinSettings(words=5, percent=80), id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their groups, with all their columns."""
-    stay = near_duplicates(docs, settings, id_column, text).where("representative").select(F.col(id_column).cast("long").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
+    """The rows of ``docs`` that stand for their groups, with all their columns: one row of each group that has words.
+
+    Of rows that repeat with id (or a null one) and text, the one whose other columns come first as JSON stays. Rows without words all stay."""
+    keys = ["__id", "__t1", "__t2"]
+    stay = near_duplicates(docs, settings, id_column, text).where("representative")
+    stay = stay.groupBy(F.col(id_column).cast("long").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
+    stay = keep(stay.agg(((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("__again")))
     on = docs[id_column].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__t1")) & (F.xxhash64(F.lit(1), docs[text]) == F.col("__t2"))
-    return docs.join(stay.distinct(), on, "left_semi")
+    once = docs.join(stay.where("not __again"), on, "left_semi")
+    again = docs.join(stay.where("__again"), on)
+    # only repeated rows are grouped; they share their text, so it has no part in the order
+    order = F.to_json(F.struct(*(docs[c] for c in docs.columns if c != text)), {"ignoreNullFields": "false"})
+    row = F.struct(*(docs[c] for c in docs.columns))
+    chosen = again.groupBy(*keys).agg(F.min_by(row, order).alias("__row"))
+    return once.unionAll(chosen.select(*(F.col("__row")[c].alias(c) for c in docs.columns)))

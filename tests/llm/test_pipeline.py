@@ -71,3 +71,20 @@ def test_empty_table(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0
         docs = out if "text" in out.columns else docs
+
+
+def test_repeated_rows_leave_one(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    known, nameless, kinds, single = (prose(200) for _ in range(4))
+    rows = [(1, known, "a")] * 3 + [(None, nameless, "a")] * 3 + [(2, kinds, "b"), (2, kinds, "a"), (2, kinds, None)] + [(3, single, "a"), (None, single, "a"), (None, single + " more", "a")]
+    docs = spark.createDataFrame([(i, t, s, len(t)) for i, t, s in rows], "doc_id long, text string, source string, n_chars long").repartition(4)
+    near = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert near.schema == docs.schema
+    left = sorted(((r.doc_id, r.text, r.source) for r in near.collect()), key=str)
+    assert left == sorted([(1, known, "a"), (None, nameless, "a"), (2, kinds, "a"), (3, single, "a")], key=str)
+    after = corpus_pipeline.repeated_passages(spark, near, str(tmp_path)).collect()
+    assert sorted((r.text for r in after)) == sorted([known, nameless, kinds, single])
+    empty = spark.createDataFrame([(None, None, "a", 0)] * 2 + [(5, " ", "a", 1)] * 2, docs.schema)
+    assert corpus_pipeline.near_duplicates(spark, empty, str(tmp_path)).count() == 4
