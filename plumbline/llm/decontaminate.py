@@ -5,6 +5,10 @@ lower case without punctuation around it. Windows of canonical words of the docu
 Where enough of an item's windows match, the values in its placeholders are compared on the best alignment: they are consistent when
 equal values stand for equal values, both ways. So a question with other numbers or names is caught, and
 a text that merely has the same shape is not.
+
+Two more kinds of windows find what these templates miss: templates in which a capitalised word at the start of a sentence is a name too,
+unless it is a function word, and the words as they are in lower case, for copies whose case differs. A pair that the first
+templates find is judged by them.
 """
 
 from __future__ import annotations
@@ -24,6 +28,12 @@ QUANTITY = r"^[0-9][0-9.,]*[a-zµ°]{1,4}$"
 NAME = r"^\p{Lu}\p{Ll}+$"
 MARKED = r"^[\p{Lu}0-9$€£]"
 SENTENCE_END = r"[.!?:]$"
+FUNCTION_WORDS = """a about after all also although an and another any are as at because before both but by can could did do does during each either
+every few find for from had has have he her here his how i if in is it its let many may more most much my neither no nor not now of on once one only
+or our out over she should since so some such than that the their them then there these they this those though through to under until up was we were
+what when where whether which while who whose why will with would yes yet you your""".split()
+#: Kinds of windows: templates, templates with names at the starts of sentences, words in lower case.
+TEMPLATE, NAMED, LITERAL = 1, 2, 3
 NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
 UNITS = """mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers
 mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres
@@ -35,11 +45,13 @@ cent cents dollar dollars euro euros percent degrees mph kmh""".split()
 class TemplateSettings:
     """``window``: words per template window. ``min_literals``: fewer words that are no placeholder make a window too
     common to tell anything; such windows of the benchmark are left out. ``min_share``: matched share of an item's windows.
+    ``min_words``: fewest equal words on the best alignment (all words of a shorter item) of a pair that only the other kinds of windows find.
     ``broadcast_rows``: a table of more rows (of a few numbers each) than this is joined by shuffle."""
 
     window: int = 5
     min_literals: int = 3
     min_share: float = 0.5
+    min_words: int = 8
     broadcast_rows: int = 500_000
 
 
@@ -66,11 +78,24 @@ def templates(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     return hold(second.select(*keys, "cores", canon.alias("canon")))
 
 
+def _named(canon: Column, core: Column) -> Column:
+    """A canonical word in which a capitalised word is a name wherever it stands."""
+    return F.when(canon == core, canon).when(~canon.startswith("<") & core.rlike(NAME) & ~canon.isin(FUNCTION_WORDS), "<name>").otherwise(canon)
+
+
 def _windows(table: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """``keys``, the place and the hash of each window of canonical words."""
-    hashed = hold(table.select(*keys, F.transform("canon", lambda c: F.xxhash64(c)).alias("h")))
-    places = F.when(F.size("h") >= size, F.sequence(F.lit(1), F.size("h") - size + 1)).otherwise(F.array().cast("array<int>"))
-    return hashed.select(*keys, F.posexplode(F.transform(places, lambda i: F.xxhash64(F.slice("h", i, size)))).alias("place", "window"))
+    """``keys``, the place and the hashes ``w1`` to ``w3`` (by kind) of each window of words."""
+    named = F.zip_with("canon", "cores", lambda k, c: F.xxhash64(_named(k, c)))
+    folded = F.transform("cores", lambda c: F.xxhash64(F.lower(c)))
+    hashed = hold(table.select(*keys, F.transform("canon", lambda c: F.xxhash64(c)).alias("h1"), named.alias("h2"), folded.alias("h3")))
+    places = F.when(F.size("h1") >= size, F.sequence(F.lit(1), F.size("h1") - size + 1)).otherwise(F.array().cast("array<int>"))
+    window = lambda i: F.struct(*(F.xxhash64(F.slice(f"h{k}", i, size)).alias(f"w{k}") for k in (1, 2, 3)))
+    return hashed.select(*keys, F.posexplode(F.transform(places, window)).alias("place", "w")).select(*keys, "place", "w.*")
+
+
+def _of_kinds(windows: DataFrame) -> DataFrame:
+    """A row per different hash of a place, as ``window``."""
+    return windows.withColumn("window", F.explode(F.array_distinct(F.array("w1", "w2", "w3"))))
 
 
 def _small(table: DataFrame, rows: int) -> DataFrame:
@@ -79,45 +104,59 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: TemplateSettings = TemplateSettings(), id_column: str = "doc_id", item_column: str = "item_id", text: str = "text") -> DataFrame:
-    """Pairs of a document and a benchmark item of which at least ``min_share`` of the template windows are in the document.
+    """Pairs of a document and a benchmark item of which at least ``min_share`` of the windows of a kind are in the document.
 
-    Rows: the ids, ``n_windows`` of the item, ``n_matched`` of them, ``n_slots`` (placeholders in matched windows on the best
+    Rows: the ids, ``n_windows`` of the item (of the first kind that finds the pair), ``n_matched`` of them, ``n_slots`` (placeholders in matched windows on the best
     alignment), ``changed_slots`` (those whose value differs), ``consistent`` and ``contaminated`` (= consistent). Null and
     empty texts match nothing, nor do items with no window that has enough literal words. Rows that repeat with id and text give one pair; a null
     id is kept. Several items, or copies of an item, give a pair each. Empty tables give no rows.
     """
     size = settings.window
     items = benchmark.select(F.col(item_column).alias("item"), F.col(text).alias("text")).distinct()
-    items = keep(templates(items, ["item", "text"]).withColumn("key", F.xxhash64("item", "text")))
+    items = templates(items, ["item", "text"]).withColumn("key", F.xxhash64("item", "text"))
     literal = lambda c: ~c.startswith("<")
-    usable = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("canon") - size + 1, F.lit(1))),
-        lambda i: F.when(F.size("canon") - i + 1 >= size, F.size(F.filter(F.slice("canon", i, size), literal)) >= settings.min_literals).otherwise(F.lit(False)),
-    )
-    usable = items.select("key", usable.alias("ok"))
-    index = _windows(items, ["key"], size).join(usable, "key").where(F.element_at("ok", F.col("place") + 1)).select("key", F.col("place").alias("item_place"), "window")
-    index = keep(index)
-    totals = index.groupBy("key").agg(F.count("*").alias("n_windows"))
+    items = keep(items.withColumn("named", F.zip_with("canon", "cores", _named)).withColumn("folded", F.transform("cores", lambda c: F.lower(c))))
+
+    def usable(canon):
+        enough = lambda i: F.when(F.size(canon) - i + 1 >= size, F.size(F.filter(F.slice(canon, i, size), literal)) >= settings.min_literals).otherwise(F.lit(False))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(canon) - size + 1, F.lit(1))), enough)
+
+    ok = items.select("key", usable("canon").alias("ok1"), usable("named").alias("ok2"))
+    at = F.col("place") + 1
+    wanted = [F.when(F.element_at("ok1", at), F.struct(F.lit(TEMPLATE).alias("kind"), F.col("w1").alias("window"))), F.when(F.element_at("ok2", at), F.struct(F.lit(NAMED).alias("kind"), F.col("w2").alias("window"))), F.struct(F.lit(LITERAL).alias("kind"), F.col("w3").alias("window"))]
+    index = _windows(items, ["key"], size).join(ok, "key").select("key", F.col("place").alias("item_place"), F.explode(F.filter(F.array(*wanted), lambda w: w.isNotNull())).alias("w"))
+    index = keep(index.select("key", "item_place", "w.*"))
+    totals = index.groupBy("key", "kind").agg(F.count("*").alias("n_windows"))
 
     keys = ["id", "t1", "t2"]
     rows = docs.where(F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), F.col(text)).alias("t2"), F.col(text).alias("text"))
-    found = _windows(templates(rows, keys), keys, size).join(_small(index, settings.broadcast_rows), "window")
+    found = _of_kinds(_windows(templates(rows, keys), keys, size)).join(_small(index, settings.broadcast_rows), "window")
+    # the hash of one kind says nothing of another
+    found = found.where(F.col("window") == F.when(F.col("kind") == TEMPLATE, F.col("w1")).when(F.col("kind") == NAMED, F.col("w2")).otherwise(F.col("w3")))
     # the places of an item are bounded by its length, so its sets are too
-    lines = found.groupBy(*keys, "key", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.collect_set("item_place").alias("places"))
-    pairs = lines.groupBy(*keys, "key").agg(
+    lines = found.groupBy(*keys, "key", "kind", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.collect_set("item_place").alias("places"))
+    pairs = lines.groupBy(*keys, "key", "kind").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"),
         F.max_by(F.struct("shift", "places"), F.struct(F.size("places"), -F.col("shift"))).alias("best"),
     )
-    pairs = keep(pairs.join(totals, "key").where(F.col("n_matched") >= F.col("n_windows") * settings.min_share))
+    pairs = keep(pairs.join(totals, ["key", "kind"]).where(F.col("n_matched") >= F.col("n_windows") * settings.min_share))
 
     matched = rows.join(_small(pairs, settings.broadcast_rows // 10), keys).distinct()
-    matched = templates(matched, [*keys, "key", "n_matched", "n_windows", "best"]).withColumnRenamed("cores", "doc_cores").drop("canon")
-    both = matched.join(items.select("key", "item", "cores", "canon"), "key")
+    matched = templates(matched, [*keys, "key", "kind", "n_matched", "n_windows", "best"])
+    own = lambda canon, cores: F.when(F.col("kind") == TEMPLATE, canon).when(F.col("kind") == NAMED, F.zip_with(canon, cores, _named)).otherwise(F.transform(cores, lambda c: F.lower(c)))
+    matched = hold(matched.select(*keys, "key", "kind", "n_matched", "n_windows", "best", F.col("cores").alias("doc_cores"), own(F.col("canon"), F.col("cores")).alias("doc_canon")))
+    words = F.when(F.col("kind") == TEMPLATE, F.col("canon")).when(F.col("kind") == NAMED, F.col("named")).otherwise(F.col("folded"))
+    both = hold(matched.join(items.select("key", "item", "cores", "canon", "named", "folded"), "key").withColumn("canon", words).drop("named", "folded"))
+    shift = F.col("best.shift")
+    same = F.size(F.filter(F.transform("canon", lambda c, i: c == F.get("doc_canon", i + shift)), lambda x: x))
+    both = both.where((F.col("kind") == TEMPLATE) | (same >= F.least(F.size("canon"), F.lit(settings.min_words))))
     covered = F.array_distinct(F.flatten(F.transform("best.places", lambda p: F.sequence(p, p + size - 1))))
-    slots = F.filter(covered, lambda p: ~literal(F.element_at("canon", p + 1)))
-    both = hold(both.select("id", "item", "n_windows", "n_matched", "cores", "doc_cores", F.col("best.shift").alias("shift"), slots.alias("slots")))
+    slots = F.when(F.col("kind") == LITERAL, F.array().cast("array<int>")).otherwise(F.filter(covered, lambda p: ~literal(F.element_at("canon", p + 1))))
+    both = hold(both.select(*keys, "key", "kind", "item", "n_windows", "n_matched", "cores", "doc_cores", shift.alias("shift"), slots.alias("slots")))
     value = F.transform("slots", lambda p: F.struct(F.lower(F.element_at("cores", p + 1)).alias("a"), F.lower(F.element_at("doc_cores", p + F.col("shift") + 1)).alias("b")))
-    both = hold(both.select("id", "item", "n_windows", "n_matched", value.alias("values")))
+    both = both.select(*keys, "key", "kind", F.struct("item", "n_windows", "n_matched", value.alias("values")).alias("pair"))
+    # of the kinds that find a pair, the first judges it
+    both = hold(both.groupBy(*keys, "key").agg(F.min_by("pair", "kind").alias("pair")).select("id", "pair.*"))
     kinds = F.size(F.array_distinct("values"))
     consistent = (kinds == F.size(F.array_distinct("values.a"))) & (kinds == F.size(F.array_distinct("values.b")))
     return both.select(

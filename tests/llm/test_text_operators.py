@@ -238,3 +238,18 @@ def test_decontamination(spark):
     assert left.schema == docs.schema and {r.doc_id for r in left.collect()} == {2, 3, 4, 5, 8}
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def pairs(spark, texts, items, settings=decontaminate.TemplateSettings()):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, bench, settings).collect()}
+
+
+def test_names_at_sentence_starts_and_case(spark):
+    short = "Tom has 5 cats. Tom buys 3 dogs. Tom sells 2 birds."
+    names = "Yesterday morning Alice saw Robert near Maria while Peter and Alice gave Robert some bread for Maria today"
+    texts = ["So it is. " + short.replace("Tom", "Bob").replace("5", "9"), names.upper(), "so " + names.lower() + " end", "Bob has 5 cats. The rest is something else entirely, as it should be."]
+    got = pairs(spark, texts, [short, names])
+    assert set(got) == {(0, 0), (1, 1), (2, 1)} and all(r.contaminated for r in got.values())
+    assert got[0, 0].changed_slots >= 3
