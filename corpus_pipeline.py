@@ -23,6 +23,8 @@ from plumbline.llm.queries import vocabulary_path
 ORACLE_SQL = None
 #: The workers of the last stage stay for later runs, so they remember less than those of the operator alone.
 KNOWN_PARTS = 100_000
+#: Rows go, so a pair needs some words in common.
+DECONTAMINATION = decontaminate.TemplateSettings(template_words=8)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), DECONTAMINATION)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

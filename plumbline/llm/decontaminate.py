@@ -46,12 +46,14 @@ class TemplateSettings:
     """``window``: words per template window. ``min_literals``: fewer words that are no placeholder make a window too
     common to tell anything; such windows of the benchmark are left out. ``min_share``: matched share of an item's windows.
     ``min_words``: fewest equal words on the best alignment (all words of a shorter item) of a pair that only the other kinds of windows find.
+    ``template_words``: the same for pairs that the first templates find; 0 asks for none.
     ``broadcast_rows``: a table of more rows (of a few numbers each) than this is joined by shuffle."""
 
     window: int = 5
     min_literals: int = 3
     min_share: float = 0.5
     min_words: int = 8
+    template_words: int = 0
     broadcast_rows: int = 500_000
 
 
@@ -93,6 +95,18 @@ def _windows(table: DataFrame, keys: list[str], size: int) -> DataFrame:
     return hashed.select(*keys, F.posexplode(F.transform(places, window)).alias("place", "w")).select(*keys, "place", "w.*")
 
 
+def _short_windows(table: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
+    """``keys``, the place and ``window`` of each run of ``sizes`` words in lower case; fewer than three words must be the whole text."""
+    hashed = hold(table.select(*keys, F.transform("cores", lambda c: F.xxhash64(F.lower(c))).alias("h3")))
+
+    def of(n):
+        fits = F.size("h3") >= n if n > 2 else F.size("h3") == n
+        places = F.when(fits, F.sequence(F.lit(1), F.size("h3") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct((i - 1).alias("place"), F.xxhash64(F.slice("h3", i, n)).alias("window")))
+
+    return hashed.select(*keys, F.explode(F.concat(*map(of, sizes))).alias("w")).select(*keys, "w.*")
+
+
 def _of_kinds(windows: DataFrame) -> DataFrame:
     """A row per different hash of a place, as ``window``."""
     return windows.withColumn("window", F.explode(F.array_distinct(F.array("w1", "w2", "w3"))))
@@ -108,7 +122,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: TemplateSettin
 
     Rows: the ids, ``n_windows`` of the item (of the first kind that finds the pair), ``n_matched`` of them, ``n_slots`` (placeholders in matched windows on the best
     alignment), ``changed_slots`` (those whose value differs), ``consistent`` and ``contaminated`` (= consistent). Null and
-    empty texts match nothing, nor do items with no window that has enough literal words. Rows that repeat with id and text give one pair; a null
+    empty texts match nothing. Items with fewer words than a window are one window, of their words as they are; with fewer than three words they match only a text that
+    has no others. Rows that repeat with id and text give one pair; a null
     id is kept. Several items, or copies of an item, give a pair each. Empty tables give no rows.
     """
     size = settings.window
@@ -125,14 +140,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: TemplateSettin
     at = F.col("place") + 1
     wanted = [F.when(F.element_at("ok1", at), F.struct(F.lit(TEMPLATE).alias("kind"), F.col("w1").alias("window"))), F.when(F.element_at("ok2", at), F.struct(F.lit(NAMED).alias("kind"), F.col("w2").alias("window"))), F.struct(F.lit(LITERAL).alias("kind"), F.col("w3").alias("window"))]
     index = _windows(items, ["key"], size).join(ok, "key").select("key", F.col("place").alias("item_place"), F.explode(F.filter(F.array(*wanted), lambda w: w.isNotNull())).alias("w"))
-    index = keep(index.select("key", "item_place", "w.*"))
+    sizes = sorted(r["n"] for r in items.select(F.size("canon").alias("n")).where(f"n between 1 and {size - 1}").distinct().collect())
+    whole = items.where(F.size("canon").between(1, size - 1)).select("key", F.lit(0).alias("item_place"), F.lit(LITERAL).alias("kind"), F.xxhash64(F.transform("folded", lambda c: F.xxhash64(c))).alias("window"))
+    index = keep(index.select("key", "item_place", "w.*").unionAll(whole))
     totals = index.groupBy("key", "kind").agg(F.count("*").alias("n_windows"))
 
     keys = ["id", "t1", "t2"]
     rows = docs.where(F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), F.col(text)).alias("t2"), F.col(text).alias("text"))
-    found = _of_kinds(_windows(templates(rows, keys), keys, size)).join(_small(index, settings.broadcast_rows), "window")
+    canonical, small = templates(rows, keys), _small(index, settings.broadcast_rows)
+    found = _of_kinds(_windows(canonical, keys, size)).join(small, "window")
     # the hash of one kind says nothing of another
-    found = found.where(F.col("window") == F.when(F.col("kind") == TEMPLATE, F.col("w1")).when(F.col("kind") == NAMED, F.col("w2")).otherwise(F.col("w3")))
+    found = found.where(F.col("window") == F.when(F.col("kind") == TEMPLATE, F.col("w1")).when(F.col("kind") == NAMED, F.col("w2")).otherwise(F.col("w3"))).select(*keys, "key", "kind", "place", "item_place")
+    if sizes:
+        short = _short_windows(canonical, keys, sizes).join(small, "window").where(F.col("kind") == LITERAL)
+        found = found.unionAll(short.select(found.columns))
     # the places of an item are bounded by its length, so its sets are too
     lines = found.groupBy(*keys, "key", "kind", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.collect_set("item_place").alias("places"))
     pairs = lines.groupBy(*keys, "key", "kind").agg(
@@ -149,7 +170,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: TemplateSettin
     both = hold(matched.join(items.select("key", "item", "cores", "canon", "named", "folded"), "key").withColumn("canon", words).drop("named", "folded"))
     shift = F.col("best.shift")
     same = F.size(F.filter(F.transform("canon", lambda c, i: c == F.get("doc_canon", i + shift)), lambda x: x))
-    both = both.where((F.col("kind") == TEMPLATE) | (same >= F.least(F.size("canon"), F.lit(settings.min_words))))
+    least = F.when(F.col("kind") == TEMPLATE, settings.template_words).otherwise(settings.min_words)
+    both = both.where(same >= F.least(F.size("canon"), least))
     covered = F.array_distinct(F.flatten(F.transform("best.places", lambda p: F.sequence(p, p + size - 1))))
     slots = F.when(F.col("kind") == LITERAL, F.array().cast("array<int>")).otherwise(F.filter(covered, lambda p: ~literal(F.element_at("canon", p + 1))))
     both = hold(both.select(*keys, "key", "kind", "item", "n_windows", "n_matched", "cores", "doc_cores", shift.alias("shift"), slots.alias("slots")))

@@ -253,3 +253,13 @@ def test_names_at_sentence_starts_and_case(spark):
     got = pairs(spark, texts, [short, names])
     assert set(got) == {(0, 0), (1, 1), (2, 1)} and all(r.contaminated for r in got.values())
     assert got[0, 0].changed_slots >= 3
+
+
+def test_short_items_and_few_words(spark):
+    items = ["What is 12 * 7?", "Lisbon", "5 km 3 kg 7 cm 9 mm 4 ft 8 yd", "The red house has windows 12 3 4 5 6 7 8 9"]
+    texts = ["well, what is 12 * 7? he asked", "I was in Lisbon once", "lisbon!", "list 5 km 3 kg 7 cm 9 mm 4 ft 8 yd", "What is 13 * 7?", "Now the red house has windows and much more", items[3]]
+    got = pairs(spark, texts, items)
+    assert {k for k, r in got.items() if r.contaminated} - {(5, 3)} == {(0, 0), (2, 1), (3, 2), (6, 3)}
+    # one window of five words is not enough where a minimum of words is asked for
+    strict = pairs(spark, texts, items, decontaminate.TemplateSettings(template_words=8, min_share=0.25))
+    assert (5, 3) not in strict and {(0, 0), (2, 1), (3, 2), (6, 3)} <= set(strict)
