@@ -23,8 +23,8 @@ from plumbline.llm.queries import vocabulary_path
 ORACLE_SQL = None
 #: The workers of the last stage stay for later runs, so they remember less than those of the operator alone.
 KNOWN_PARTS = 100_000
-#: Rows go, so a pair needs some words in common.
-DECONTAMINATION = decontaminate.TemplateSettings(template_words=8)
+#: Rows go, so a pair needs some words in common, and one slot that differs does not clear it.
+DECONTAMINATION = decontaminate.TemplateSettings(template_words=8, min_consistent=0.75)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,7 +46,8 @@ class TemplateSettings:
     """``window``: words per template window. ``min_literals``: fewer words that are no placeholder make a window too
     common to tell anything; such windows of the benchmark are left out. ``min_share``: matched share of an item's windows.
     ``min_words``: fewest equal words on the best alignment (all words of a shorter item) of a pair that only the other kinds of windows find.
-    ``template_words``: the same for pairs that the first templates find; 0 asks for none.
+    ``template_words``: the same for pairs that the first templates find; 0 asks for none. ``min_consistent``: below 1, a pair is contaminated too if this share of its
+    slots has the value that stands most often for the item's value.
     ``broadcast_rows``: a table of more rows (of a few numbers each) than this is joined by shuffle."""
 
     window: int = 5
@@ -54,6 +55,7 @@ class TemplateSettings:
     min_share: float = 0.5
     min_words: int = 8
     template_words: int = 0
+    min_consistent: float = 1.0
     broadcast_rows: int = 500_000
 
 
@@ -121,7 +123,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: TemplateSettin
     """Pairs of a document and a benchmark item of which at least ``min_share`` of the windows of a kind are in the document.
 
     Rows: the ids, ``n_windows`` of the item (of the first kind that finds the pair), ``n_matched`` of them, ``n_slots`` (placeholders in matched windows on the best
-    alignment), ``changed_slots`` (those whose value differs), ``consistent`` and ``contaminated`` (= consistent). Null and
+    alignment), ``changed_slots`` (those whose value differs), ``consistent`` and ``contaminated`` (= consistent, if ``min_consistent`` is 1). Null and
     empty texts match nothing. Items with fewer words than a window are one window, of their words as they are; with fewer than three words they match only a text that
     has no others. Rows that repeat with id and text give one pair; a null
     id is kept. Several items, or copies of an item, give a pair each. Empty tables give no rows.
@@ -181,6 +183,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: TemplateSettin
     both = hold(both.groupBy(*keys, "key").agg(F.min_by("pair", "kind").alias("pair")).select("id", "pair.*"))
     kinds = F.size(F.array_distinct("values"))
     consistent = (kinds == F.size(F.array_distinct("values.a"))) & (kinds == F.size(F.array_distinct("values.b")))
+    judged = consistent
+    if settings.min_consistent < 1:
+        alike = lambda v: F.size(F.filter("values", lambda u: u == v))
+        most = lambda a: F.array_max(F.transform(F.filter("values", lambda v: v["a"] == a), alike))
+        agreed = F.aggregate(F.transform(F.array_distinct("values.a"), most), F.lit(0), lambda x, n: x + n)
+        judged = consistent | (agreed >= F.size("values") * settings.min_consistent)
     return both.select(
         F.col("id").alias(id_column),
         F.col("item").alias(item_column),
@@ -189,7 +197,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: TemplateSettin
         F.size("values").cast("long").alias("n_slots"),
         F.size(F.filter("values", lambda v: v["a"] != v["b"])).cast("long").alias("changed_slots"),
         consistent.alias("consistent"),
-        consistent.alias("contaminated"),
+        judged.alias("contaminated"),
     )
 
 

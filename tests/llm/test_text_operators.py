@@ -263,3 +263,16 @@ def test_short_items_and_few_words(spark):
     # one window of five words is not enough where a minimum of words is asked for
     strict = pairs(spark, texts, items, decontaminate.TemplateSettings(template_words=8, min_share=0.25))
     assert (5, 3) not in strict and {(0, 0), (2, 1), (3, 2), (6, 3)} <= set(strict)
+
+
+def test_share_of_consistent_slots(spark):
+    item = "He bought 12 red pens and 3 blue pens then gave 4 green pens and 8 black pens to her at noon"
+    merged = item.replace("12", "5").replace(" 3 ", " 5 ")
+    mixed = item.replace("12", "4").replace("4 green", "6 green")
+    wild = "He bought 12 red pens and 12 blue pens then gave 12 green pens and 12 black pens to her at noon"
+    settings = decontaminate.TemplateSettings(min_consistent=0.75)
+    got = pairs(spark, [merged, mixed, wild], [item, wild], settings)
+    assert got[0, 0].contaminated and not got[0, 0].consistent and got[1, 0].contaminated
+    # different values throughout for one and the same
+    assert not got[1, 1].contaminated
+    assert not pairs(spark, [merged], [item])[0, 0].contaminated
