@@ -41,15 +41,18 @@ SPACE = re.compile(r"[\s\xa0]+")
 MIN_SHARE = 0.05
 #: Keys that the pages of one host are dealt over.
 HOST_PARTS = 64
+#: A host's path is used on a page if it holds at least this share of the unlinked text of the page's own best container.
+PATH_SHARE = 0.9
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "skipped", "parts", "inside_article", "own", "linked")
+    __slots__ = ("tag", "parent", "path", "skipped", "parts", "inside_article", "heading", "own", "linked")
 
     def __init__(self, tag, parent, label, skipped):
         self.tag, self.parent, self.skipped = tag, parent, skipped
         self.path = f"{parent.path}>{label}" if parent and parent.path else label
         self.inside_article = bool(parent) and (parent.inside_article or parent.tag in ("article", "main"))
+        self.heading = tag == "h1" or bool(parent) and parent.heading
         self.own = self.linked = 0
 
 
@@ -61,8 +64,9 @@ class Page(HTMLParser):
         self.root = Node("", None, "", False)
         self.stack = [self.root]
         self.nodes: list[Node] = []
-        self.blocks: list[tuple[Node, list[str]]] = []
-        self.open_block: tuple[Node, list[str]] | None = None
+        #: with the characters of a block and those of them in links
+        self.blocks: list[tuple[Node, list[str], list[int]]] = []
+        self.open_block: tuple[Node, list[str], list[int]] | None = None
         self.links = 0
         self.feed(html)
         self.close()
@@ -113,7 +117,7 @@ class Page(HTMLParser):
         if node.skipped:
             return
         if not self.open_block:
-            self.open_block = (node, [])
+            self.open_block = (node, [], [0, 0])
             self.blocks.append(self.open_block)
         self.open_block[1].append(data)
         size = len(data.strip())
@@ -124,21 +128,28 @@ class Page(HTMLParser):
                 node.own += size
                 node.linked += size * linked
                 node = node.parent
+            self.open_block[2][0] += size
+            self.open_block[2][1] += size * linked
 
     def best(self) -> Node | None:
-        """The smallest container that holds nearly all of the unlinked text of the page; ``article`` and ``main`` first."""
-        total = self.root.own - self.root.linked
-        if total <= 0:
+        """The smallest container that holds every block of the page that is not mostly links, and the first headings."""
+        if self.root.own <= self.root.linked:
             return None
-        named = [n for n in self.nodes if n.tag in ("article", "main") and not n.skipped and 2 * (n.own - n.linked) >= total]
-        good = named or [n for n in self.nodes if not n.skipped and 10 * (n.own - n.linked) >= 8 * total]
-        return min(good, key=lambda n: (n.own, -n.path.count(">"))) if good else None
+        texts = [(node, weight) for node, _, weight in self.blocks if weight[0]]
+        wanted = [node for node, (size, linked) in texts if 2 * linked < size or node.heading] or [node for node, _ in texts]
+        held: dict[int, int] = {}
+        for node in wanted:
+            while node is not None:
+                held[id(node)] = held.get(id(node), 0) + 1
+                node = node.parent
+        good = [n for n in self.nodes if not n.skipped and held.get(id(n)) == len(wanted)]
+        return max(good, key=lambda n: n.path.count(">")) if good else None
 
     def text(self, chosen: list[Node] | None) -> str:
         """The blocks below the chosen nodes (of the whole page when None)."""
         wanted = None if chosen is None else {id(n) for n in chosen}
         out = []
-        for node, pieces in self.blocks:
+        for node, pieces, _ in self.blocks:
             if wanted is not None:
                 while node is not None and id(node) not in wanted:
                     node = node.parent
@@ -163,16 +174,18 @@ def vote(html: str | None) -> str | None:
 
 
 def extract(html: str | None, paths: list[str]) -> tuple[str, str]:
-    """Text and the path it was taken from: the first of the host's paths that the page has, else its own best container,
-    else all that is not boilerplate."""
+    """Text and the path it was taken from: the first of the host's paths that holds nearly all of the page's own best container,
+    else that container, else all that is not boilerplate."""
     if not html:
         return "", ""
     page = Page(html)
+    best = page.best()
+    whole = best or page.root
+    least = PATH_SHARE * (whole.own - whole.linked)
     for path in paths:
         chosen = [n for n in page.nodes if n.path == path and not n.skipped]
-        if any(n.own for n in chosen):
+        if any(n.own for n in chosen) and sum(n.own - n.linked for n in chosen) >= least:
             return page.text(chosen), path
-    best = page.best()
     return page.text([best] if best else None), best.path if best else ""
 
 

@@ -276,3 +276,16 @@ def test_share_of_consistent_slots(spark):
     # different values throughout for one and the same
     assert not got[1, 1].contaminated
     assert not pairs(spark, [merged], [item])[0, 0].contaminated
+
+
+def test_html_whole_articles():
+    p = "<p>" + "A sentence of an article that has some length. " * 6 + "</p>"
+    split = f"<html><body><nav>menu</nav><main><h1>Title</h1><article>{p * 3}</article><section>{p.replace('article', 'appendix') * 2}</section></main></body></html>"
+    got, path = html_consensus.extract(split, [html_consensus.vote(split)])
+    assert path == "html>body>main" and got.startswith("Title") and got.count("appendix") == 12
+    intro = f"<html><body><div id=content><h1><a href=/>Title</a></h1><p>Intro text.</p><div class=body>{p * 4}</div></div><p><a href=/x>more</a> | <a href=/y>links</a></p></body></html>"
+    got, path = html_consensus.extract(intro, [])
+    assert got.startswith("Title\n\nIntro text.") and "links" not in got
+    story = f"<html><body><div class=post><p>Teaser.</p></div><div class=story>{p * 3}</div></body></html>"
+    got, path = html_consensus.extract(story, ["html>body>div.post", "html>body>div.story"])
+    assert path == "html>body>div.story" and got.count("sentence") == 18
