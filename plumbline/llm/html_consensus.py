@@ -35,6 +35,11 @@ BOILERPLATE = frozenset(
     recommended newsletter subscribe subscription signup login popup modal overlay comment comments commentlist discussion disqus replies
     widget complementary contentinfo search""".split()
 )
+#: Of these, words that also stand in the names of content.
+AMBIGUOUS = frozenset("header discussion related search social notice notices alert comment".split())
+#: With these in one name, a header is the site's.
+SITE = frozenset("site global top".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[\s\xa0]+")
 #: A path is a host's if at least this share of the host's pages voted for it, so a host has at most 1 / share paths.
@@ -68,8 +73,47 @@ class Page(HTMLParser):
         self.blocks: list[tuple[Node, list[str], list[int]]] = []
         self.open_block: tuple[Node, list[str], list[int]] | None = None
         self.links = 0
+        self.doubtful: list[Node] = []
         self.feed(html)
         self.close()
+        self._settle()
+
+    def _boilerplate(self, tag, parent, marks, values) -> tuple[bool, bool]:
+        """Whether an element with such words is boilerplate, and whether its links decide that when the page is read."""
+        if not (BOILERPLATE - AMBIGUOUS).isdisjoint(marks):
+            return True, False
+        if tag in HEADINGS:
+            return False, False
+        names = " ".join(values.get(k, "") for k in ("class", "id", "role")).lower().split()
+        inside = parent.inside_article or parent.tag in ("article", "main") or tag == "section"
+        if not inside and any(n in AMBIGUOUS or "header" in (w := WORD.findall(n)) and not SITE.isdisjoint(w) for n in names):
+            return True, False
+        return False, True
+
+    def _settle(self):
+        """Takes out the doubtful elements that are mostly links."""
+        out = set()
+        for node in self.doubtful:
+            if 2 * node.linked > node.own:
+                out.add(id(node))
+                own, linked, up = node.own, node.linked, node
+                while up:
+                    up.own -= own
+                    up.linked -= linked
+                    up = up.parent
+        if not out:
+            return
+
+        def gone(node):
+            while node:
+                if id(node) in out:
+                    return True
+                node = node.parent
+            return False
+
+        self.blocks = [b for b in self.blocks if not gone(b[0])]
+        for n in self.nodes:
+            n.skipped = n.skipped or gone(n)
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
@@ -92,8 +136,12 @@ class Page(HTMLParser):
             if "hidden" in values or values.get("aria-hidden") == "true":
                 marks.append("ad")
         skipped = parent.skipped or tag in SKIPPED or tag == "header" and not (parent.inside_article or parent.tag in ("article", "main"))
-        skipped = skipped or tag not in ("body", "html", "article", "main") and not BOILERPLATE.isdisjoint(marks)
+        doubtful = False
+        if not skipped and tag not in ("body", "html", "article", "main") and not BOILERPLATE.isdisjoint(marks):
+            skipped, doubtful = self._boilerplate(tag, parent, marks, values)
         node = Node(tag, parent, re.sub(r"\d+", "#", ".".join((tag, *classes))), skipped)
+        if doubtful:
+            self.doubtful.append(node)
         self.stack.append(node)
         if tag in CONTAINERS:
             self.nodes.append(node)

@@ -289,3 +289,12 @@ def test_html_whole_articles():
     story = f"<html><body><div class=post><p>Teaser.</p></div><div class=story>{p * 3}</div></body></html>"
     got, path = html_consensus.extract(story, ["html>body>div.post", "html>body>div.story"])
     assert path == "html>body>div.story" and got.count("sentence") == 18
+
+
+def test_html_ambiguous_classes():
+    names = ['div class="entry-header"', 'section id="discussion"', 'section id="related-work"', 'div class="social-science"', 'div class="search-methods"', 'h1 class="page-header"']
+    parts = "".join(f"<{n}>Part {k} of the content.</{n.split()[0]}>" for k, n in enumerate(names))
+    links = '<div class="related-posts"><a href="/a">Another post</a> <a href="/b">And one more</a></div>'
+    for tag in ("article", "div"):
+        got, _ = html_consensus.extract(f'<html><body><div class="site-header">Site</div><{tag}>{parts}{links}<div class="ad">buy</div></{tag}><div class="comments">reader</div></body></html>', [])
+        assert got == "\n\n".join(f"Part {k} of the content." for k in range(6))
