@@ -32,26 +32,29 @@ def letters(text: str) -> str:
 @dataclass(frozen=True)
 class LanguageSettings:
     """``bins``: training texts per language at most (the text of smallest hash in each bin of the text hash).
-    ``dictionary_bytes``: raw content per language. ``window_bytes``: a text is compressed in windows of this size, so
+    ``sample_chars``: code points fetched from the middle of each. ``dictionary_bytes``: raw content per language. ``window_bytes``: a text is compressed in windows of this size, so
     that a long text keeps drawing on the dictionary and not on itself. ``min_margin``: a text whose best size is not
     smaller than the second best by this share is rejected. ``max_languages``: more labels than this are refused.
     """
 
     bins: int = 64
+    sample_chars: int = 8192
     dictionary_bytes: int = 32 << 10
     window_bytes: int = 2048
     min_margin: float = 0.01
     max_languages: int = 500
 
 
-def bounded_sample(rows: DataFrame, label: str, text: str, bins: int) -> DataFrame:
-    """At most one text per label and bin of the text's hash: the one of the smallest hash. Needs no sort and no
+def bounded_sample(rows: DataFrame, label: str, text: str, bins: int, chars: int) -> DataFrame:
+    """At most one text per label and bin of the text's hash: the middle ``chars`` code points of the one of the smallest hash. Needs no sort and no
     group in one task: the first pass aggregates numbers, the second fetches the texts of those few hashes."""
     hashed = rows.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
     hashed = hashed.where(F.length(F.trim("text")) > 0).withColumn("h", F.xxhash64("text"))
     chosen = hashed.groupBy("label", F.pmod("h", F.lit(bins)).alias("bin")).agg(F.min("h").alias("h")).select("label", "h")
-    # at most bins rows per label
-    return hashed.join(F.broadcast(chosen), ["label", "h"]).groupBy("label", "h").agg(F.first("text").alias("text")).orderBy("label", "h")
+    # at most bins rows of bounded length per label
+    start = F.greatest(F.lit(0), F.floor((F.length("text") - chars) / 2)).cast("int") + 1
+    part = F.substr("text", start, F.lit(chars)).alias("text")
+    return hashed.join(F.broadcast(chosen), ["label", "h"]).select("label", "h", part).groupBy("label", "h").agg(F.first("text").alias("text")).orderBy("label", "h")
 
 
 class CompressionClassifier:
@@ -93,7 +96,7 @@ def train(rows: DataFrame, label: str = "lang", text: str = "text", settings: La
     if len(order) > settings.max_languages:
         raise ValueError("more languages than max_languages")
     texts: dict[str, list[bytes]] = {}
-    for row in bounded_sample(rows, label, text, settings.bins).toLocalIterator():
+    for row in bounded_sample(rows, label, text, settings.bins, settings.sample_chars).toLocalIterator():
         raw = letters(row["text"]).encode()
         share = max(settings.dictionary_bytes // settings.bins, 256) * 2
         start = max(0, len(raw) // 2 - share // 2)

@@ -298,3 +298,11 @@ def test_html_ambiguous_classes():
     for tag in ("article", "div"):
         got, _ = html_consensus.extract(f'<html><body><div class="site-header">Site</div><{tag}>{parts}{links}<div class="ad">buy</div></{tag}><div class="comments">reader</div></body></html>', [])
         assert got == "\n\n".join(f"Part {k} of the content." for k in range(6))
+
+
+def test_language_sample_is_bounded(spark):
+    long = "a " * 100_000 + "middle " * 20 + "b " * 100_000
+    docs = spark.createDataFrame([(long, "xx"), ("short text", "yy")], "text string, lang string")
+    got = {r.label: r.text for r in language.bounded_sample(docs, "lang", "text", 64, 1000).collect()}
+    assert len(got["xx"]) == 1000 and "middle" in got["xx"] and got["yy"] == "short text"
+    assert b"middle" in language.train(docs).contents["xx"]
