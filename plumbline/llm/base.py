@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import ensure_checkpoint_dir
@@ -49,6 +49,38 @@ def with_rest(batch: pa.RecordBatch, keep_columns: list[str], new: dict[str, pa.
     )
 
 
+#: A key with more than a thousandth of all rows is hot; there are fewer than a thousand of them, whatever the table.
+HOT_SHARE = 1000
+
+
+def attach_by_size(rows: DataFrame, groups: DataFrame, key: list[str], size: str, one_of: tuple[str, str] | None = None) -> DataFrame:
+    """Left join of ``rows`` with ``groups``, which has one row per ``key`` and the number of the key's rows as ``size``. A null matches nothing.
+
+    Groups with more than a thousandth of the rows counted in ``groups`` (fewer than a thousand, so of bounded size) are broadcast, and what they
+    match is dealt out by chance afterwards. Every other key has few rows, so an ordinary join by key has no hot task.
+
+    ``one_of`` = (a, b) adds ``first``: true for exactly one of a matched key's rows in which a equals b (null equals null), else false.
+    """
+    groups = keep(groups)
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    rest = [c for c in groups.columns if c not in key]
+    hot = groups.where(F.col(size) * HOT_SHARE > total).select(*(F.col(c).alias(f"__hot_{c}") for c in groups.columns))
+    cold = groups.where(F.col(size) * HOT_SHARE <= total).select(*(F.col(c).alias(f"__cold_{c}") for c in groups.columns), F.lit(0).cast("long").alias("__cold"))
+    found = rows.join(F.broadcast(hot), [F.col(c) == F.col(f"__hot_{c}") for c in key], "left")
+    # 0 looks on among the other groups; 1 may be the first of a hot group, so these meet; all else is spread
+    spread = F.pmod(F.xxhash64(*(rows.columns if one_of is None else one_of[:1])), F.lit(1 << 40)) + 2
+    salt = F.when(F.col(f"__hot_{size}").isNull(), F.lit(0).cast("long"))
+    if one_of:
+        salt = salt.when(F.col(one_of[0]).eqNullSafe(F.col(f"__hot_{one_of[1]}")), F.lit(1).cast("long"))
+    found = found.withColumn("__salt", salt.otherwise(spread))
+    found = found.join(cold, [F.col(c) == F.col(f"__cold_{c}") for c in key] + [F.col("__salt") == F.col("__cold")], "left")
+    found = found.select(*rows.columns, *(F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in rest), "__salt")
+    if one_of:
+        equal = F.col(one_of[0]).eqNullSafe(F.col(one_of[1])) & F.col(size).isNotNull()
+        found = found.withColumn("first", equal & (F.row_number().over(Window.partitionBy(*key, "__salt").orderBy(equal.desc())) == 1))
+    return found.drop("__salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of undirected long edges: rows (node, root), root the smallest node of the component.
 

@@ -66,4 +66,8 @@ SELECT doc_id, item_id, CAST(n_windows AS BIGINT) AS n_windows, CAST(n_matched A
   kinds = len(list_distinct(a)) AND kinds = len(list_distinct(z)) AS consistent,
   kinds = len(list_distinct(a)) AND kinds = len(list_distinct(z)) AS contaminated FROM judged"""
 
-SQL = {"op1_ngram_jaccard": OP1, "op3_benchmark_decontamination": OP3, "op8_warc": OP8}
+OP11 = r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY t)
+SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)"""
+
+SQL = {"op1_ngram_jaccard": OP1, "op3_benchmark_decontamination": OP3, "op8_warc": OP8, "op11_exact_dedup": OP11}
