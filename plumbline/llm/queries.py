@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, exact_dedup, html_consensus, language, prefix_counts, repetition, shingle_join, sql, suffix_dedup, toxicity, warc
+from plumbline.llm import bpe, decontaminate, exact_dedup, html_consensus, language, prefix_counts, repetition, shingle_join, sql, suffix_dedup, toxicity, vector_codes, warc
 
 QUERIES = {}
 SQL: dict[str, str] = dict(sql.SQL)
@@ -93,3 +93,8 @@ def op3_benchmark_decontamination(spark, folder):
 @query
 def op11_exact_dedup(spark, folder):
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op12_vector_codes(spark, folder):
+    return vector_codes.compress(table(spark, folder, "embeddings"))

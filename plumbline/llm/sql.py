@@ -70,4 +70,28 @@ OP11 = r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY t)
 SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)"""
 
-SQL = {"op1_ngram_jaccard": OP1, "op3_benchmark_decontamination": OP3, "op8_warc": OP8, "op11_exact_dedup": OP11}
+
+
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    near = """a{r} AS MATERIALIZED (SELECT rid, label, vec_id, v.p, any_value(v.x) AS x, min(d * 1000 + e) % 1000 AS e, min(d) AS d FROM (
+  SELECT v.*, c.e, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.c[i]) * (v.x[i] - c.c[i]))) AS d FROM v JOIN c{r} c ON v.p = c.p) v GROUP BY rid, label, vec_id, v.p)"""
+    mean = """s{r} AS MATERIALIZED (SELECT p, e, list(t ORDER BY i) AS t, any_value(n) AS n FROM (
+  SELECT p, e, i, CAST(sum(x[i]) AS BIGINT) AS t, count(*) AS n FROM a{r}, unnest(range(1, len(x) + 1)) u(i) GROUP BY p, e, i) GROUP BY p, e),
+c{n} AS MATERIALIZED (SELECT c.p, c.e, CASE WHEN s.n IS NULL THEN c.c ELSE list_transform(s.t, lambda z: (z - ((z % s.n) + s.n) % s.n) // s.n) END AS c
+  FROM c{r} c LEFT JOIN s{r} s ON c.p = s.p AND c.e = s.e)"""
+    steps = [near.format(r=0)]
+    for r in range(rounds):
+        steps += [mean.format(r=r, n=r + 1), near.format(r=r + 1)]
+    cut = f"x[p * len(x) // {parts} + 1 : (p + 1) * len(x) // {parts}]"
+    return f"""WITH w AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT rid, vec_id, label, p, {cut} AS x FROM w, unnest(range({parts})) u(p)),
+c0 AS MATERIALIZED (SELECT p, e, {cut} AS c FROM (SELECT x, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM w), unnest(range({parts})) u(p) WHERE e < {entries}),
+{", ".join(steps)},
+o AS (SELECT rid, vec_id, label, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid, vec_id, label),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM o GROUP BY label),
+b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM o JOIN l ON o.label IS NOT DISTINCT FROM l.label, b"""
+
+
+SQL = {"op1_ngram_jaccard": OP1, "op3_benchmark_decontamination": OP3, "op8_warc": OP8, "op11_exact_dedup": OP11, "op12_vector_codes": _vector_codes()}
