@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, exact_dedup, html_consensus, language, prefix_counts, repetition, shingle_join, sql, suffix_dedup, toxicity, vector_codes, warc
+from plumbline.llm import bpe, decontaminate, exact_dedup, html_consensus, language, prefix_counts, repetition, shingle_join, sql, suffix_dedup, token_alignment, toxicity, vector_codes, warc
 
 QUERIES = {}
 SQL: dict[str, str] = dict(sql.SQL)
 #: The vocabulary the contracts name.
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 TOKEN_LIMIT = 512
 
 
@@ -98,3 +99,8 @@ def op11_exact_dedup(spark, folder):
 @query
 def op12_vector_codes(spark, folder):
     return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_token_alignment(spark, folder):
+    return token_alignment.alignment(table(spark, folder, "documents"), vocabulary_path(), vocabulary_path(PIECES))
