@@ -54,6 +54,35 @@ def test_greedy_matches_plain_loop(spark):
         assert {r["box_id"]: r["status"] for r in got.collect()} == plain_greedy(rows, k, threshold, limits)
 
 
+def test_runs_and_rounds_agree(spark):
+    """Small Arrow batches cut groups apart; hot groups go by rounds: the same rows in all ways."""
+    df = spark.createDataFrame(make(900, 9), SCHEMA).repartition(3)
+    order = [-F.col("priority"), F.col("box_id")]
+    cap = F.when(F.col("source") == "c", 2).otherwise(4)
+    select = lambda hot: sorted(
+        map(tuple, B.greedy_select(df, "image_id", order, max_kept=4, iou_threshold=0.2, source_limits={"a": 1, "b": 2}, cap=cap, hot_rows=hot).collect())
+    )
+    whole = select(10**6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert select(10**6) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert select(30) == whole  # image 1 holds half of the rows
+    assert len({r[8] for r in whole}) == 3
+
+
+def test_image_of_many_boxes(spark):
+    n = 100_000
+    df = spark.range(n).selectExpr("1 AS image_id", "CAST(id AS INT) AS box_id", "'a' AS source", "CAST(hash(id) AS DOUBLE) AS priority", "CAST(pmod(hash(id, 1), 4000) AS INT) AS x1", "CAST(pmod(hash(id, 2), 4000) AS INT) AS y1")
+    df = df.selectExpr("*", "x1 + 40 AS x2", "y1 + 30 AS y2")
+    out = B.greedy_select(df, "image_id", [-F.col("priority"), F.col("box_id")], max_kept=30, iou_threshold=0.1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("isFinalPlan")[0].count("SortMergeJoin") == 0
+    rows = [tuple(r) for r in df.select("image_id", "box_id", "source", "priority", *B.BOX).collect()]
+    assert {r.box_id: r.status for r in out.collect()} == plain_greedy(rows, 30, 0.1, {})
+
+
 def test_best_overlap_matches_plain_loop(spark):
     rows = make(400, 6)
     left, right = [r for r in rows if r[2] == "a"], [r for r in rows if r[2] != "a"]
@@ -64,3 +93,19 @@ def test_best_overlap_matches_plain_loop(spark):
         mine = next(x for x in left if x[1] == r["box_id"])
         want = max((plain_iou(mine[4:], o[4:]) for o in right if o[0] == mine[0]), default=0.0)
         assert abs(r["best_iou"] - want) < 1e-12
+
+
+def test_large_boxes_meet_on_coarse_levels(spark):
+    rng = random.Random(3)
+    size = lambda: rng.choice([3, 10, 60, 900, 4000])
+    rows = []
+    for i in range(300):
+        x, y = rng.randrange(-500, 4000), rng.randrange(-500, 4000)
+        rows.append((i % 2, i, "a" if i % 3 else "b", 1.0, x, y, x + size(), y + size()))
+    rows += [(0, 1000, "a", 1.0, 5, 5, 5, 5), (0, 1001, "b", 1.0, 5, 5, 9, 9)]
+    left, right = [r for r in rows if r[2] == "a"], [r for r in rows if r[2] != "a"]
+    got = B.best_overlap(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA), "image_id", "box_id").collect()
+    assert len(got) == len(left)
+    for r in got:
+        mine = next(x for x in left if x[1] == r["box_id"])
+        assert abs(r["best_iou"] - max((plain_iou(mine[4:], o[4:]) for o in right if o[0] == mine[0]), default=0.0)) < 1e-12
