@@ -23,11 +23,11 @@ def _listed(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def _spelled(t: str) -> str:
+def spelled(t: str) -> str:
     return f"CASE {t} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in L.SPELLING.items()) + f" ELSE {t} END"
 
 
-def _stemmed(t: str) -> str:
+def stemmed(t: str) -> str:
     """The first suffix rule that applies, as SQL text (one expression; array functions take it as a lambda body)."""
 
     def rule(least: int, suffixes: str, result: str) -> str:
@@ -54,7 +54,7 @@ def _stemmed(t: str) -> str:
 
 def _normalized(t: str) -> str:
     """Spelling, suffix rule, spelling."""
-    return f"transform(array({_spelled(t)}), v -> transform(array({_stemmed('v')}), w -> {_spelled('w')})[0])[0]"
+    return f"transform(array({spelled(t)}), v -> transform(array({stemmed('v')}), w -> {spelled('w')})[0])[0]"
 
 
 def normalize_token(name: str) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators import textindex as TI
+from plumbline.operators import words
 from plumbline.operators.joins import attach, hold
 
 SOURCE_CHANNELS = ["visual_signature", "visual_signature_attribute", "graph_visual_attribute", "semantic_embedding"]
@@ -107,25 +109,26 @@ def score_pairs(pairs: DataFrame, left: str, right: str, similarity: Column | No
     return hold(rows.withColumn("evidence_consensus", agreed).drop("_sim"))
 
 
-def defect_evidence(defects: DataFrame) -> DataFrame:
-    """Profiles of each defect's name, signature, region, evidence and graph attributes.
+def defect_evidence(defects: DataFrame, key: list[str]) -> DataFrame:
+    """Profiles of each defect's name, signature, region, evidence and graph attributes; ``key`` tells the rows apart.
 
     ``defects``: defect, visual_signature, visual_attributes, region, region_definition,
     critical_check, distinctions.
     """
     differences = F.array_join(F.transform("distinctions", lambda d: F.coalesce(d["difference"], F.lit(""))), " ")
-    rows = defects.withColumns(
-        {
-            "_signature": F.concat_ws(" ", F.coalesce("visual_signature", F.lit("")), differences),
-            "_region": F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("region", "region_definition", "critical_check")]),
-            "_evidence": evidence_text(
-                name=F.col("defect"), signature=F.col("visual_signature"), distinctions=F.col("distinctions")
-            ),
-            "_graph": F.array_join(F.coalesce("visual_attributes", F.array().cast("array<string>")), " "),
-        }
+    told = defects.select(
+        *key,
+        F.col("defect").alias("_name"),
+        F.concat_ws(" ", F.coalesce("visual_signature", F.lit("")), differences).alias("_signature"),
+        F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("region", "region_definition", "critical_check")]).alias("_region"),
+        evidence_text(name=F.col("defect"), signature=F.col("visual_signature"), distinctions=F.col("distinctions")).alias("_evidence"),
+        F.array_join(F.coalesce("visual_attributes", F.array().cast("array<string>")), " ").alias("_graph"),
     )
-    rows = profiled(rows, name="defect", signature="_signature", region="_region", evidence="_evidence", graph="_graph")
-    return rows.drop("_signature", "_region", "_evidence", "_graph", "region_attrs", "evidence_tokens", "graph_tokens")
+    fields = {n: f"_{n}" for n in ("name", "signature", "region", "evidence", "graph")}
+    none = F.array().cast("array<string>")
+    rows = defects.join(words.token_sets(told, key, **fields), key, "left").withColumns({f"{n}_tokens": F.coalesce(f"{n}_tokens", none) for n in fields})
+    rows = hold(rows.withColumns({f"{n}_attrs": T.attribute_hits(f"{n}_tokens") for n in fields if n != "region"}))
+    return rows.drop("evidence_tokens", "graph_tokens")
 
 
 def score_options(pairs: DataFrame, similarity: Column | None = None) -> DataFrame:
@@ -209,58 +212,66 @@ def score_options(pairs: DataFrame, similarity: Column | None = None) -> DataFra
     return hold(rows.drop("_name", "_sig", "_reg", "_strong_name", "_strong_sig", "_sim"))
 
 
-def _touching(left: str, right: list[tuple[str, str]]) -> Column:
-    """Cheap test that some token or attribute is shared, used as part of the join condition."""
-    found = F.lit(False)
-    for tokens, attrs in right:
-        if tokens:
-            found = found | F.arrays_overlap(f"{left}_tokens", tokens)
-        if attrs:
-            found = found | F.arrays_overlap(F.map_keys(f"{left}_attrs"), F.map_keys(attrs))
-    return F.coalesce(found, F.lit(False))
+def _option_sides(options: DataFrame, defects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (category, option text) and the defects, both profiled; each text and each defect once."""
+    profiles = words.profiles(options.select("option_text").distinct(), ["option_text"], option="option_text")
+    texts = attach(options.select("category", "option_text").distinct(), profiles.where(F.size("option_tokens") > 0), ["option_text"])
+    return texts, defect_evidence(defects, ["category", "defect_order"])
+
+
+def option_scores(options: DataFrame, defects: DataFrame) -> DataFrame:
+    """Every option text against the defects of its category that share any token or attribute with it (score above 0)."""
+    texts, known = _option_sides(options, defects)
+    left = texts.withColumn("features", F.array_union("option_tokens", TI.attributes("option_attrs")))
+    every = F.array_union(F.array_union("name_tokens", "signature_tokens"), F.col("region_tokens"))
+    right = known.withColumn("features", F.array_union(every, TI.attributes("name_attrs", "signature_attrs", "evidence_attrs", "graph_attrs")))
+    return score_options(TI.meeting(left, right, ["category"]).drop("shared")).where("score > 0")
+
 
+def _could_match(min_score: float) -> Column:
+    """Whether a pair of these shared features can agree and reach the score, whatever else it shares."""
+    tokens, attributes = TI.split("shared")
+    weak = F.size("option_tokens") - F.size(TI.strong("option_tokens"))
+    hit_terms = T.term_count(F.col("option_attrs"))
+    known_terms = T.term_count(F.col("evidence_attrs")) + T.term_count(F.col("name_attrs")) + T.term_count(F.col("graph_attrs"))
+    most = F.size(tokens) * 3.4 + attributes * 3.35 + F.when(attributes > 0, (hit_terms * 3 + known_terms) * 0.18).otherwise(0.0)
+    most = most + weak * 0.85 + F.size("option_tokens") * 0.2 + 0.4
+    # without attributes only the name and the signature are left as channels: both are needed
+    both = F.arrays_overlap(tokens, "name_tokens") & F.arrays_overlap(tokens, "signature_tokens")
+    return ((attributes > 0) | both) & (most >= min_score)
 
-def match_options(options: DataFrame, defects: DataFrame, *, min_score: float = 1.6, floor: float = 0.75, top: int = 3):
+
+def match_options(options: DataFrame, defects: DataFrame, *, min_score: float = 1.6, floor: float = 0.75, top: int = 3, similarity: DataFrame | None = None):
     """Best defects per answer option within its category.
 
-    ``options``: category, question_id, option_key, option_text. ``defects``: category and
-    defect_order plus the inputs of ``defect_evidence``. Each (category, option text) is
-    scored once, however often it is asked; a pair that shares no evidence is never built.
+    ``options``: category, question_id, option_key, option_text. ``defects``: category and defect_order (one row each) plus the
+    inputs of ``defect_evidence``. Each (category, option text) is scored once, however often it is asked. Pairs come from the index of
+    ``textindex``; one that cannot reach ``min_score`` is never scored. ``similarity``: rows (category, option_text, defect_order,
+    similarity) of an optional encoder, such as the nearest defects of each option by ``vectors.top_k``.
     """
-    profiles = profiled(options.select("option_text").distinct(), option="option_text")
-    texts = attach(
-        options.select("category", "option_text").distinct(), profiles.where(F.size("option_tokens") > 0), ["option_text"]
-    )
-    # evidence is profiled once however many categories state it
-    fields = ["defect", "visual_signature", "visual_attributes", "region", "region_definition", "critical_check", "distinctions"]
-    keyed = hold(defects.withColumn("_evidence_key", F.to_json(F.struct(*fields))))
-    unique = keyed.groupBy("_evidence_key").agg(*[F.any_value(f).alias(f) for f in fields])
-    profile = defect_evidence(unique).drop(*fields)
-    known = attach(keyed, profile, ["_evidence_key"]).drop("_evidence_key")
-    pairs = attach(texts, known, ["category"]).where(
-        _touching(
-            "option",
-            [
-                ("name_tokens", "name_attrs"),
-                ("signature_tokens", "signature_attrs"),
-                ("", "evidence_attrs"),
-                ("", "graph_attrs"),
-            ],
-        )
-    )
-    scored = score_options(pairs).where(
-        (F.col("signal_score") > 0) & F.col("evidence_consensus") & (F.col("score") >= min_score)
+    texts, known = _option_sides(options, defects)
+    left = texts.withColumn("features", F.array_union(TI.strong("option_tokens"), TI.attributes("option_attrs")))
+    right = known.withColumn(
+        "features", F.array_union(TI.strong("name_tokens", "signature_tokens"), TI.attributes("name_attrs", "evidence_attrs", "graph_attrs"))
     )
+    pairs = TI.meeting(left, right, ["category"])
+    if similarity is None:
+        scored = score_options(pairs.where(_could_match(min_score)).drop("shared"))
+    else:
+        near = similarity.select("category", "option_text", "defect_order", F.col("similarity").cast("double"))
+        found = pairs.drop("shared").join(near, ["category", "option_text", "defect_order"], "left")
+        # what the encoder finds without a shared feature; it has to count as a channel
+        others = near.where("similarity >= 0.58").join(pairs.select("category", "option_text", "defect_order"), ["category", "option_text", "defect_order"], "left_anti")
+        others = others.join(texts, ["category", "option_text"]).join(known, ["category", "defect_order"])
+        scored = score_options(found.unionByName(others), F.col("similarity")).drop("similarity")
+    scored = scored.where((F.col("signal_score") > 0) & F.col("evidence_consensus") & (F.col("score") >= min_score))
     strength = [F.desc("score"), F.desc("signal_score"), F.desc(F.size("evidence_tokens")), F.asc("defect_order")]
     per_text = W.partitionBy("category", "option_text")
     scored = scored.withColumn("_nth", F.row_number().over(W.partitionBy("category", "option_text", "defect").orderBy(*strength)))
     unique = scored.where("_nth = 1").withColumn("_best", F.max("score").over(per_text))
     share = F.when(T.is_compound(F.col("option_text")), 0.45).otherwise(floor)
     kept = unique.where(F.col("score") >= F.greatest(F.lit(min_score), F.col("_best") * share))
-    place = F.row_number().over(
-        per_text.orderBy(F.desc("score"), F.desc("signal_score"), F.desc(F.size("evidence_tokens")), F.asc("defect_order"))
-    )
-    ranked = kept.withColumn("match_rank", place).where(F.col("match_rank") <= top)
+    ranked = kept.withColumn("match_rank", F.row_number().over(per_text.orderBy(*strength))).where(F.col("match_rank") <= top)
     return options.join(ranked.drop("_nth", "_best"), ["category", "option_text"])
 
 
@@ -286,31 +297,47 @@ def discriminative(matches: DataFrame, options: DataFrame) -> DataFrame:
     return per_question.join(asked, "question_id").select("question_id", "match_count", decided.alias("discriminative"))
 
 
-def rank_reports(reports: DataFrame, defects: DataFrame, *, top: int = 3, min_signal: float = 1.6) -> DataFrame:
+def rank_reports(reports: DataFrame, defects: DataFrame, *, top: int = 3, min_signal: float = 1.6, similarity: DataFrame | None = None) -> DataFrame:
     """Defect hypotheses per visual report within its category; normal reports give none.
 
-    ``reports``: category, report_id, report. ``defects``: category, defect_order, defect_node
-    and evidence fields. Each (category, report text) is scored once.
+    ``reports``: category, report_id, report. ``defects``: category, defect_order (one row each), defect_node
+    and evidence fields. Each (category, report text) is scored once, by the index of ``textindex``. ``similarity``: rows (category, report,
+    defect_order, similarity) of an optional encoder.
     """
-    told = reports.select("report").distinct().withColumn("_text", T.normalize_text(F.col("report")))
-    told = hold(told.withColumn("_words", T.ordered_tokens("_text")))
-    told = told.where((F.col("_text") != "") & ~T.reports_normal(F.col("_text"), F.col("_words"))).select("report")
-    texts = attach(reports.select("category", "report").distinct(), profiled(told, report="report"), ["report"])
-    stated = defects.withColumn(
-        "_evidence",
+    told = reports.select("report").distinct().withColumn("_text", T.normalize_text(F.col("report"))).where("_text <> ''")
+    affirmed = words.affirming(told.where(T.has_normal_phrase(F.col("_text"))), ["report"], F.col("_text"), T.ANOMALY_WORDS)
+    told = told.join(affirmed.withColumn("_affirmed", F.lit(True)), "report", "left")
+    told = told.where(~T.has_normal_phrase(F.col("_text")) | F.col("_affirmed").isNotNull()).select("report")
+    stated = defects.select(
+        "category",
+        "defect_order",
+        "defect_node",
+        "defect",
+        "region",
         evidence_text(
             name=F.col("defect"),
             signature=F.col("visual_signature"),
             attributes=F.col("visual_attributes"),
             distinctions=F.col("distinctions"),
             targets=False,
-        ),
+        ).alias("evidence"),
     )
-    stated = hold(stated.select("category", "defect_order", "defect_node", "defect", "region", "_evidence"))
-    profile = profiled(stated.select("_evidence").distinct(), evidence="_evidence")
-    known = attach(stated, profile, ["_evidence"]).drop("_evidence")
-    pairs = attach(texts, known, ["category"]).where(_touching("report", [("evidence_tokens", "evidence_attrs")]))
-    scored = score_pairs(pairs, "report", "evidence")
+    left = words.profiles(told, ["report"], report="report").where(F.size("report_tokens") > 0)
+    left = attach(reports.select("category", "report").distinct(), left, ["report"]).withColumn("features", TI.strong("report_tokens"))
+    right = words.profiles(stated, ["category", "defect_order"], evidence="evidence").withColumn("features", TI.strong("evidence_tokens"))
+    # without an encoder a pair needs a strong token and an attribute, so only tokens are posted and both sides have attributes
+    pair = ["category", "report", "defect_order"]
+    if similarity is None:
+        some = lambda c: F.size(F.map_keys(c)) > 0
+        pairs = TI.meeting(left.where(some("report_attrs")), right.where(some("evidence_attrs")), ["category"]).drop("shared")
+        pairs = pairs.where(F.arrays_overlap(F.map_keys("report_attrs"), F.map_keys("evidence_attrs")))
+        scored = score_pairs(pairs, "report", "evidence")
+    else:
+        near = similarity.select(*pair, F.col("similarity").cast("double"))
+        pairs = TI.meeting(left, right, ["category"]).drop("shared")
+        others = near.where("similarity >= 0.58").join(pairs.select(*pair), pair, "left_anti")
+        others = others.join(left.drop("features"), ["category", "report"]).join(right.drop("features"), ["category", "defect_order"])
+        scored = score_pairs(pairs.join(near, pair, "left").unionByName(others), "report", "evidence", F.col("similarity"))
     usable = (F.size("support_channels") == 0) | F.arrays_overlap("support_channels", T.words(["lexical_overlap", "semantic_embedding"]))
     scored = scored.where(F.col("evidence_consensus") & usable & (F.col("signal_score") >= min_signal))
     scored = scored.withColumns({"score": F.round("score", 3), "signal_score": F.round("signal_score", 3)})

@@ -339,9 +339,8 @@ OPTION_SQL = (
 )
 def option_scores(spark, folder):
     """Every option against the defects of its category that share any token or attribute with it."""
-    opts = E.profiled(options(spark, folder), option="option_text")
-    known = E.defect_evidence(defects(spark, folder))
-    out = E.score_options(opts.join(known, "category")).where("score > 0")
+    opts = options(spark, folder)
+    out = opts.join(E.option_scores(opts, defects(spark, folder)), ["category", "option_text"])
     return out.select(
         "question_id",
         "option_key",

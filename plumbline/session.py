@@ -17,7 +17,7 @@ def local_session(cpus: str | int = "*", app: str = "plumbline", **conf) -> Spar
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "6g")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
