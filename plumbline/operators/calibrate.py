@@ -7,8 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import general_format
-from plumbline.operators.joins import attach
-from plumbline.operators.ranks import exact_quantiles
+from plumbline.operators.ranks import order_statistics
 
 MAD_TO_SIGMA = 1.4826
 SMALL_SAMPLE = 5
@@ -28,12 +27,8 @@ def calibration_rows(train: DataFrame, shots: int = -1, keys=KEYS, order: str =
 
 def robust_stats(rows: DataFrame, *, quantile: float = 0.995, keys=KEYS, score: str = "score") -> DataFrame:
     """``keys, n, median, mad, quantile, max_score`` - exact, with no group gathered in one task."""
-    first = exact_quantiles(rows, keys, score, {"median": 0.5, "quantile": quantile})
-    spread = attach(rows.select(*keys, score), first, keys).withColumn(
-        "_spread", F.abs(F.col(score) - F.col("median"))
-    )
-    mad = exact_quantiles(spread, keys, "_spread", {"mad": 0.5}).select(*keys, "mad")
-    return first.join(mad, keys).select(*keys, "n", "median", "mad", "quantile", F.col("max_value").alias("max_score"))
+    stats = order_statistics(rows, keys, score, {"median": 0.5, "quantile": quantile}, deviation="mad")
+    return stats.select(*keys, "n", "median", "mad", "quantile", F.col("max_value").alias("max_score"))
 
 
 def _threshold(policy: str, quantile: float, mad_scale: float) -> tuple[Column, str]:
