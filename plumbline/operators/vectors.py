@@ -1,9 +1,8 @@
 """Nearest neighbours, class densities and prototypes over vector tables.
 
-A memory whose counted size is small is shipped to the queries, which then are read once and not
-moved. A larger one is scored in blocks: both sides are hashed into blocks of bounded size, each
-pair of blocks meets in one task, and only the best few per query leave it. Either way a task
-multiplies tiles of bounded size.
+The memory is divided into cells around a few of its own vectors. A cell's radius bounds how close any of its vectors can come to a
+query (triangle inequality on unit vectors), so a query visits only cells that can hold one of its nearest; the result is exact. Cells and queries
+are cut into blocks of bounded size; a block of each meets in one task, and only the best few per query leave it.
 """
 
 from __future__ import annotations
@@ -19,10 +18,13 @@ from plumbline.operators.joins import attach
 
 QUERY_BLOCK = 32_768
 MEMORY_BLOCK = 16_384
-#: Bytes of vectors up to which a table is shipped to every task.
-SHIPPED_BYTES = 64 << 20
+#: Centres of the memory's cells, and how far rounding may put a distance off.
+PIVOTS = 32
+SLACK = 1e-6
 #: Bytes of partial sums that a task holds before it passes them on.
 MOMENT_BYTES = 256 << 20
+#: Tasks that add up the partial sums of one class before the last one does.
+SALTS = 32
 #: Similarities that a task holds at once.
 TILE = 4 << 20
 
@@ -36,16 +38,18 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(size == 0, 1.0, size)
 
 
-def _blocks(df: DataFrame, keys: list[str], size: int, name: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+def _placed(matrix: np.ndarray, memory: bool) -> np.ndarray:
+    """Unit vectors whose distances order like cosines. A zero vector has cosine 0 with everything, so it gets an axis of its own,
+    one for those of the memory and one for those of the queries."""
+    unit = _unit(matrix)
+    zero = (np.linalg.norm(matrix, axis=1, keepdims=True) == 0).astype(np.float64)
+    return np.hstack([unit, zero if memory else 0 * zero, 0 * zero if memory else zero])
 
 
-def _shipped(df: DataFrame, vec: str, limit: int):
-    """The rows as a pandas table in a broadcast variable when their counted size allows it, else None."""
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    if 8 * size["n"] * (size["d"] or 0) > limit:
-        return None
-    return df.sparkSession.sparkContext.broadcast(df.toPandas())
+def _away(left: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    if not len(pivots):
+        return np.zeros((len(left), 0))
+    return np.sqrt(np.maximum(0.0, (left**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * left @ pivots.T))
 
 
 def _nearest(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,33 +71,49 @@ def top_similar(
     keys: list[str],
     k: int,
     *,
+    pivots: int = PIVOTS,
     query_block: int = QUERY_BLOCK,
     memory_block: int = MEMORY_BLOCK,
-    shipped_bytes: int = SHIPPED_BYTES,
 ) -> DataFrame:
     """The ``k`` most similar memory vectors (cosine) of each query within its key group.
 
     ``queries``: keys, query_id, vec. ``memory``: keys, memory_id, vec (both ids are long).
     Returns keys, query_id, memory_id, similarity, rank; ties go to the lower id.
+
+    The ``pivots`` vectors of the memory with the smallest hash of their id are the centres of the cells, whatever their keys; a vector belongs to the nearest one.
     """
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
-    schema = ", ".join([f"{c} {kinds[c]}" for c in keys] + ["query_id long, memory_id long, similarity double"])
+    named = ", ".join(f"{c} {kinds[c]}" for c in keys)
     names = [*keys, "query_id", "memory_id", "similarity"]
-    shipped = _shipped(memory.select(*keys, "memory_id", "vec"), "vec", shipped_bytes)
-    if shipped is not None:
-        return _against_shipped(queries.select(*keys, "query_id", "vec"), shipped, keys, k, schema)
-    # fresh column identities, as both sides may come from one table
     queries, memory = (df.select(*keys, name, "vec").toDF(*keys, name, "vec") for df, name in ((queries, "query_id"), (memory, "memory_id")))
-    sizes = _blocks(queries, keys, query_block, "_nq").join(_blocks(memory, keys, memory_block, "_nm"), keys)
-    q = attach(queries.select(*keys, "query_id", "vec"), sizes, keys)
-    q = q.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.col("_nq"))).withColumn(
-        "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nm").cast("long") - 1))
-    )
-    m = attach(memory.select(*keys, "memory_id", "vec"), sizes, keys)
-    m = m.withColumn("_m", F.pmod(F.xxhash64("memory_id"), F.col("_nm"))).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nq").cast("long") - 1))
+    chosen = memory.select("memory_id", "vec").orderBy(F.xxhash64("memory_id"), "memory_id").limit(pivots).collect()  # bounded by their number
+    centres = _placed(_matrix(pd.Series([r.vec for r in chosen])), True) if chosen else np.zeros((0, 0))
+
+    def celled(batches):
+        for pdf in batches:
+            away = _away(_placed(_matrix(pdf["vec"]), True), centres)
+            yield pdf.assign(_cell=away.argmin(axis=1), _d=away.min(axis=1))
+
+    def measured(batches):
+        for pdf in batches:
+            yield pdf.assign(_away=list(_away(_placed(_matrix(pdf["vec"]), False), centres)))
+
+    kind = memory.schema["vec"].dataType.simpleString()
+    cells = memory.mapInPandas(celled, f"{named}, memory_id long, vec {kind}, _cell int, _d double")
+    sizes = cells.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_r"))
+    # at most one entry per centre
+    held = sizes.groupBy(*keys).agg(F.collect_list(F.struct("_cell", "_n", "_r")).alias("_cells"))
+    asked = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / query_block).alias("_nq"))
+    kind = queries.schema["vec"].dataType.simpleString()
+    q = attach(queries.mapInPandas(measured, f"{named}, query_id long, vec {kind}, _away array<double>"), held.join(asked, keys), keys)
+    q = q.withColumn("_cells", reachable(F.col("_cells"), F.col("_away"), k)).drop("_away").withColumn("_c", F.explode("_cells"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_c._n") / memory_block) - 1))
+    q = q.select(*keys, "query_id", "vec", F.pmod(F.xxhash64("query_id"), F.col("_nq")).alias("_q"), F.col("_c._cell").alias("_cell"), block.alias("_m"))
+    m = attach(attach(cells.drop("_d"), sizes.drop("_r"), [*keys, "_cell"]), asked, keys)
+    m = m.withColumn("_m", F.pmod(F.xxhash64("memory_id"), F.ceil(F.col("_n") / memory_block))).withColumn(
+        "_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nq") - 1))
     )
-    by = [*keys, "_q", "_m"]
+    by = [*keys, "_cell", "_q", "_m"]
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -108,7 +128,7 @@ def top_similar(
 
     m = m.select(*by, "memory_id", "vec").toDF(*by, "memory_id", "vec")
     found = q.select(*by, "query_id", "vec").groupBy(*by).cogroup(m.groupBy(*by))
-    pairs = found.applyInPandas(score, schema)
+    pairs = found.applyInPandas(score, f"{named}, query_id long, memory_id long, similarity double")
     if k == 1:
         best = F.min(F.struct((-F.col("similarity")).alias("d"), "memory_id"))
         return (
@@ -120,22 +140,16 @@ def top_similar(
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _against_shipped(queries: DataFrame, shipped, keys: list[str], k: int, schema: str) -> DataFrame:
-    def score(batches):
-        groups = {}
-        for name, rows in shipped.value.sort_values("memory_id").groupby(keys, sort=False) if len(shipped.value) else ():
-            groups[name] = rows["memory_id"].to_numpy(), _unit(_matrix(rows["vec"]))
-        for batch in batches:
-            for name, rows in batch.groupby(keys, sort=False):
-                if name not in groups:
-                    continue
-                ids, matrix = groups[name]
-                order, near = _nearest(_matrix(rows["vec"]), matrix, k)
-                take = order.shape[1]
-                out = {c: np.repeat(rows[c].to_numpy(), take) for c in [*keys, "query_id"]}
-                yield pd.DataFrame({**out, "memory_id": ids[order].ravel(), "similarity": near.ravel(), "rank": np.tile(np.arange(1, take + 1), len(rows))})
+def reachable(cells: Column, away: Column, k: int) -> Column:
+    """The cells that can hold one of a query's ``k`` nearest vectors.
 
-    return queries.mapInPandas(score, schema + ", rank int")
+    ``cells``: array of (_cell, _n, _r), ``away``: the query's distance to each centre. All vectors of a cell are within distance + radius; the nearest cells
+    that have ``k`` vectors together bound the k-th distance, and a cell whose nearest possible vector lies beyond is left out.
+    """
+    bounds = F.array_sort(F.transform(cells, lambda c: F.struct((F.element_at(away, c["_cell"] + 1) + c["_r"]).alias("far"), c["_n"].alias("n"))))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("far"))
+    last = F.aggregate(bounds, start, lambda a, b: F.when(a["n"] >= k, a).otherwise(F.struct((a["n"] + b["n"]).alias("n"), b["far"].alias("far"))))
+    return let(last["far"], lambda far: F.filter(cells, lambda c: F.element_at(away, c["_cell"] + 1) - c["_r"] <= far + SLACK))
 
 
 def nearest_distance(queries: DataFrame, memory: DataFrame, keys: list[str], **blocks) -> DataFrame:
@@ -189,8 +203,8 @@ def merged_prototype(a: Column, b: Column) -> Column:
 def class_moments(rows: DataFrame, key: str = "category") -> DataFrame:
     """Population mean and covariance per class: key, n, i, j, mean_i, cov (for i <= j).
 
-    Tasks emit partial sums per class, as arrays, and hold at most ``MOMENT_BYTES`` of them; the
-    arrays of a class are added one after another, so neither step grows with rows or classes.
+    Tasks emit partial sums per class, as arrays, and hold at most ``MOMENT_BYTES`` of them. The arrays of a class are added in a
+    tree, first in ``SALTS`` tasks and then in one, each one after another, so no step grows with rows or classes.
     """
 
     def partial(batches):
@@ -210,16 +224,19 @@ def class_moments(rows: DataFrame, key: str = "category") -> DataFrame:
         name, (n, s, p) = item
         return pd.DataFrame({key: [name], "n": [n], "s": [s.tolist()], "p": [p.ravel().tolist()]})
 
-    def added(batches):
+    def summed(name, n, s, p):
+        return packed((name, (n, s, p)))
+
+    def added(batches, finished):
         held = None
         for pdf in batches:
             for name, n, s, p in zip(pdf[key], pdf["n"], pdf["s"], pdf["p"], strict=True):
                 if held is not None and held[0] != name:
-                    yield moments(*held)
+                    yield finished(*held)
                     held = None
                 held = (name, n, s, p) if held is None else (name, held[1] + n, held[2] + s, held[3] + p)
         if held is not None:
-            yield moments(*held)
+            yield finished(*held)
 
     def moments(name, n, s, p):
         mean, d = s / n, len(s)
@@ -228,19 +245,22 @@ def class_moments(rows: DataFrame, key: str = "category") -> DataFrame:
         return pd.DataFrame({key: [name] * len(i), "n": n, "i": i, "j": j, "mean_i": mean[i], "cov": cov})
 
     kind = rows.schema[key].dataType.simpleString()
-    parts = rows.select(key, "vec").mapInPandas(partial, f"{key} {kind}, n long, s array<double>, p array<double>")
-    together = parts.repartition(key).sortWithinPartitions(key)
-    return together.mapInPandas(added, f"{key} {kind}, n long, i int, j int, mean_i double, cov double")
+    sums = f"{key} {kind}, n long, s array<double>, p array<double>"
+    parts = rows.select(key, "vec").mapInPandas(partial, sums)
+    # a tree: the partial sums of a class are first added by salt, then the salts' sums
+    salted = parts.withColumn("_salt", F.spark_partition_id() % SALTS).repartition(key, "_salt").sortWithinPartitions(key, "_salt")
+    half = salted.drop("_salt").mapInPandas(lambda batches: added(batches, summed), sums)
+    together = half.repartition(key).sortWithinPartitions(key)
+    return together.mapInPandas(lambda batches: added(batches, moments), f"{key} {kind}, n long, i int, j int, mean_i double, cov double")
 
 
 def most_likely_class(
-    queries: DataFrame, classes: DataFrame, *, key: str = "category", diagonal: bool = False, block: int = QUERY_BLOCK, shipped_bytes: int = SHIPPED_BYTES
+    queries: DataFrame, classes: DataFrame, *, key: str = "category", diagonal: bool = False, block: int = QUERY_BLOCK
 ) -> DataFrame:
     """Class with the highest Gaussian log-density per query.
 
     ``queries``: query_id, vec. ``classes``: one row per class with mean and covariance
-    (flat, row-major; or the variances when ``diagonal``). Class rows of a small counted size go
-    to the queries; else queries are hashed into blocks and the class rows are copied to each.
+    (flat, row-major; or the variances when ``diagonal``). Queries are hashed into blocks and the class rows are copied to each.
     """
     kind = classes.schema[key].dataType.simpleString()
 
@@ -267,9 +287,6 @@ def most_likely_class(
         )
 
     schema = f"query_id long, {key} {kind}, log_density double"
-    shipped = _shipped(classes, "covariance", shipped_bytes)
-    if shipped is not None:
-        return queries.select("query_id", "vec").mapInPandas(lambda batches: (score(b, shipped.value) for b in batches), schema)
     n = queries.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("n"))
     blocks = F.lit(n.scalar())
     q = queries.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), blocks).cast("long").alias("_b"))
