@@ -10,8 +10,9 @@ anchors at equal offsets, and consecutive windows with one anchor form a piece o
 3. Anchors with different pieces are compared by suffix arrays. The distinct pieces of an anchor go to a shard (several, by
    hash, if there are many); a task sorts the suffixes of a bounded run of pieces (Larsson-Sadakane), takes their
    common prefixes (Kasai) and marks windows whose neighbour shares ``min_bytes`` bytes.
-4. Windows of anchors that were divided between runs are merged across them: each partition of the merge holds the sorted
-   windows of a range and finds each run's windows among those of the others by binary search.
+4. Windows of anchors that were divided between runs are merged across them: every run hands on its windows in order, packed, as
+   hashes of 128 bits. The hashes are cut into ranges, as many as the windows need, and a task finds each run's part of its range
+   among those of the runs before by binary search.
 5. The marked windows go back to the texts, which are cut.
 
 Texts are known by a hash of their bytes here, so copies of a text share one description and no row needs an id.
@@ -20,6 +21,7 @@ Texts are known by a hash of their bytes here, so copies of a text share one des
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import by_bytes, keep, with_rest
+from plumbline.llm.base import attach_by_size, by_bytes, keep, with_rest
 from plumbline.llm.bpe import _schema
 from plumbline.llm.suffix_arrays import common_prefixes, suffix_array
 
@@ -38,6 +40,10 @@ ANCHOR_BYTES = 200
 SHARD_PIECES = 256
 #: Bytes of pieces whose suffixes a task sorts at once.
 RUN_BYTES = 512 << 10
+#: Packed windows of a row, windows of a range of the merge (on average), and the least number of ranges.
+PACKED_WINDOWS = 1 << 16
+RANGE_WINDOWS = 1 << 19
+LEAST_RANGES = 64
 #: Odd multiplier of the rolling hash and of its finish (any odd numbers do).
 ROLL = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
@@ -173,8 +179,8 @@ def repeated_places(docs: DataFrame, text: str = "text", size: int = MIN_BYTES,
     """Rows (``t1``, ``t2``, ``spans``): per distinct text with any, the runs of windows that begin elsewhere too."""
     described = keep(_described(docs, text, size, anchor))
     # most anchors occur once: only the others move with all their columns
-    common = described.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    members = keep(described.join(common, "anchor"))
+    common = described.groupBy("anchor").agg(F.count("*").alias("number")).where("number > 1")
+    members = keep(attach_by_size(described, common, ["anchor"], "number").where("number is not null").drop("number"))
     kinds = members.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "start", "windows")).alias("at"))
     kinds = keep(kinds)
     kinds = kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor")
@@ -208,72 +214,167 @@ def repeated_places(docs: DataFrame, text: str = "text", size: int = MIN_BYTES,
             edge = {held[0]["anchor"], held[-1]["anchor"], last_anchor}
             last_anchor = held[-1]["anchor"]
             open_piece = np.array([r["shards"] > 1 or r["anchor"] in edge for r in held])
-            rows = [(r["anchor"], r["piece"], _spans(marked[bounds[k] : bounds[k + 1]] - starts[k]), None, None, None) for k, r in enumerate(held) if bounds[k] < bounds[k + 1]]
+            rows = [(r["anchor"], r["piece"], _spans(marked[bounds[k] : bounds[k + 1]] - starts[k])) for k, r in enumerate(held) if bounds[k] < bounds[k + 1]]
             yield _batch(rows)
             # of these, each window seen once here, and one of each kind that is repeated here for the other runs to find
             pick = np.flatnonzero(open_piece[owner] & (new | ~again))
-            raw = b"".join(r["bytes"] for r in held) if pick.size else b""
-            rows = []
-            for p, k, o, known in zip(place[pick].tolist(), owner[pick].tolist(), offset[pick].tolist(), again[pick].tolist(), strict=True):
-                window = raw[p : p + size]
-                rows.append((held[k]["anchor"], held[k]["piece"], [(o, 1)], xxhash.xxh3_64_intdigest(window) - (1 << 63), xxhash.xxh64_intdigest(window) - (1 << 63), int(known)))
-            yield _batch(rows)
-
-    fields = f"anchor long, piece long, spans array<{SPAN}>, w1 long, w2 long, done int"
-    compared = keep(shards.mapInArrow(compare, fields))
-    merged = compared.where("w1 is not null").repartition("w1").sortWithinPartitions("w1", "w2")
-    across = merged.mapInArrow(_merge, f"anchor long, piece long, spans array<{SPAN}>")
+            if pick.size:
+                raw = b"".join(r["bytes"] for r in held)
+                digest = xxhash.xxh3_128_digest
+                hashes = np.array([digest(raw[p : p + size]) for p in place[pick].tolist()], "S16")
+                order = np.argsort(hashes, kind="stable")
+                pick = pick[order]
+                who, rows_of = np.unique(owner[pick], return_inverse=True)
+                one = Windows(hashes[order], np.array([held[k]["anchor"] for k in who])[rows_of], np.array([held[k]["piece"] for k in who])[rows_of], offset[pick].astype(np.int32), again[pick])
+                yield from (_packed(one[k : k + PACKED_WINDOWS], 0) for k in range(0, len(one), PACKED_WINDOWS))
+
+    compared = keep(shards.mapInArrow(compare, f"anchor long, piece long, spans array<{SPAN}>, part int, number long, packed binary"))
+    packed = compared.where("packed is not null").select("part", "number", "packed")
+    windows = packed.agg(F.coalesce(F.sum("number"), F.lit(0))).first()[0]
+    ranges = max(LEAST_RANGES, windows // RANGE_WINDOWS)
+
+    def deal(batches):
+        for batch in batches:
+            for blob in batch.column("packed").to_pylist():
+                yield from (_packed(part, k).select(["part", "packed"]) for k, part in Windows.unpack(blob).ranges(ranges))
+
+    dealt = packed.mapInArrow(deal, "part int, packed binary")
+    across = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_merge, f"anchor long, piece long, spans array<{SPAN}>")
+    whole = F.array(F.struct(F.lit(0).alias("first"), F.col("at.windows").alias("number")))
     marks = (
-        compared.where("w1 is null")
-        .select("anchor", "piece", "spans")
-        .unionAll(across)
-        .unionAll(kinds.where("n > 1").select("anchor", "piece", F.array(F.struct(F.lit(0).alias("first"), F.col("at.windows").alias("number"))).alias("spans")))
+        compared.where("packed is null")
+        .select("anchor", "piece", "spans", F.lit(1).cast("long").alias("n"))
+        .unionAll(across.withColumn("n", F.lit(1).cast("long")))
+        .unionAll(kinds.where("n > 1").select("anchor", "piece", whole.alias("spans"), "n"))
         .groupBy("anchor", "piece")
-        .agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by the windows of a piece
+        .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.max("n").alias("n"))  # bounded by the windows of a piece
     )
-    found = members.join(marks, ["anchor", "piece"]).select("t1", "t2", F.transform("spans", lambda s: F.struct((s["first"] + F.col("start")).alias("first"), s["number"].alias("number"))).alias("spans"))
+    marked = attach_by_size(members, marks, ["anchor", "piece"], "n").where("spans is not null")
+    found = marked.select("t1", "t2", F.transform("spans", lambda s: F.struct((s["first"] + F.col("start")).alias("first"), s["number"].alias("number"))).alias("spans"))
     # copies of a text have equal rows here
     return found.distinct().groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def _batch(rows) -> pa.RecordBatch:
-    span = pa.struct([("first", pa.int32()), ("number", pa.int32())])
-    anchor, piece, spans, w1, w2, done = zip(*rows, strict=True) if rows else ((),) * 6
-    spans = [[{"first": a, "number": n} for a, n in s] for s in spans]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(anchor, pa.int64()), pa.array(piece, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(w1, pa.int64()), pa.array(w2, pa.int64()), pa.array(done, pa.int32())],
-        names=["anchor", "piece", "spans", "w1", "w2", "done"],
-    )
+@dataclass
+class Windows:
+    """Windows in order of their hashes: the piece each is in (anchor, piece), where in it, and whether it is known to be repeated."""
 
+    hashes: np.ndarray
+    anchor: np.ndarray
+    piece: np.ndarray
+    offset: np.ndarray
+    known: np.ndarray
 
-def _merge(batches):
-    """Windows sorted by their hashes; those found more than once among all runs of the range are repeated."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
-        w1 = table.column("w1").to_numpy()
-        whole = int(np.searchsorted(w1, w1[-1], side="left")) if len(w1) else 0  # the last kind may go on in the next batch
-        rest = table.slice(whole).to_batches()[0] if table.num_rows > whole else None
-        yield from _several(table.slice(0, whole))
-    if rest is not None:
-        yield from _several(pa.Table.from_batches([rest]))
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def __getitem__(self, which) -> Windows:
+        return Windows(self.hashes[which], self.anchor[which], self.piece[which], self.offset[which], self.known[which])
+
+    def pack(self) -> bytes:
+        kinds = ("S16", "<i8", "<i8", "<i4", "?")
+        columns = (self.hashes, self.anchor, self.piece, self.offset, self.known)
+        return b"".join(np.asarray(c, k).tobytes() for c, k in zip(columns, kinds, strict=True))
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> Windows:
+        n, at, out = len(blob) // 37, 0, []
+        for kind, width in (("S16", 16), ("<i8", 8), ("<i8", 8), ("<i4", 4), ("?", 1)):
+            out.append(np.frombuffer(blob, kind, n, at))
+            at += n * width
+        return cls(*out)
+
+    @classmethod
+    def joined(cls, several: list[Windows]) -> Windows:
+        """All windows of several, in order."""
+        columns = zip(*((w.hashes, w.anchor, w.piece, w.offset, w.known) for w in several), strict=True)
+        all_of = cls(*(np.concatenate(c) for c in columns))
+        return all_of[np.argsort(all_of.hashes, kind="stable")]
 
+    def ranges(self, number: int):
+        """(range, windows of it) for the ranges of hashes that hold any."""
+        head = np.frombuffer(self.hashes.tobytes(), ">u8")[::2] >> np.uint64(32)
+        of = (head * np.uint64(number) >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(of)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(self)], strict=True):
+            if b > a:
+                yield int(of[a]), self[a:b]
 
-def _several(table: pa.Table):
-    if not table.num_rows:
+
+SPANS = pa.list_(pa.struct([("first", pa.int32()), ("number", pa.int32())]))
+
+
+def _packed(windows: Windows, part: int) -> pa.RecordBatch:
+    columns = [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], SPANS), pa.array([part], pa.int32()), pa.array([len(windows)], pa.int64()), pa.array([windows.pack()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["anchor", "piece", "spans", "part", "number", "packed"])
+
+
+def _batch(rows) -> pa.RecordBatch:
+    anchor, piece, spans = zip(*rows, strict=True) if rows else ((),) * 3
+    n = len(rows)
+    spans = [[{"first": a, "number": k} for a, k in s] for s in spans]
+    columns = [pa.array(anchor, pa.int64()), pa.array(piece, pa.int64()), pa.array(spans, SPANS), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["anchor", "piece", "spans", "part", "number", "packed"])
+
+
+class Merge:
+    """Runs of windows of one range, one after the other; keeps one window of each kind, so memory does not grow with the number of runs."""
+
+    def __init__(self):
+        self.seen: Windows | None = None
+        self.waiting: list[Windows] = []
+        self.held = 0
+
+    def add(self, run: Windows):
+        """Take a run; yields windows that turn out to be repeated. Small runs wait until they are as many as half of what is kept."""
+        self.waiting.append(run)
+        self.held += len(run)
+        if self.held >= max(4096, len(self.seen) // 2 if self.seen else 0):
+            yield from self.settle()
+
+    def settle(self):
+        if not self.waiting:
+            return
+        new, seen = Windows.joined(self.waiting), self.seen
+        self.waiting, self.held = [], 0
+        first = np.searchsorted(new.hashes, new.hashes, side="left")
+        again = np.searchsorted(new.hashes, new.hashes, side="right") - first > 1
+        if seen is not None:
+            at = np.searchsorted(seen.hashes, new.hashes)
+            met = seen.hashes[np.minimum(at, len(seen) - 1)] == new.hashes
+            again |= met
+            older = np.unique(at[met])
+            yield from _marked(seen[older][~seen.known[older]])
+            seen.known[older] = True
+        yield from _marked(new[again & ~new.known])
+        head = first == np.arange(len(new))
+        kept = new[head]
+        kept.known = kept.known | again[head]
+        self.seen = kept if seen is None else Windows.joined([seen, kept[~met[head]]])
+
+
+def _marked(windows: Windows):
+    """A row per piece, with the places of its windows as spans."""
+    if not len(windows):
         return
-    w1, w2 = table.column("w1").to_numpy(), table.column("w2").to_numpy()
-    number = _searched(w1, w2)
-    again = (number > 1) & (table.column("done").to_numpy() == 0)
-    if again.any():
-        chosen = table.filter(pa.array(again)).select(["anchor", "piece", "spans"]).combine_chunks()
-        yield from chosen.to_batches()
-
-
-def _searched(w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-    """How often each sorted pair occurs, by binary search for its first and last place."""
-    kind = np.cumsum(np.concatenate(([True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))))
-    return np.searchsorted(kind, kind, side="right") - np.searchsorted(kind, kind, side="left")
+    order = np.lexsort((windows.offset, windows.piece, windows.anchor))
+    anchor, piece, offset = windows.anchor[order], windows.piece[order], windows.offset[order]
+    cuts = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(piece) != 0)) + 1
+    bounds = [0, *cuts.tolist(), len(order)]
+    rows = [(int(anchor[a]), int(piece[a]), _spans(offset[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
+    yield _batch(rows).select(["anchor", "piece", "spans"])
+
+
+def _merge(batches):
+    """Rows (range, packed windows) in order of ranges."""
+    part, merge = None, Merge()
+    for batch in batches:
+        for of, blob in zip(batch.column("part").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            if of != part:
+                yield from merge.settle()
+                part, merge = of, Merge()
+            yield from merge.add(Windows.unpack(blob))
+    yield from merge.settle()
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", keep_columns: tuple[str, ...] = ("doc_id",), size: int = MIN_BYTES, anchor: int = ANCHOR_BYTES, prefix: str = "") -> DataFrame:

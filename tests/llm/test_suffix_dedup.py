@@ -94,3 +94,34 @@ def test_removal(spark, monkeypatch, size, anchor, shard, run):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(docs).count() == 0
+
+
+@pytest.mark.parametrize("ranges,block", [(1, 3), (7, 40), (64, 1000)])
+def test_merge_across_runs(ranges, block):
+    """Every window not yet known is marked if its kind is in two runs, or twice in what arrives; by counting."""
+    rng = random.Random(ranges)
+    kinds = [hashlib.md5(str(k).encode()).digest() for k in range(400)]
+    runs, entries = [], []
+    for r in range(60):
+        chosen = sorted(rng.sample(kinds[:5], rng.randint(0, 3)) + rng.sample(kinds, rng.randint(1, block // 3 + 1)))
+        chosen = sorted(set(chosen))
+        n = len(chosen)
+        run = suffix_dedup.Windows(np.array(chosen, "S16"), np.array([r % 7] * n), np.array([r] * n), np.arange(n, dtype=np.int32) * 3, np.array([rng.random() < 0.2 for _ in chosen]))
+        assert [len(suffix_dedup.Windows.unpack(run.pack())), suffix_dedup.Windows.unpack(run.pack()).hashes.tolist()] == [n, run.hashes.tolist()]
+        runs.append(run)
+        entries += [(run.hashes[i], r % 7, r, 3 * i, run.known[i]) for i in range(n)]
+    count = Counter(e[0] for e in entries)
+    want = sorted((a, p, o) for h, a, p, o, known in entries if count[h] > 1 and not known)
+    parts = {}
+    for run in runs:
+        pieces = list(run.ranges(ranges))
+        assert sum(len(p) for _, p in pieces) == len(run)
+        for k, part in pieces:
+            parts.setdefault(k, []).append(part)
+    got = []
+    for several in parts.values():
+        merge = suffix_dedup.Merge()
+        found = [b for part in several for b in merge.add(part)] + list(merge.settle())
+        for row in (r for b in found for r in b.to_pylist()):
+            got += [(row["anchor"], row["piece"], s["first"] + k) for s in row["spans"] for k in range(s["number"])]
+    assert sorted(got) == want
