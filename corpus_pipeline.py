@@ -2,7 +2,7 @@
 
 1. Quality rules: rows that the base rules or the repetition rules reject go.
 2. Near duplicates (five-word shingles, similarity of 0.8 or more): one row of each group stays.
-3. Suffix-array dedup: byte strings of 400 bytes that begin more than once are cut out of the texts; a row whose text had words and
+3. Suffix-array dedup: byte strings of 250 bytes that begin more than once are cut out of the texts; a row whose text had words and
    has none left goes. ``n_chars`` follows the text.
 4. Benchmark decontamination: rows with a contaminated pair go.
 5. BPE: what is left is encoded and decoded again.
@@ -23,6 +23,8 @@ from plumbline.llm.queries import vocabulary_path
 ORACLE_SQL = None
 #: The workers of the last stage stay for later runs, so they remember less than those of the operator alone.
 KNOWN_PARTS = 100_000
+#: A passage of fifty words often has fewer bytes than the 400 that the operator alone asks for.
+REPEAT_BYTES, ANCHOR_BYTES = 250, 100
 #: Rows go, so a pair needs some words in common, and one slot that differs does not clear it.
 DECONTAMINATION = decontaminate.TemplateSettings(template_words=8, min_consistent=0.75)
 
@@ -37,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.remove_repeats(docs, keep_columns=tuple(docs.columns), prefix="__")
+    cut = suffix_dedup.remove_repeats(docs, keep_columns=tuple(docs.columns), size=REPEAT_BYTES, anchor=ANCHOR_BYTES, prefix="__")
     changed = F.col("__n_removed") > 0
     cut = cut.where(~changed | F.col("__kept_text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.when(changed, F.col("__kept_text")).otherwise(F.col("text"))}
