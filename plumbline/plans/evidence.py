@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import lexicon as L
 from plumbline.functions import text as T
 from plumbline.operators import evidence as E
+from plumbline.operators import words
 from plumbline.plans import textsql as S
 from plumbline.plans.fixtures import KB_SQL, knowledge
 from plumbline.plans.registry import query, table
@@ -84,8 +85,11 @@ def normalized_words(spark, folder):
     + " SELECT d.doc_id, count(tok) AS token_count, coalesce(string_agg(tok, ' ' ORDER BY tok), '') AS tokens FROM documents d LEFT JOIN toks USING (doc_id) GROUP BY d.doc_id",
 )
 def token_sets(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", F.array_sort(T.tokens("text")).alias("t"))
-    return rows.select("doc_id", F.size("t").cast("long").alias("token_count"), F.array_join("t", " ").alias("tokens"))
+    docs = table(spark, folder, "documents")
+    rows = docs.select("doc_id").join(words.token_sets(docs, ["doc_id"], t="text"), "doc_id", "left")
+    return rows.select(
+        "doc_id", F.coalesce(F.size("t_tokens"), F.lit(0)).cast("long").alias("token_count"), F.coalesce(F.array_join("t_tokens", " "), F.lit("")).alias("tokens")
+    )
 
 
 PROFILE_SQL = (
@@ -101,7 +105,7 @@ PROFILE_SQL = (
     FROM reports r LEFT JOIN a USING (doc_id) GROUP BY r.doc_id""",
 )
 def attribute_profile(spark, folder):
-    rows = E.profiled(reports(spark, folder), r="report")
+    rows = words.profiles(reports(spark, folder), ["doc_id"], r="report")
     return rows.select(
         "doc_id",
         F.size("r_attrs").cast("long").alias("attributes"),
@@ -127,7 +131,7 @@ PAIR_SQL = (
 
 
 def _pairs(spark, folder):
-    return E.profiled(reports(spark, folder), report="report", option="option_text")
+    return words.profiles(reports(spark, folder), ["doc_id"], report="report", option="option_text")
 
 
 @query("set1_token_intersections", PAIR_SQL + " SELECT doc_id, toks AS shared, strong_toks AS strong FROM sized")
@@ -201,11 +205,11 @@ NORMAL_SQL = (
 
 @query("txt8_normal_reports", "WITH " + REPORT_SQL + ", " + NORMAL_SQL + " SELECT doc_id, phrase AS normal_phrase, phrase AND NOT affirmed AS is_normal FROM verdict")
 def normal_reports(spark, folder):
-    rows = reports(spark, folder).withColumn("n", T.normalize_text(F.col("report")))
-    rows = rows.withColumn("w", T.ordered_tokens("n"))
-    return rows.select(
-        "doc_id", T.has_normal_phrase(F.col("n")).alias("normal_phrase"), T.reports_normal(F.col("n"), F.col("w")).alias("is_normal")
-    )
+    rows = reports(spark, folder).select("doc_id", T.normalize_text(F.col("report")).alias("n"))
+    rows = rows.withColumn("normal_phrase", T.has_normal_phrase(F.col("n")))
+    affirmed = words.affirming(rows.where("normal_phrase"), ["doc_id"], F.col("n"), T.ANOMALY_WORDS).withColumn("affirmed", F.lit(True))
+    rows = rows.drop("n").join(affirmed, "doc_id", "left")
+    return rows.select("doc_id", "normal_phrase", (F.col("normal_phrase") & F.col("affirmed").isNull()).alias("is_normal"))
 
 
 @query(
@@ -379,6 +383,39 @@ def option_matches(spark, folder):
     )
 
 
+@query(
+    "jn5_matches_with_encoder",
+    "WITH "
+    + OPTION_SQL
+    + """, near AS (SELECT p_partkey, oid, ord, max(CAST((p_partkey * 7 + oid * 13 + ord * 29) % 100 AS DOUBLE) / 100) AS sim FROM (SELECT DISTINCT p_partkey, oid FROM asked) JOIN du USING (p_partkey) GROUP BY ALL),
+    near_kept AS (SELECT * FROM near WHERE sim >= 0.4::DOUBLE),
+    vis AS (SELECT vid, signature <> '' OR n_attr > 0 OR diff <> '' AS visual FROM variants),
+    pool AS (SELECT d.p_partkey, a.oid, d.ord, d.type, d.region, s.*, coalesce(n.sim, 0) AS sim, v.visual FROM (SELECT DISTINCT p_partkey, oid FROM asked) a JOIN du d USING (p_partkey)
+      JOIN (SELECT oid AS o, vid, sn, ss, ea, na, ga, sa, terms, signal AS sig0, extra, ev FROM rated) s ON s.o = a.oid AND s.vid = d.vid JOIN vis v ON v.vid = d.vid
+      LEFT JOIN near_kept n ON n.p_partkey = d.p_partkey AND n.oid = a.oid AND n.ord = d.ord),
+    lit AS (SELECT *, sig0 + greatest(0.0::DOUBLE, sim - 0.48::DOUBLE) * 3 AS signal, CAST(sn > 0 AS INTEGER) + CAST(ss > 0 AS INTEGER) + CAST(ea > 0 AS INTEGER) + CAST(na > 0 AS INTEGER) + CAST(ga > 0 AS INTEGER) + CAST(sim >= 0.58::DOUBLE AS INTEGER) AS ch,
+      ss > 0 OR sa > 0 OR ga > 0 OR (sim >= 0.58::DOUBLE AND visual) AS sourced FROM pool),
+    fit AS (SELECT *, signal + extra AS score FROM lit WHERE signal > 0 AND sourced AND (ch >= 2 OR (ch = 1 AND ga > 0 AND terms >= 2)
+      OR (sn = 0 AND ss = 0 AND na = 0 AND sim < 0.58::DOUBLE AND terms >= 3) OR (ch = 1 AND sim >= 0.68::DOUBLE)) AND signal + extra >= 1.6::DOUBLE),
+    one AS (SELECT *, max(score) OVER (PARTITION BY p_partkey, oid) AS best FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey, oid, type ORDER BY round(score, 9) DESC, round(signal, 9) DESC, ev DESC, ord) AS nth FROM fit) WHERE nth = 1),
+    place AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, oid ORDER BY score DESC, signal DESC, ev DESC, ord) AS match_rank FROM one WHERE score >= greatest(1.6::DOUBLE, best * CASE WHEN oid IN (3, 8) THEN 0.45::DOUBLE ELSE 0.75::DOUBLE END))
+    SELECT a.p_partkey AS question_id, option_key, count(*) AS matched_defects, round(max(score), 4) AS score, count(*) FILTER (sim >= 0.58::DOUBLE) AS similar FROM asked a JOIN place p ON p.p_partkey = a.p_partkey AND p.oid = a.oid WHERE match_rank <= 3 GROUP BY ALL""",
+)
+def matches_with_encoder(spark, folder):
+    """Option matching with an encoder's nearest pairs; a formula over the keys stands for its similarities."""
+    opts, known = options(spark, folder), defects(spark, folder)
+    phrase = F.array_position(F.array(*[F.lit(o) for o in OPTIONS]), F.col("option_text")) - 1
+    near = opts.select("question_id", "category", "option_text").distinct().join(known.select("category", "defect_order"), "category")
+    sim = (F.col("question_id") * 7 + phrase * 13 + F.col("defect_order") * 29) % 100 / 100.0
+    near = near.select("category", "option_text", "defect_order", sim.alias("similarity")).where("similarity >= 0.4")
+    out = E.match_options(opts, known, similarity=near)
+    return out.groupBy("question_id", "option_key").agg(
+        F.count(F.lit(1)).alias("matched_defects"),
+        F.round(F.max("score"), 4).alias("score"),
+        F.count(F.when(F.array_contains("support_channels", "semantic_embedding"), 1)).alias("similar"),
+    )
+
+
 @query("set5_discriminative", "WITH " + OPTION_SQL + " SELECT p_partkey AS question_id, match_count, discriminative FROM told")
 def discriminative(spark, folder):
     return E.discriminative(_matches(spark, folder), options(spark, folder))
