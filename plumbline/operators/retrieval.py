@@ -31,20 +31,27 @@ TWO_CROP_TASKS = [
 ]
 
 
-def plan_regions(requests: DataFrame, regions: DataFrame, ranked: DataFrame) -> DataFrame:
+def plan_regions(requests: DataFrame, regions: DataFrame, similarity: Column | None = None) -> DataFrame:
     """Regions of each request with selection flag, order and reasons.
 
     ``requests``: request_id, category, mode, top_k, has_query, include_global. ``regions``:
-    category, region, pos, critical_check. ``ranked``: request_id, region, rank (semantic
-    order, at most top_k of them). Modes: full, semantic_topk, hybrid; without a query or
+    category, region, pos, critical_check. ``similarity`` is computed from both sides' columns; the ``top_k`` most similar regions of a request
+    (ties by pos) are its semantic ones. Modes: full, semantic_topk, hybrid; without a query or
     with top_k 0 every region is taken, and an empty selection falls back to the first ones.
+
+    Ranks, counts and orders are windows over one request, so a request's few regions meet once. Other columns than those named are dropped before that.
     """
-    rows = attach(requests, regions, ["category"]).join(ranked, ["request_id", "region"], "left")
+    keep = ["request_id", "category", "mode", "top_k", "has_query", "include_global"]
+    value = F.lit(None).cast("double") if similarity is None else F.round(similarity, 9)
+    rows = attach(requests, regions, ["category"]).select(*keep, "region", "pos", "critical_check", value.alias("_similarity"))
+    per_request = W.partitionBy("request_id")
+    rank = F.row_number().over(per_request.orderBy(F.desc_nulls_last("_similarity"), "pos"))
+    rows = rows.withColumn("rank", F.when(F.col("_similarity").isNotNull(), rank)).drop("_similarity")
     asked = F.col("has_query") & (F.col("top_k") > 0)
     mode = F.lower(F.coalesce("mode", F.lit("full")))
     whole = F.col("include_global") & T.is_global_region(F.col("region"))
     critical = T.is_valid(F.col("critical_check")) & (F.trim("critical_check") != "")
-    near = F.col("rank").isNotNull() & asked
+    near = F.coalesce(F.col("rank") <= F.col("top_k"), F.lit(False)) & asked
     full = ~(asked & mode.isin("semantic_topk", "hybrid"))
     tier = (
         F.when(full, F.struct(F.lit(0).alias("tier"), F.col("pos").alias("at")))
@@ -53,11 +60,9 @@ def plan_regions(requests: DataFrame, regions: DataFrame, ranked: DataFrame) ->
         .when(near, F.struct(F.lit(2).alias("tier"), F.col("rank").alias("at")))
     )
     rows = rows.withColumns({"_tier": tier, "_full": full, "_whole": whole, "_critical": critical, "_near": near})
-    chosen = rows.groupBy("request_id").agg(F.count("_tier").alias("_chosen"))
-    rows = rows.join(chosen, "request_id")
+    rows = rows.withColumns({"_chosen": F.count("_tier").over(per_request), "_place": F.row_number().over(per_request.orderBy("pos"))})
     limit = F.when(F.col("top_k") > 0, F.col("top_k")).otherwise(F.lit(2**31 - 1))
-    place = F.row_number().over(W.partitionBy("request_id").orderBy("pos"))
-    rows = rows.withColumn("_fallback", (F.col("_chosen") == 0) & (place <= limit))
+    rows = rows.withColumn("_fallback", (F.col("_chosen") == 0) & (F.col("_place") <= limit))
     rows = rows.withColumn("_tier", F.coalesce("_tier", F.when(F.col("_fallback"), F.struct(F.lit(3).alias("tier"), F.col("pos").alias("at")))))
     reasons = F.array_compact(
         F.array(
@@ -68,10 +73,10 @@ def plan_regions(requests: DataFrame, regions: DataFrame, ranked: DataFrame) ->
             F.when(F.col("_fallback"), "fallback_region_order"),
         )
     )
-    order = F.row_number().over(W.partitionBy("request_id").orderBy(F.asc_nulls_last("_tier.tier"), "_tier.at", "pos"))
+    order = F.row_number().over(per_request.orderBy(F.asc_nulls_last("_tier.tier"), "_tier.at", "pos"))
     selected = F.col("_tier").isNotNull()
     return rows.select(
-        *[c for c in requests.columns],
+        *keep,
         "region",
         "pos",
         selected.alias("selected"),

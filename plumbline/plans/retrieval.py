@@ -29,7 +29,9 @@ REQUEST_SQL = (
     KB_SQL
     + """, requests AS (SELECT o_orderkey AS request_id, o_custkey AS p_partkey, CASE o_orderkey % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'semantic_topk' WHEN 2 THEN 'hybrid' ELSE 'Semantic_TopK' END AS mode,
       CAST(o_orderkey % 3 AS INTEGER) AS top_k, o_custkey % 5 <> 0 AS has_query, o_orderkey % 7 <> 0 AS include_global FROM orders),
-    rr AS (SELECT q.*, r.region, r.pos, r.category, (r.pos + q.request_id) % 3 + 1 AS rk, r.critical_check FROM requests q JOIN kb_regions r USING (p_partkey)),
+    emb AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS vec FROM embeddings),
+    rr AS (SELECT q.*, r.region, r.pos, r.category, row_number() OVER (PARTITION BY q.request_id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 9) DESC, r.pos) AS rk, r.critical_check
+      FROM requests q JOIN kb_regions r USING (p_partkey) JOIN emb a ON a.vec_id = q.request_id % 150 JOIN emb b ON b.vec_id = (q.p_partkey * 5 + r.pos) % 150),
     f AS (SELECT *, has_query AND top_k > 0 AS asked, lower(mode) AS m, CASE WHEN has_query AND rk <= top_k THEN rk END AS rank, include_global AND (contains(lower(region), 'whole') OR contains(lower(region), 'global')) AS glb,
       critical_check NOT IN ('', 'N/A') AS crit FROM rr),
     g AS (SELECT *, NOT (asked AND m IN ('semantic_topk', 'hybrid')) AS full_ FROM f),
@@ -53,9 +55,13 @@ def _plan(spark, folder):
         (order % 7 != 0).alias("include_global"),
     )
     regions = G.region_rows(knowledge(spark, folder)).select("category", "region", "pos", "critical_check")
-    near = attach(requests, regions, ["category"]).withColumn("rank", ((F.col("pos") + F.col("request_id")) % 3 + 1).cast("int"))
-    ranked = near.where(F.col("has_query") & (F.col("rank") <= F.col("top_k"))).select("request_id", "region", "rank")
-    return R.plan_regions(requests, regions, ranked)
+    number = F.regexp_extract("category", r"(\d+)$", 1).cast("long")
+    vectors = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    asked = requests.withColumn("vec_id", F.col("request_id") % 150).join(vectors.withColumnRenamed("vec", "asked"), "vec_id").drop("vec_id")
+    known = regions.withColumn("vec_id", (number * 5 + F.col("pos")) % 150).join(vectors.withColumnRenamed("vec", "known"), "vec_id").drop("vec_id")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    cosine = dot("asked", "known") / F.sqrt(dot("asked", "asked") * dot("known", "known"))
+    return R.plan_regions(asked, known, cosine)
 
 
 @query(
@@ -83,9 +89,9 @@ def reason_counts(spark, folder):
     + REQUEST_SQL
     + ", "
     + REGION_TEXT_SQL
-    + """ SELECT request_id, p.region, CAST(ord AS INTEGER) AS block_order, length(text) AS text_length, true AS prompt_visible, lower(mode) AS mode, array_to_string(reasons, ',') AS reasons
+    + """ SELECT request_id, p.region, CAST(ord AS INTEGER) AS block_order, text, true AS prompt_visible, lower(mode) AS mode, array_to_string(reasons, ',') AS reasons
       FROM plan p JOIN texts USING (p_partkey, region) WHERE selected
-    UNION ALL SELECT request_id, 'option_grounding', 0, 0, false, lower(mode), '' FROM requests WHERE request_id % 5 = 0""",
+    UNION ALL SELECT request_id, 'option_grounding', 0, '', false, lower(mode), '' FROM requests WHERE request_id % 5 = 0""",
 )
 def context_blocks(spark, folder):
     """A block per selected region with its text, plus an audit-only option block where grounding was asked for."""
@@ -96,7 +102,7 @@ def context_blocks(spark, folder):
         "request_id",
         "region",
         F.col("selected_order").alias("block_order"),
-        F.length("text").cast("long").alias("text_length"),
+        "text",
         F.lit(True).alias("prompt_visible"),
         F.lower("mode").alias("mode"),
         F.array_join("reasons", ",").alias("reasons"),
@@ -107,7 +113,7 @@ def context_blocks(spark, folder):
         "request_id",
         F.lit("option_grounding").alias("region"),
         F.lit(0).alias("block_order"),
-        F.lit(0).cast("long").alias("text_length"),
+        F.lit("").alias("text"),
         F.lit(False).alias("prompt_visible"),
         F.lower("mode").alias("mode"),
         F.lit("").alias("reasons"),
