@@ -193,7 +193,7 @@ def latest_rows(spark, folder):
     )
     out = _place(spark, "latest")
     jobs.upsert_latest(rows, out, _place(spark, "latest-state")).awaitTermination()
-    return jobs.latest_version(spark, out).select("image_path", "ordinal", "score")
+    return jobs.latest_rows(spark, out).select("image_path", "ordinal", "score")
 
 
 @query(
