@@ -76,6 +76,37 @@ def question_rows(spark, folder):
     )
 
 
+QUESTION_SQL = """SELECT 'part' || CAST(conv_id % 5 AS VARCHAR) AS subclass,
+      CASE WHEN conv_id % 2 = 1 THEN 'own/' ELSE 'img/' END || CAST(conv_id AS VARCHAR) || '.png' AS image_path,
+      text AS question, substr('ABCD', CAST(conv_id % 4 + 1 AS INTEGER), 1) AS gt_answer
+    FROM conversations WHERE role = 'user'"""
+
+
+def _written_questions(spark, folder):
+    """The question files, one document per file in a folder per subclass."""
+    path = shared_path(spark, "questions")
+    sinks.write_documents(_question_files(spark, folder), path, ["subclass"])
+    return path
+
+
+@query("src1_question_files", QUESTION_SQL)
+def question_files(spark, folder):
+    """Question rows of files that lie in folders by subclass."""
+    files = documents.read_json_files(spark, _written_questions(spark, folder))
+    files = files.select(F.regexp_extract("path", "/subclass=([^/]*)/", 1).alias("subclass"), "text")
+    return documents.question_rows(files).select("subclass", "image_path", "question", "gt_answer")
+
+
+@query(
+    "src7_listed_folders",
+    "SELECT 'subclass=part' || CAST(conv_id % 5 AS VARCHAR) AS folder, count(DISTINCT conv_id) AS files, min(length(text)) > 0 AS filled FROM conversations GROUP BY conv_id % 5",
+)
+def listed_folders(spark, folder):
+    """A recursive listing of written files."""
+    files = layout.list_files(spark, _written_questions(spark, folder))
+    return files.groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(F.count(F.lit(1)).alias("files"), (F.min("size") > 0).alias("filled"))
+
+
 @query(
     "src2_question_file_fallback",
     """WITH f AS (
@@ -284,6 +315,22 @@ def folder_metadata(spark, folder):
     return layout.folder_metadata(files(spark, folder))
 
 
+@query(
+    "src9_written_metadata",
+    PARTS_SQL
+    + """SELECT 'demo' AS dataset, category, 'train' AS split, path AS image_path, 0 AS label, 'good' AS defect_type
+      FROM rows_ WHERE is_image AND dir = 'train' AND child = 'good'
+    UNION ALL SELECT 'demo', category, 'test', path, CAST(child <> 'good' AS INTEGER), child FROM rows_ WHERE is_image AND dir = 'test'""",
+)
+def written_metadata(spark, folder):
+    """Metadata of the folders written as nested documents and read back as samples."""
+    path = shared_path(spark, "metadata")
+    listing = files(spark, folder)
+    sinks.write_documents(sinks.metadata_documents(layout.folder_metadata(listing)), path, ["category"])
+    docs = documents.read_json_files(spark, path).select(F.lit("demo").alias("dataset"), "text")
+    return documents.metadata_samples(docs, listing).select("dataset", "category", "split", "image_path", "label", "defect_type")
+
+
 @query(
     "src10_masked_metadata",
     PARTS_SQL

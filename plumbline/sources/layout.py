@@ -13,9 +13,10 @@ from plumbline.operators.joins import attach
 def list_files(spark, root: str) -> DataFrame:
     """Relative path and size of every file below ``root``; contents are not read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    base = root.rstrip("/") + "/"
+    # a path may spell the root's scheme in another way, so it is cut behind the root's own name
+    name = root.rstrip("/").rpartition("/")[2]
     return rows.select(
-        F.element_at(F.split("path", base, 2), -1).alias("path"), F.col("length").alias("size")
+        F.element_at(F.split("path", f"/\\Q{name}\\E/", 2), -1).alias("path"), F.col("length").alias("size")
     )
 
 

@@ -12,6 +12,24 @@ def write_lines(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).json(path)
 
 
+def write_documents(docs: DataFrame, path: str, folders: list[str]) -> None:
+    """One file per document: ``docs`` has the folder columns and ``text`` (a document on one line)."""
+    docs.select(*folders, "text").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy(*folders).text(path)
+
+
+def metadata_documents(items: DataFrame, per_document: int = 10_000) -> DataFrame:
+    """Split metadata {split: {category: [items]}} as documents (category, text) of about ``per_document`` items at most.
+
+    ``items``: split, category, img_path and further item fields. A large category is divided by the hash of the path, so that no task holds all of it;
+    ``documents.metadata_samples`` reads the documents of a dataset together.
+    """
+    fields = [c for c in items.columns if c not in ("split", "category")]
+    sizes = items.groupBy("split", "category").agg(F.ceil(F.count(F.lit(1)) / per_document).alias("_n"))
+    rows = items.join(sizes, ["split", "category"]).withColumn("_chunk", F.pmod(F.xxhash64("img_path"), F.col("_n")))
+    grouped = rows.groupBy("split", "category", "_chunk").agg(F.collect_list(F.struct(F.col("category").alias("cls_name"), *fields)).alias("items"))
+    return grouped.select("category", F.to_json(F.create_map("split", F.create_map("category", "items"))).alias("text"))
+
+
 def wrong_answers(results: DataFrame) -> DataFrame:
     return results.where(~F.col("correct")).withColumn("task", task_file_name(F.col("task_type")))
 
