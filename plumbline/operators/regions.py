@@ -8,8 +8,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.operators.joins import attach
+
 
 def _grid(values, height, width) -> np.ndarray:
     return np.asarray(values, dtype=np.float64).reshape(int(height), int(width))
@@ -66,50 +69,46 @@ def component_labels(masks: DataFrame, mask: str = "mask") -> DataFrame:
     return rows.mapInPandas(run, "image_id long, labels array<int>")
 
 
+def _region_histograms(batches, key: str, steps: int):
+    """Per key of the batch and score bin: recall added up over regions, and pixels outside; bin -1 has the numbers of regions and of pixels outside."""
+    for pdf in batches:
+        sums: dict = {}
+        for name, vals, mask, h, w, lo, hi in zip(pdf[key], pdf["vals"], pdf["mask"], pdf["height"], pdf["width"], pdf["lo"], pdf["hi"], strict=True):
+            v, region = np.asarray(vals, dtype=np.float64), label_components(np.asarray(mask, dtype=bool).reshape(int(h), int(w))).ravel()
+            step = (hi - lo) / steps
+            at = np.clip(np.ceil((v - lo) / step), 0, steps).astype(np.int64) if step > 0 else np.zeros(len(v), np.int64)
+            area = np.bincount(region)
+            recall, outside = sums.setdefault(name, (np.zeros(steps + 2), np.zeros(steps + 2)))
+            inside = region > 0
+            recall[:-1] += np.bincount(at[inside], 1.0 / area[region[inside]], steps + 1)
+            outside[:-1] += np.bincount(at[~inside], minlength=steps + 1)
+            recall[-1] += len(area) - 1
+            outside[-1] += (~inside).sum()
+        for name, (recall, outside) in sums.items():
+            yield pd.DataFrame({key: [name] * (steps + 2), "bin": [*range(steps + 1), -1], "recall": recall, "false": outside.astype(np.int64)})
+
+
 def region_overlap_area(maps: DataFrame, key: str = "category", steps: int = 200, limit: float = 0.3) -> DataFrame:
     """Area under the mean-region-recall curve for false-positive rates below ``limit``, rescaled to 0..1.
 
-    ``maps``: image_id, key, height, width, vals, mask. Pixels are counted into ``steps`` score
-    bins per key before anything is ordered, so only the small histograms are shuffled and sorted.
+    ``maps``: image_id, key, height, width, vals, mask. A region lies in one image, so an image's regions are labelled and counted into ``steps`` score bins in the
+    same pass, and tasks hand on one small histogram per key and batch.
     """
-    labelled = component_labels(maps).join(maps, "image_id")
-    pixels = labelled.select(
-        "image_id", key, F.explode(F.arrays_zip("vals", "labels")).alias("p")
-    ).select("image_id", key, F.col("p.vals").alias("v"), F.col("p.labels").alias("region"))
-    bounds = maps.groupBy(key).agg(F.min(F.array_min("vals")).alias("lo"), F.max(F.array_max("vals")).alias("hi"))
-    from plumbline.operators.joins import attach
-
-    step = (F.col("hi") - F.col("lo")) / steps
-    bin_ = F.least(F.lit(steps), F.greatest(F.lit(0), F.ceil(F.try_divide(F.col("v") - F.col("lo"), step)))).cast("int")
-    binned = attach(pixels, bounds, [key]).withColumn("bin", F.coalesce(bin_, F.lit(0)))
-    per_region = binned.groupBy(key, "image_id", "region", "bin").agg(F.count(F.lit(1)).alias("n"))
-    areas = per_region.groupBy(key, "image_id", "region").agg(
-        F.sum("n").alias("area"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("hist")
-    )
-    totals = areas.groupBy(key).agg(
-        F.count_if(F.col("region") > 0).alias("regions"), F.sum(F.when(F.col("region") == 0, F.col("area"))).alias("negatives")
-    )
-    hist = areas.select(key, "region", "area", F.explode("hist").alias("bin", "n"))
-    hist = hist.groupBy(key, "bin").agg(
-        F.sum(F.when(F.col("region") > 0, F.col("n") / F.col("area")).otherwise(0.0)).alias("recall"),
-        F.sum(F.when(F.col("region") == 0, F.col("n")).otherwise(0)).alias("false"),
-    )
-    from pyspark.sql import Window as W
-
-    every = bounds.select(key, F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("bin"))
-    dense = every.join(hist, [key, "bin"], "left").fillna(0, ["recall", "false"])
-    above = W.partitionBy(key).orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)
-    # threshold number t keeps the pixels of bins above t
-    curve = dense.select(
-        key, (F.col("bin") - 1).alias("t"), F.sum("recall").over(above).alias("recall"), F.sum("false").over(above).alias("false")
-    ).where("t >= 0").join(totals, key)
-    curve = curve.select(
-        key, "t", (F.col("recall") / F.col("regions")).alias("pro"), F.try_divide("false", "negatives").alias("fpr")
-    ).where(F.col("fpr") < limit)
+    bounds = maps.groupBy(key).agg(F.min(F.array_min("vals")).cast("double").alias("lo"), F.max(F.array_max("vals")).cast("double").alias("hi"))
+    rows = attach(maps.select(key, "height", "width", "vals", "mask"), bounds, [key])
+    kind = maps.schema[key].dataType.simpleString()
+    counted = rows.mapInPandas(lambda batches: _region_histograms(batches, key, steps), f"{key} {kind}, bin int, recall double, false long")
+    hist = counted.groupBy(key, "bin").agg(F.sum("recall").alias("recall"), F.sum("false").alias("false"))
     whole = W.partitionBy(key)
-    scaled = curve.withColumn(
-        "x", F.try_divide(F.col("fpr") - F.min("fpr").over(whole), F.max("fpr").over(whole) - F.min("fpr").over(whole))
-    )
-    nxt = W.partitionBy(key).orderBy("t")
+    of_key = lambda c: F.max(F.when(F.col("bin") == -1, F.col(c))).over(whole)
+    hist = hist.withColumns({"regions": of_key("recall"), "negatives": of_key("false")}).where("bin >= 0")
+    above = whole.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)
+    # threshold number t keeps the pixels of bins above t
+    curve = hist.select(
+        key, (F.col("bin") - 1).alias("t"), (F.sum("recall").over(above) / F.col("regions")).alias("pro"), F.try_divide(F.sum("false").over(above), "negatives").alias("fpr")
+    ).where((F.col("t") >= 0) & (F.col("fpr") < limit))
+    low, high = F.min("fpr").over(whole), F.max("fpr").over(whole)
+    scaled = curve.withColumn("x", F.try_divide(F.col("fpr") - low, high - low))
+    nxt = whole.orderBy("t")
     piece = (F.col("x") - F.lead("x").over(nxt)) * (F.col("pro") + F.lead("pro").over(nxt)) / 2.0
     return scaled.withColumn("piece", piece).groupBy(key).agg(F.sum("piece").alias("pro_area"))

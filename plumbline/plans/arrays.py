@@ -425,6 +425,26 @@ def merge_masks(rows, key: str, threshold: float):
     )
 
 
-@query("agg11_region_overlap_area")
+@query(
+    "agg11_region_overlap_area",
+    "WITH RECURSIVE "
+    + PIXELS_SQL
+    + """, lit AS (SELECT image_id, pos, x, y FROM pixels WHERE on_mask),
+    near AS (SELECT a.image_id, a.pos, b.pos AS other FROM lit a JOIN lit b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+    reach AS (SELECT image_id, pos AS root, pos FROM lit UNION SELECT r.image_id, r.root, n.other FROM reach r JOIN near n ON n.image_id = r.image_id AND n.pos = r.pos),
+    region AS (SELECT image_id, pos, min(root) AS root FROM reach GROUP BY ALL),
+    area AS (SELECT image_id, root, count(*) AS area FROM region GROUP BY ALL),
+    bounds AS (SELECT category, min(v) AS lo, max(v) AS hi FROM pixels GROUP BY ALL),
+    binned AS (SELECT p.category, p.image_id, r.root, a.area, CAST(least(200, greatest(0, ceil((v - lo) / ((hi - lo) / 200)))) AS INTEGER) AS bin FROM pixels p JOIN bounds b ON b.category = p.category
+      LEFT JOIN region r ON r.image_id = p.image_id AND r.pos = p.pos LEFT JOIN area a ON a.image_id = r.image_id AND a.root = r.root),
+    totals AS (SELECT category, count(DISTINCT CASE WHEN root IS NOT NULL THEN image_id * 64 + root END) AS regions, count(*) FILTER (root IS NULL) AS negatives FROM binned GROUP BY ALL),
+    hist AS (SELECT category, bin, coalesce(sum(1.0::DOUBLE / area) FILTER (root IS NOT NULL), 0) AS recall, count(*) FILTER (root IS NULL) AS outside FROM binned GROUP BY ALL),
+    dense AS (SELECT category, b AS bin, coalesce(recall, 0) AS recall, coalesce(outside, 0) AS outside FROM (SELECT category, unnest(range(201)) AS b FROM bounds) e LEFT JOIN hist h USING (category) WHERE h.bin = b
+      UNION ALL SELECT category, b, 0, 0 FROM (SELECT category, unnest(range(201)) AS b FROM bounds) e WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.category = e.category AND h.bin = e.b)),
+    curve AS (SELECT category, bin - 1 AS t, sum(recall) OVER w / regions AS pro, sum(outside) OVER w / negatives AS fpr FROM dense JOIN totals USING (category) WINDOW w AS (PARTITION BY category ORDER BY bin DESC)),
+    cut AS (SELECT *, min(fpr) OVER (PARTITION BY category) AS f0, max(fpr) OVER (PARTITION BY category) AS f1 FROM curve WHERE t >= 0 AND fpr < 0.3::DOUBLE),
+    piece AS (SELECT category, ((fpr - f0) / (f1 - f0) - lead((fpr - f0) / (f1 - f0)) OVER w) * (pro + lead(pro) OVER w) / 2 AS p FROM cut WINDOW w AS (PARTITION BY category ORDER BY t))
+    SELECT category, round(sum(p), 6) AS pro_area FROM piece GROUP BY category""",
+)
 def region_overlap_area(spark, folder):
-    return R.region_overlap_area(heatmaps(spark, folder))
+    return R.region_overlap_area(heatmaps(spark, folder)).select("category", F.round("pro_area", 6).alias("pro_area"))
