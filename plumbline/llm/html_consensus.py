@@ -40,6 +40,19 @@ AMBIGUOUS = frozenset("header discussion related search social notice notices al
 #: With these in one name, a header is the site's.
 SITE = frozenset("site global top".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of readers' comments: such an element goes however much text it holds.
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies".split())
+#: Names that begin or end with these tell of a state or a lack.
+LACKING = frozenset("no not non has have with without hide".split())
+STATES = frozenset("open opened closed enabled disabled free hidden active".split())
+#: Words that stand beside boilerplate words in the names of boilerplate.
+NEUTRAL = frozenset(
+    """area bar block body bottom box button buttons container content form group inline inner item items left link links list main outer page post posts right
+    section site slot top unit wrap wrapper""".split()
+)
+#: Classes of inline adverts.
+ADVERTS = frozenset("ad ads advert adverts advertisement sponsored".split())
+HIDDEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[\s\xa0]+")
 #: A path is a host's if at least this share of the host's pages voted for it, so a host has at most 1 / share paths.
@@ -51,69 +64,107 @@ PATH_SHARE = 0.9
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "skipped", "parts", "inside_article", "heading", "own", "linked")
+    __slots__ = ("tag", "parent", "path_id", "label", "depth", "skipped", "inside_article", "heading", "holds_article", "own", "linked", "mark")
 
-    def __init__(self, tag, parent, label, skipped):
-        self.tag, self.parent, self.skipped = tag, parent, skipped
-        self.path = f"{parent.path}>{label}" if parent and parent.path else label
+    def __init__(self, tag, parent, label, path_id, skipped):
+        self.tag, self.parent, self.label, self.path_id, self.skipped = tag, parent, label, path_id, skipped
+        self.depth = parent.depth + 1 if parent else 0
         self.inside_article = bool(parent) and (parent.inside_article or parent.tag in ("article", "main"))
         self.heading = tag == "h1" or bool(parent) and parent.heading
-        self.own = self.linked = 0
+        self.holds_article = False
+        #: characters of text below, and those of them in links
+        self.own = self.linked = self.mark = 0
+
+    @property
+    def path(self) -> str:
+        labels, node = [], self
+        while node.parent:
+            labels.append(node.label)
+            node = node.parent
+        return ">".join(reversed(labels))
+
+
+def boilerplate_words(names: list[str], strict: bool) -> set[str]:
+    """The boilerplate words in names of class, id and role. Names of a state or a lack (has-sidebar, comments-open, ad-free) say nothing of the
+    element itself. Where ``strict``, each word of a name has to be boilerplate or neutral, so that market-share or ad-hoc is none."""
+    out = set()
+    for name in names:
+        words = WORD.findall(name)
+        if len(words) > 1 and (words[0] in LACKING or words[-1] in STATES):
+            continue
+        if not strict or all(w in BOILERPLATE or w in NEUTRAL for w in words):
+            out.update(w for w in words if w in BOILERPLATE)
+    return out
 
 
 class Page(HTMLParser):
-    """Builds blocks: (block element, text pieces) in page order, each with its chain of containers."""
+    """Builds blocks: (block element, text pieces) in page order, and the tree of elements. Each step is linear in the page, however deep it is."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = Node("", None, "", False)
+        self.path_ids: dict[tuple[int, str], int] = {}
+        self.root = Node("", None, "", 0, False)
         self.stack = [self.root]
+        self.open_tags: dict[str, int] = {}
+        #: all elements in page order, each after its parent
+        self.tree: list[Node] = [self.root]
         self.nodes: list[Node] = []
         #: with the characters of a block and those of them in links
         self.blocks: list[tuple[Node, list[str], list[int]]] = []
         self.open_block: tuple[Node, list[str], list[int]] | None = None
-        self.links = 0
-        self.doubtful: list[Node] = []
+        #: elements with boilerplate words and how they are judged when the page is read: "comment", "marked", "links"
+        self.doubtful: list[tuple[Node, str]] = []
         self.feed(html)
         self.close()
         self._settle()
 
-    def _boilerplate(self, tag, parent, marks, values) -> tuple[bool, bool]:
-        """Whether an element with such words is boilerplate, and whether its links decide that when the page is read."""
-        if not (BOILERPLATE - AMBIGUOUS).isdisjoint(marks):
-            return True, False
-        if tag in HEADINGS:
-            return False, False
-        names = " ".join(values.get(k, "") for k in ("class", "id", "role")).lower().split()
-        inside = parent.inside_article or parent.tag in ("article", "main") or tag == "section"
-        if not inside and any(n in AMBIGUOUS or "header" in (w := WORD.findall(n)) and not SITE.isdisjoint(w) for n in names):
-            return True, False
-        return False, True
+    def _judged_by(self, tag, parent, names) -> str | None:
+        inside = parent.inside_article or parent.tag in ("article", "main")
+        words = boilerplate_words(names, inside)
+        if words & COMMENTS - AMBIGUOUS:
+            return "comment"
+        if words - AMBIGUOUS:
+            return "marked"
+        if not words or tag in HEADINGS:
+            return None
+        if not (inside or tag == "section") and any(n in AMBIGUOUS or "header" in (w := WORD.findall(n)) and not SITE.isdisjoint(w) for n in names):
+            return "comment" if words & COMMENTS else "marked"
+        return "links"
 
     def _settle(self):
-        """Takes out the doubtful elements that are mostly links."""
-        out = set()
-        for node in self.doubtful:
-            if 2 * node.linked > node.own:
-                out.add(id(node))
-                own, linked, up = node.own, node.linked, node
-                while up:
-                    up.own -= own
-                    up.linked -= linked
-                    up = up.parent
+        """Sums up the text below each element and takes out the doubtful elements.
+
+        Reader comments go. Elements with other marks go unless they hold an article, a main part or the page's heading, or most of the page's
+        unlinked text besides comments. Elements whose name may be content's go if they are mostly links."""
+        self._sum()
+        text = self.root.own - self.root.linked
+        out = {id(n) for n, how in self.doubtful if how == "comment"}
+        if out:
+            inner = {id(n): id(n) in out for n in self.tree}
+            for n in self.tree[1:]:
+                if inner[id(n.parent)]:
+                    inner[id(n)] = True
+                elif inner[id(n)]:
+                    text -= n.own - n.linked
+        for n, how in self.doubtful:
+            if how == "links" and 2 * n.linked > n.own or how == "marked" and not n.holds_article and 2 * (n.own - n.linked) <= text:
+                out.add(id(n))
         if not out:
             return
-
-        def gone(node):
-            while node:
-                if id(node) in out:
-                    return True
-                node = node.parent
-            return False
-
-        self.blocks = [b for b in self.blocks if not gone(b[0])]
-        for n in self.nodes:
-            n.skipped = n.skipped or gone(n)
+        for n in self.tree[1:]:
+            n.skipped = n.skipped or n.parent.skipped or id(n) in out
+        self.blocks = [b for b in self.blocks if not b[0].skipped]
+        self._sum()
+
+    def _sum(self):
+        for n in self.tree:
+            n.own = n.linked = 0
+        for node, _, (size, linked) in self.blocks:
+            node.own += size
+            node.linked += linked
+        for n in reversed(self.tree[1:]):
+            n.parent.own += n.own
+            n.parent.linked += n.linked
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
@@ -127,22 +178,30 @@ class Page(HTMLParser):
                 self.open_block[1].append(" ")
             return
         parent = self.stack[-1]
+        values = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
+        classes = values.get("class", "").lower().split()
+        hidden = "hidden" in values or values.get("aria-hidden") == "true" or HIDDEN.search(values.get("style", "")) is not None
+        skipped = parent.skipped or hidden or tag in SKIPPED or tag == "header" and not (parent.inside_article or parent.tag in ("article", "main"))
+        how = None
         if tag in INLINE:
-            marks, classes = (), ()
+            skipped = skipped or not ADVERTS.isdisjoint(classes)
+            label = tag
         else:
-            values = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden")}
-            classes = sorted(set(values.get("class", "").lower().split()))
-            marks = WORD.findall(" ".join((values.get("class", ""), values.get("id", ""), values.get("role", ""))).lower())
-            if "hidden" in values or values.get("aria-hidden") == "true":
-                marks.append("ad")
-        skipped = parent.skipped or tag in SKIPPED or tag == "header" and not (parent.inside_article or parent.tag in ("article", "main"))
-        doubtful = False
-        if not skipped and tag not in ("body", "html", "article", "main") and not BOILERPLATE.isdisjoint(marks):
-            skipped, doubtful = self._boilerplate(tag, parent, marks, values)
-        node = Node(tag, parent, re.sub(r"\d+", "#", ".".join((tag, *classes))), skipped)
-        if doubtful:
-            self.doubtful.append(node)
+            label = re.sub(r"\d+", "#", ".".join((tag, *sorted(set(classes)))))
+            names = [*classes, *values.get("id", "").lower().split(), *values.get("role", "").lower().split()]
+            if names and not skipped and tag not in ("body", "html", "article", "main"):
+                how = self._judged_by(tag, parent, names)
+        node = Node(tag, parent, label, self.path_ids.setdefault((parent.path_id, label), len(self.path_ids) + 1), skipped)
+        if how:
+            self.doubtful.append((node, how))
+        if tag in ("article", "main", "h1") and not skipped:
+            up = parent
+            while up and not up.holds_article:
+                up.holds_article = True
+                up = up.parent
         self.stack.append(node)
+        self.tree.append(node)
+        self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
         if tag in CONTAINERS:
             self.nodes.append(node)
 
@@ -153,8 +212,12 @@ class Page(HTMLParser):
             self._close({tag}, frozenset() if tag not in INLINE else SCOPE)
 
     def _close(self, tags, scope):
+        if not any(self.open_tags.get(t) for t in tags):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag in tags:
+                for node in self.stack[k:]:
+                    self.open_tags[node.tag] -= 1
                 del self.stack[k:]
                 return
             if self.stack[k].tag in scope:
@@ -170,14 +233,9 @@ class Page(HTMLParser):
         self.open_block[1].append(data)
         size = len(data.strip())
         if size:
-            linked = False
-            while node:
-                linked = linked or node.tag == "a"
-                node.own += size
-                node.linked += size * linked
-                node = node.parent
             self.open_block[2][0] += size
-            self.open_block[2][1] += size * linked
+            if self.open_tags.get("a"):
+                self.open_block[2][1] += size
 
     def best(self) -> Node | None:
         """The smallest container that holds every block of the page that is not mostly links, and the first headings."""
@@ -185,25 +243,30 @@ class Page(HTMLParser):
             return None
         texts = [(node, weight) for node, _, weight in self.blocks if weight[0]]
         wanted = [node for node, (size, linked) in texts if 2 * linked < size or node.heading] or [node for node, _ in texts]
-        held: dict[int, int] = {}
+        for n in self.tree:
+            n.mark = 0
         for node in wanted:
-            while node is not None:
-                held[id(node)] = held.get(id(node), 0) + 1
-                node = node.parent
-        good = [n for n in self.nodes if not n.skipped and held.get(id(n)) == len(wanted)]
-        return max(good, key=lambda n: n.path.count(">")) if good else None
+            node.mark += 1
+        for n in reversed(self.tree[1:]):
+            n.parent.mark += n.mark
+        good = [n for n in self.nodes if not n.skipped and n.mark == len(wanted)]
+        return max(good, key=lambda n: n.depth) if good else None
+
+    def at(self, path: str) -> list[Node]:
+        """The containers with a path."""
+        of = 0
+        for label in path.split(">"):
+            of = self.path_ids.get((of, label), -1)
+        return [n for n in self.nodes if n.path_id == of and not n.skipped] if of > 0 else []
 
     def text(self, chosen: list[Node] | None) -> str:
         """The blocks below the chosen nodes (of the whole page when None)."""
-        wanted = None if chosen is None else {id(n) for n in chosen}
+        wanted = {id(self.root)} if chosen is None else {id(n) for n in chosen}
+        for n in self.tree:
+            n.mark = id(n) in wanted or n.parent is not None and n.parent.mark
         out = []
         for node, pieces, _ in self.blocks:
-            if wanted is not None:
-                while node is not None and id(node) not in wanted:
-                    node = node.parent
-                if node is None:
-                    continue
-            block = SPACE.sub(" ", "".join(pieces)).strip()
+            block = SPACE.sub(" ", "".join(pieces)).strip() if node.mark else ""
             if block:
                 out.append(block)
         return "\n\n".join(out)
@@ -231,7 +294,7 @@ def extract(html: str | None, paths: list[str]) -> tuple[str, str]:
     whole = best or page.root
     least = PATH_SHARE * (whole.own - whole.linked)
     for path in paths:
-        chosen = [n for n in page.nodes if n.path == path and not n.skipped]
+        chosen = page.at(path)
         if any(n.own for n in chosen) and sum(n.own - n.linked for n in chosen) >= least:
             return page.text(chosen), path
     return page.text([best] if best else None), best.path if best else ""

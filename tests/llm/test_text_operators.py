@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -306,3 +307,45 @@ def test_language_sample_is_bounded(spark):
     got = {r.label: r.text for r in language.bounded_sample(docs, "lang", "text", 64, 1000).collect()}
     assert len(got["xx"]) == 1000 and "middle" in got["xx"] and got["yy"] == "short text"
     assert b"middle" in language.train(docs).contents["xx"]
+
+
+def test_letters_are_letters(spark):
+    docs = spark.createDataFrame([("una casa blanca y grande " * 20, "es"), ("the white house is large " * 20, "en")], "text string, lang string")
+    model = language.train(docs)
+    rows = spark.createDataFrame([(0, "½ ² Ⅷ ①"), (1, "12 _ 3"), (2, "the house ½")], "doc_id long, text string")
+    got = {r.doc_id: r.nearest for r in language.identify(rows, model).collect()}
+    assert got == {0: "und", 1: "und", 2: "en"}
+
+
+def test_html_wrappers_keep_the_article():
+    article = "".join(f"<p>{'word ' * 30}{k}.</p>" for k in range(6))
+    comments = f'<div class="comments"><article class="comment"><p>{"reader says " * 300}</p></article></div>'
+    names = "main-content has-sidebar|post share-buttons-enabled|comments-open|ad-free|elementor-widget-theme-post-content|content no-sidebar|elementor-widget-container|market-share|menu-recipe|ad-hoc|sidebar-layout"
+    for name in names.split("|"):
+        page = f'<body><nav>menu</nav><article><h1>Title</h1><div class="{name}">{article}</div></article>{comments}</body>'
+        got, _ = html_consensus.extract(page, [])
+        assert got.startswith("Title\n\nword") and got.count("word") == 180 and "reader" not in got, name
+        got, _ = html_consensus.extract(f'<body><div class="{name}"><h1>Title</h1>{article}</div><div class="sidebar">side</div>{comments}</body>', [])
+        assert got.count("word") == 180 and "reader" not in got and "side" not in got, name
+
+
+def test_html_hidden_and_inline_adverts():
+    p = "<p>" + "A sentence that stays. " * 10
+    page = f'<body><article>{p}<span hidden>no</span><span class="ad">buy</span><b style="display: none">gone</b><i>yes</i></p><div style="display:none">{p}</div></article></body>'
+    got, _ = html_consensus.extract(page, [])
+    assert got == "A sentence that stays. " * 10 + "yes"
+
+
+@pytest.mark.parametrize("page", ["<p>x<b>" * 16000, "<div>" * 8000 + "text", "<div><p>t" * 4000, "<ul><li>x" * 5000 + "<a>" * 3000])
+def test_html_deep_pages(page):
+    begun = time.time()
+    vote = html_consensus.vote(page)
+    got, path = html_consensus.extract(page, [vote] if vote else [])
+    assert got and time.time() - begun < 20
+
+
+def test_html_equal_votes(spark):
+    a, b = "<body><div class=x><p>{}</p></div></body>", "<body><div class=y><p>{}</p></div></body>"
+    pages = [(k, "http://h/", (a if k % 2 else b).format("text " * 20 + str(k))) for k in range(10)]
+    got = html_consensus.host_paths(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert [r.paths for r in got] == [["body>div.x", "body>div.y"]]
