@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from plumbline.llm.base import by_bytes, with_rest
 from plumbline.llm.bpe import _schema
 
-LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 #: Short matches count: languages differ in syllables more than in phrases.
@@ -32,7 +31,7 @@ def letters(text: str) -> str:
 @dataclass(frozen=True)
 class LanguageSettings:
     """``bins``: training texts per language at most (the text of smallest hash in each bin of the text hash).
-    ``sample_chars``: code points fetched from the middle of each. ``dictionary_bytes``: raw content per language. ``window_bytes``: a text is compressed in windows of this size, so
+    ``sample_chars``: code points fetched from the middle of each. ``dictionary_bytes``: raw content per language, the last of what was sampled. ``window_bytes``: a text is compressed in windows of this size, so
     that a long text keeps drawing on the dictionary and not on itself. ``min_margin``: a text whose best size is not
     smaller than the second best by this share is rejected. ``max_languages``: more labels than this are refused.
     """
@@ -117,7 +116,7 @@ def identify(docs: DataFrame, model: CompressionClassifier, text: str = "text",
     least = model.settings.min_margin
 
     def one(value):
-        if not value or not model.contents or not LETTER.search(value):
+        if not value or not model.contents or not any(map(str.isalpha, value)):
             return UNKNOWN, UNKNOWN, 0.0, 0.0
         sizes = model.sizes(value)
         names = list(model.contents)
