@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import graph as G
 from plumbline.plans.calibration import STATS_SQL, normal_reference_rows
 from plumbline.plans.fixtures import KB_SQL, knowledge, knowledge_files, scores
 from plumbline.plans.registry import query, table
+from plumbline.session import shared_path
+from plumbline.sources import documents, sinks
 from plumbline.sources.documents import knowledge_bases
 
 EDGES_SQL = (
@@ -95,8 +99,11 @@ SPEC_SQL = """cats AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN 'parts' ELS
 
 
 def _specs(spark, folder):
-    rules = spark.createDataFrame(SPEC_RULES, "dataset string, rule_order int, pattern string, names array<string>")
-    rules = rules.select("dataset", "rule_order", "pattern", F.transform("names", lambda n: F.struct(n.alias("region"))).alias("regions"))
+    # the rules are documents in files, as a user would keep them
+    path = shared_path(spark, "region-specs")
+    docs = [(d, json.dumps({"dataset": d, "rule_order": k, "pattern": p, "regions": [{"region": n} for n in names]})) for d, k, p, names in SPEC_RULES]
+    sinks.write_documents(spark.createDataFrame(docs, "folder string, text string"), path, ["folder"])
+    rules = documents.region_spec_rules(documents.read_json_files(spark, path))
     part = table(spark, folder, "part")
     name = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", "p_name", "p_type"))
     cats = part.select(F.when(F.col("p_size") % 2 == 0, "parts").otherwise("textures").alias("dataset"), name.alias("category")).distinct()

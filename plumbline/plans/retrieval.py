@@ -24,6 +24,8 @@ from plumbline.plans.evidence import (
 from plumbline.plans.fixtures import BOXES_SQL, KB_SQL, SCORES_SQL, boxes, knowledge, scores
 from plumbline.plans.graphs import REGION_TEXT_SQL, graph
 from plumbline.plans.registry import query, table
+from plumbline.session import shared_path
+from plumbline.sources import documents, sinks
 
 REQUEST_SQL = (
     KB_SQL
@@ -261,6 +263,16 @@ ROLES = ["whole_object", "rim", "defect_crack", "defect_hole", "target_object",
 PLAN_TASKS = ["Defect Localization", "Defect Description", "Anomaly Detection", "Object Details"]
 
 
+#: From rows ``p`` (p_partkey, task, ord, role, audited, off) to ranked ones ``o``.
+PLAN_SQL = """f AS (SELECT *, CASE WHEN role IN ('whole_object', 'target_object') THEN 'object' WHEN role LIKE 'defect_%' THEN 'defect' ELSE 'part' END AS family, task = 'Defect Localization' AS loc, task = 'Defect Description' AS str FROM p),
+    r AS (SELECT *, CASE WHEN task = 'Defect Localization' THEN CASE family WHEN 'defect' THEN 3 WHEN 'part' THEN 2 ELSE 1 END WHEN task = 'Defect Description' THEN CASE family WHEN 'defect' THEN 3 ELSE 2 END
+       WHEN task = 'Anomaly Detection' THEN CASE family WHEN 'defect' THEN 3 WHEN 'object' THEN 2 ELSE 1 END ELSE CASE family WHEN 'object' THEN 1 WHEN 'part' THEN 0.75 ELSE 0.5 END END::DOUBLE AS relevance,
+       CASE WHEN NOT audited THEN 'not_in_audited_auto_roles' WHEN family = 'defect' AND NOT (loc OR (str AND NOT off)) THEN 'defect_prompt_requires_localization_task'
+         WHEN family <> 'object' AND NOT (loc OR str) THEN 'part_prompt_requires_localization_description_or_analysis' END AS no FROM f),
+    o AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY no IS NOT NULL, relevance DESC, ord, role) AS place, CASE WHEN family = 'defect' AND loc THEN 'selected_defect_prompt_for_localization' WHEN family = 'defect' THEN 'selected_defect_prompt_for_defect_qa' WHEN family = 'object' THEN 'selected_object_prompt'
+         WHEN str THEN 'selected_audited_part_for_structural_task' ELSE 'selected_audited_part_for_localization' END AS yes FROM r)"""
+
+
 @query(
     "win11_prompt_plan",
     f"""WITH p AS (SELECT p_partkey, {_sql_pick(PLAN_TASKS, 'p_partkey % 4')} AS task, CAST(i AS INTEGER) AS ord, {_sql_pick(ROLES, 'i')} AS role, (p_size + i) % 5 <> 0 AS audited, p_size % 6 = 0 AS off FROM part, (SELECT unnest(range(9)) AS i)),
@@ -285,6 +297,36 @@ def prompt_plan(spark, folder):
     return R.prompt_plan(prompts, "request_id", top=4).select("request_id", "role", "family", "relevance", "status", "reason")
 
 
+@query(
+    "win11_loaded_profiles",
+    f"""WITH b AS (SELECT p_type AS dataset, p_brand AS category, p_size % 9 AS k, bool_or(p_partkey % 4 <> 0) AS audited FROM part GROUP BY ALL),
+    prof AS (SELECT dataset, category, {_sql_pick(ROLES, 'k')} AS role, CAST(row_number() OVER (PARTITION BY dataset, category ORDER BY k) - 1 AS INTEGER) AS ord, audited, ends_with(category, '1') AS off, 0.3::DOUBLE + k * 0.05::DOUBLE AS threshold FROM b),
+    p AS (SELECT p_partkey, {_sql_pick(PLAN_TASKS, 'p_partkey % 4')} AS task, ord, role, audited, off, threshold FROM part JOIN prof ON dataset = p_type AND category = p_brand),
+    """
+    + PLAN_SQL
+    + """ SELECT p_partkey AS request_id, role, round(threshold, 6) AS threshold, relevance, CASE WHEN no IS NULL AND place <= 4 THEN 'selected' ELSE 'rejected' END AS status,
+      CASE WHEN no IS NULL AND place <= 4 THEN yes ELSE coalesce(no, 'ranked_below_prompt_budget') END AS reason FROM o""",
+)
+def loaded_profiles(spark, folder):
+    """Prompt plans from profile documents: written one per type and brand, read back, joined to the requests."""
+    part = table(spark, folder, "part")
+    kinds = part.groupBy(F.col("p_type").alias("dataset"), F.col("p_brand").alias("category"), (F.col("p_size") % 9).cast("int").alias("k")).agg(
+        F.bool_or(F.col("p_partkey") % 4 != 0).alias("audited")
+    )
+    role = _pick(ROLES, F.col("k"))
+    prompt = F.struct(F.col("k"), role.alias("role"), F.concat_ws(" ", F.lit("the"), role).alias("text"), (F.col("k") * 0.05 + 0.3).alias("threshold"))
+    docs = kinds.groupBy("dataset", "category").agg(  # nine prompts at most
+        F.transform(F.array_sort(F.collect_list(prompt)), lambda p: p.dropFields("k")).alias("prompts"), F.collect_set(F.when(F.col("audited"), role)).alias("audited_roles")
+    )
+    text = F.to_json(F.struct("dataset", "category", (~F.col("category").endswith("1")).alias("defect_prompts"), "audited_roles", "prompts"))
+    path = shared_path(spark, "profiles")
+    sinks.write_documents(docs.select(F.col("dataset").alias("folder"), text.alias("text")), path, ["folder"])
+    profiles = documents.prompt_profiles(documents.read_json_files(spark, path))
+    requests = part.select(F.col("p_partkey").alias("request_id"), F.col("p_type").alias("dataset"), F.col("p_brand").alias("category"), _pick(PLAN_TASKS, F.col("p_partkey") % 4).alias("task_type"))
+    plan = R.prompt_plan(attach(requests, profiles, ["dataset", "category"]), "request_id", top=4)
+    return plan.select("request_id", "role", F.round("threshold", 6).alias("threshold"), "relevance", "status", "reason")
+
+
 @query(
     "win13_visible_crops",
     "WITH "

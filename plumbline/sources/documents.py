@@ -28,6 +28,16 @@ RESULT_SCHEMA = (
 )
 
 
+PROFILE_SCHEMA = (
+    "struct<dataset: string, category: string, defect_prompts: boolean, audited_roles: array<string>, "
+    "prompts: array<struct<role: string, text: string, threshold: double, use_for_object_mask: boolean, use_for_refinement: boolean>>>"
+)
+SPEC_RULE_SCHEMA = (
+    "struct<dataset: string, rule_order: int, pattern: string, regions: array<struct<region: string, definition: string, normal_standard: string, "
+    "critical_check: string, visual_attributes: array<string>, prompt: string, crop_box: array<double>>>>"
+)
+
+
 def read_json_files(spark, path: str) -> DataFrame:
     """One row per file: path, text."""
     rows = spark.read.text(path, wholetext=True)
@@ -244,6 +254,33 @@ def manifest_assets(manifests: DataFrame, region_field: str = "regions") -> Data
     )
 
 
+def prompt_profiles(files: DataFrame) -> DataFrame:
+    """Prompts of profile documents (``text``), one row each in the profile's order; missing fields have their defaults.
+
+    dataset, category, profile_order, role, prompt, threshold, use_for_object_mask, use_for_refinement, audited, defect_disabled.
+    """
+    docs = files.select(F.from_json("text", PROFILE_SCHEMA).alias("d")).where(F.col("d.category").isNotNull())
+    rows = docs.select("d.dataset", "d.category", "d.audited_roles", F.coalesce("d.defect_prompts", F.lit(True)).alias("_defects"), F.posexplode("d.prompts").alias("profile_order", "p"))
+    return rows.where(F.coalesce("p.role", F.lit("")) != "").select(
+        "dataset",
+        "category",
+        "profile_order",
+        F.col("p.role").alias("role"),
+        F.coalesce("p.text", F.lit("")).alias("prompt"),
+        F.coalesce("p.threshold", F.lit(0.4)).alias("threshold"),
+        F.coalesce("p.use_for_object_mask", F.lit(False)).alias("use_for_object_mask"),
+        F.coalesce("p.use_for_refinement", F.lit(True)).alias("use_for_refinement"),
+        F.coalesce(F.array_contains("audited_roles", F.col("p.role")), F.lit(False)).alias("audited"),
+        (~F.col("_defects")).alias("defect_disabled"),
+    )
+
+
+def region_spec_rules(files: DataFrame) -> DataFrame:
+    """Rules of region-spec documents (``text``): dataset, rule_order, pattern (of category names) and the specs of their regions."""
+    rules = files.select(F.from_json("text", SPEC_RULE_SCHEMA).alias("r")).where(F.col("r.dataset").isNotNull() & F.col("r.regions").isNotNull())
+    return rules.select("r.dataset", F.coalesce("r.rule_order", F.lit(0)).alias("rule_order"), F.coalesce("r.pattern", F.lit(".*")).alias("pattern"), "r.regions")
+
+
 def merged_parts(parts: list[DataFrame]) -> DataFrame:
     """Rows of several workers' outputs; absent columns become null."""
     out = parts[0]
