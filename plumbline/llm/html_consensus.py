@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import by_bytes, with_rest
+from plumbline.llm.base import attach_by_size, by_bytes, with_rest
 from plumbline.llm.bpe import _schema
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,8 +57,6 @@ WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[\s\xa0]+")
 #: A path is a host's if at least this share of the host's pages voted for it, so a host has at most 1 / share paths.
 MIN_SHARE = 0.05
-#: Keys that the pages of one host are dealt over.
-HOST_PARTS = 64
 #: A host's path is used on a page if it holds at least this share of the unlinked text of the page's own best container.
 PATH_SHARE = 0.9
 
@@ -301,7 +299,7 @@ def extract(html: str | None, paths: list[str]) -> tuple[str, str]:
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html", min_share: float = MIN_SHARE) -> DataFrame:
-    """Rows (``host``, ``paths``): per host the paths with a share of votes of at least ``min_share``, most votes first."""
+    """Rows (``host``, ``paths``, ``pages``): per host the paths with a share of votes of at least ``min_share``, most votes first, and its number of votes."""
 
     def run(batches):
         for batch in by_bytes(batches, html):
@@ -314,8 +312,8 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html", min_share
     totals = counted.groupBy("host").agg(F.sum("n").alias("total"))
     # no more than 1 / min_share paths of a host pass, so the list is bounded
     passed = counted.join(totals, "host").where(F.col("n") >= F.col("total") * min_share)
-    ranked = passed.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))).alias("p"))
-    return ranked.select("host", F.col("p.path").alias("paths"))
+    ranked = passed.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))).alias("p"), F.max("total").alias("pages"))
+    return ranked.select("host", F.col("p.path").alias("paths"), "pages")
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -339,9 +337,7 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url: str = "url", ht
 
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     rows = rows.mapInArrow(with_host, _schema([*rows.schema], "host string"))
-    # the pages of a host are dealt over several keys, each with the host's few paths, so that a frequent host is no single task
-    paths = paths.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(HOST_PARTS)).cast("int"))
-    joined = rows.join(paths, ["host", "part"], "left").select("page_id", "url", "html", "paths")
+    # a frequent host's few paths go to all tasks and its pages are dealt out, so that no host is a single task
+    joined = attach_by_size(rows, paths, ["host"], "pages").select("page_id", "url", "html", "paths")
     out = joined.mapInArrow(run, _schema([rows.schema["page_id"], rows.schema["url"]], "text string, n_chars long, path string"))
     return out.select(F.col("page_id").alias(id_column), F.col("url").alias(url), "text", "n_chars", "path")
