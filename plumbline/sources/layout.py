@@ -76,14 +76,14 @@ def describe_layout(files: DataFrame, dataset: str = "dataset") -> DataFrame:
     )
 
 
-def _with_lit_mask(images: DataFrame, masks: DataFrame, scope: list[str]) -> DataFrame:
+def _with_lit_mask(images: DataFrame, masks: DataFrame, scope: list[str], files: DataFrame) -> DataFrame:
     """Add ``_lit``: a mask in the same scope whose stem starts with the image's stem has foreground.
 
     The prefix match is an equality join: each mask offers its prefixes, of those lengths
-    only that occur among the images' stems.
+    only that occur among the stems of the listing's images (``files``).
     """
     images = images.withColumn("_stem", P.stem(F.col("path")))
-    lengths = images.agg(F.array_sort(F.collect_set(F.length("_stem"))).alias("_lengths"))
+    lengths = image_files(files).agg(F.array_sort(F.collect_set(F.length(P.stem(F.col("path"))))).alias("_lengths"))
     offered = (
         masks.where(P.is_image(F.col("path")) & F.col("foreground"))
         .select(*scope, P.file_name(F.col("path")).alias("_name"))
@@ -96,32 +96,45 @@ def _with_lit_mask(images: DataFrame, masks: DataFrame, scope: list[str]) -> Dat
     return images.join(offered, [*scope, "_stem"], "left").withColumn("_lit", F.coalesce("_lit", F.lit(False)))
 
 
+def _folder_flags(rows: DataFrame) -> DataFrame:
+    """Per category what its folders are: one aggregate to the set of (split, child) folders, of which the flags are computed."""
+
+    def folders(name: str, names: list[str], where=None) -> Column:
+        ranks = F.transform("_dirs", lambda d: F.when(F.lit(True) if where is None else where(d), P.name_rank(d[name], names)))
+        return F.array_min(ranks)
+
+    flags = rows.groupBy("category").agg(F.collect_set(F.struct("_split", "_child")).alias("_dirs")).withColumns(
+        {
+            "_train_rank": folders("_split", P.TRAIN_NAMES),
+            "_test_rank": folders("_split", P.TEST_NAMES),
+            "_own_label_rank": folders("_split", P.LABEL_NAMES),
+        }
+    )
+    train = lambda d: F.coalesce(P.name_rank(d["_split"], P.TRAIN_NAMES) == F.col("_train_rank"), F.lit(False))
+    test = lambda d: F.coalesce(P.name_rank(d["_split"], P.TEST_NAMES) == F.col("_test_rank"), F.lit(False))
+    normal = lambda d: F.coalesce(P.is_normal_name(d["_child"]), F.lit(False))
+    flags = flags.withColumns(
+        {
+            "_normal_dirs": F.exists("_dirs", lambda d: train(d) & normal(d)),
+            "_child_dirs": F.exists("_dirs", lambda d: test(d) & d["_child"].isNotNull() & ~F.coalesce(P.is_label_name(d["_child"]), F.lit(False))),
+            "_train_label_rank": folders("_child", P.LABEL_NAMES, train),
+            "_test_label_rank": folders("_child", P.LABEL_NAMES, test),
+        }
+    )
+    return flags.drop("_dirs")
+
+
 def layout_samples(files: DataFrame, dataset: str) -> DataFrame:
     """Labelled samples from folder names: dataset, category, split, image_path, label, defect_type."""
     rows = _parts(files)
     child = F.col("_child")
-    per_category = rows.groupBy("category").agg(
-        F.min(P.name_rank(F.col("_split"), P.TRAIN_NAMES)).alias("_train_rank"),
-        F.min(P.name_rank(F.col("_split"), P.TEST_NAMES)).alias("_test_rank"),
-        F.min(P.name_rank(F.col("_split"), P.LABEL_NAMES)).alias("_own_label_rank"),
-    )
-    rows = attach(rows, per_category, ["category"])
-    rows = rows.withColumns(
+    rows = attach(rows, _folder_flags(rows), ["category"]).withColumns(
         {
             "_in_train": F.coalesce(P.name_rank(F.col("_split"), P.TRAIN_NAMES) == F.col("_train_rank"), F.lit(False)),
             "_in_test": F.coalesce(P.name_rank(F.col("_split"), P.TEST_NAMES) == F.col("_test_rank"), F.lit(False)),
         }
     )
-    flags = rows.groupBy("category").agg(
-        F.bool_or(F.col("_in_train") & F.coalesce(P.is_normal_name(child), F.lit(False))).alias("_normal_dirs"),
-        F.bool_or(F.col("_in_test") & child.isNotNull() & ~P.is_label_name(child)).alias("_child_dirs"),
-        F.min(F.when(F.col("_in_train"), P.name_rank(child, P.LABEL_NAMES))).alias("_train_label_rank"),
-        F.min(F.when(F.col("_in_test"), P.name_rank(child, P.LABEL_NAMES))).alias("_test_label_rank"),
-    )
-    rows = attach(rows, flags, ["category"])
-    direct = child.isNull()
     image = P.is_image(F.col("path"))
-
     in_label = {
         "train": F.col("_in_train") & (P.name_rank(child, P.LABEL_NAMES) == F.col("_train_label_rank")),
         "test": F.when(
@@ -129,55 +142,35 @@ def layout_samples(files: DataFrame, dataset: str) -> DataFrame:
             F.col("_in_test") & (P.name_rank(child, P.LABEL_NAMES) == F.col("_test_label_rank")),
         ).otherwise(P.name_rank(F.col("_split"), P.LABEL_NAMES) == F.col("_own_label_rank")),
     }
-    masks = rows.withColumn(
-        "split", F.when(in_label["train"], "train").when(in_label["test"], "test")
-    ).where(F.col("split").isNotNull())
-    flat = rows.where(image & direct & (F.col("_in_train") | F.col("_in_test"))).withColumn(
+    masks = rows.withColumn("split", F.when(in_label["train"], "train").when(in_label["test"], "test")).where(F.col("split").isNotNull())
+
+    good_train = F.col("_in_train") & (
+        (F.col("_normal_dirs") & P.is_normal_name(child)) | (~F.col("_normal_dirs") & F.col("_train_label_rank").isNull())
+    )
+    foldered_test = F.col("_in_test") & F.col("_child_dirs") & child.isNotNull() & ~P.is_label_name(child)
+    normal = P.is_normal_name(child)
+    train, test = F.coalesce(good_train, F.lit(False)), F.coalesce(foldered_test, F.lit(False))
+    named = rows.where(image & (train | test)).select(
+        "category",
+        F.when(train, "train").otherwise("test").alias("split"),
+        F.col("path").alias("image_path"),
+        F.when(train, False).otherwise(~normal).cast("int").alias("label"),
+        F.when(train | normal, "good").otherwise(child).alias("defect_type"),
+    )
+
+    flat = rows.where(image & child.isNull() & (F.col("_in_train") | F.col("_in_test"))).withColumn(
         "split", F.when(F.col("_in_train"), "train").otherwise("test")
     )
     flat = flat.where(
         ((F.col("split") == "train") & ~F.col("_normal_dirs") & F.col("_train_label_rank").isNotNull())
         | ((F.col("split") == "test") & ~F.col("_child_dirs"))
     )
-    flat = _with_lit_mask(flat, masks, ["category", "split"])
-
-    good_train = rows.where(
-        image
-        & F.col("_in_train")
-        & (
-            (F.col("_normal_dirs") & P.is_normal_name(child))
-            | (~F.col("_normal_dirs") & F.col("_train_label_rank").isNull())
-        )
-    )
-    foldered_test = rows.where(
-        image & F.col("_in_test") & F.col("_child_dirs") & child.isNotNull() & ~P.is_label_name(child)
-    )
-
-    def sample(df, split, label, defect):
-        return df.select(
-            F.lit(dataset).alias("dataset"),
-            "category",
-            split.alias("split"),
-            F.col("path").alias("image_path"),
-            label.cast("int").alias("label"),
-            defect.alias("defect_type"),
-        )
-
-    normal = P.is_normal_name(child)
-    return (
-        sample(good_train, F.lit("train"), F.lit(0), F.lit("good"))
-        .unionByName(
-            sample(foldered_test, F.lit("test"), (~normal), F.when(normal, "good").otherwise(child))
-        )
-        .unionByName(
-            sample(
-                flat.where((F.col("split") == "test") | ~F.col("_lit")),
-                F.col("split"),
-                (F.col("split") == "test") & F.col("_lit"),
-                F.when((F.col("split") == "test") & F.col("_lit"), "defect").otherwise("good"),
-            )
-        )
+    flat = _with_lit_mask(flat, masks, ["category", "split"], files).where((F.col("split") == "test") | ~F.col("_lit"))
+    defect = (F.col("split") == "test") & F.col("_lit")
+    masked = flat.select(
+        "category", "split", F.col("path").alias("image_path"), defect.cast("int").alias("label"), F.when(defect, "defect").otherwise("good").alias("defect_type")
     )
+    return named.unionByName(masked).select(F.lit(dataset).alias("dataset"), "category", "split", "image_path", "label", "defect_type")
 
 
 def folder_metadata(files: DataFrame) -> DataFrame:
