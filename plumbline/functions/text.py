@@ -11,7 +11,9 @@ from plumbline.functions import lexicon as L
 
 
 def words(terms) -> Column:
-    return F.array(*[F.lit(t) for t in terms])
+    """A constant array, as one piece of SQL text (a literal column per word would make plans slow to build)."""
+    quoted = [t.replace("\\", "\\\\").replace("'", "\\'") for t in terms]
+    return F.expr("array(" + ", ".join(f"'{t}'" for t in quoted) + ")") if quoted else F.array().cast("array<string>")
 
 
 def normalize_text(text: Column) -> Column:

@@ -44,6 +44,11 @@ def _inside(value: Column, low: str, high: str) -> Column:
     return F.when(value < F.col(low), "below").when(value <= F.col(high), "inside")
 
 
+def _sketched(value: str, marks: list[float]) -> Column:
+    """Approximate quantiles, with the marks as one piece of SQL text: thousands of literal columns are slow to build one by one."""
+    return F.expr(f"percentile_approx({value}, array({', '.join(f'{m!r}D' for m in marks)}), {ACCURACY})")
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], *, deviation: str | None = None, grid: int = GRID) -> DataFrame:
     """Linear-interpolated quantiles per group, the group's count and maximum, and the median of absolute deviations from its median.
 
@@ -62,7 +67,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, probs: dict[str
     steps = [(i + 0.5) / grid for i in range(grid)]
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", [*marks, *steps], ACCURACY).alias("_q"), F.count("_v").alias("n"), F.max("_v").alias("max_value")
+        _sketched("_v", [*marks, *steps]).alias("_q"), F.count("_v").alias("n"), F.max("_v").alias("max_value")
     )
     names = {name: (f"_low{i}", f"_high{i}") for i, name in enumerate(wanted)}
     # the margin of a bracket: at least the two values around a rank, which in a small group have many marks of the grid each

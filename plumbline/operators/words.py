@@ -6,7 +6,7 @@ to a text again is aggregated by its key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,8 +30,9 @@ def token_rows(df: DataFrame, key: list[str], **texts: str) -> DataFrame:
     """Rows (*key, ``field``, ``token``): the tokens of each ``field=text column`` without stop words, repeated if several words give one."""
     fields = F.array(*[F.struct(F.lit(n).alias("field"), F.array_distinct(words_of(F.col(c))).alias("words")) for n, c in texts.items()])
     rows = df.select(*key, F.explode(fields).alias("_f")).select(*key, "_f.field", F.explode("_f.words").alias("_w"))
-    rows = rows.where((F.length("_w") > 1) & ~F.col("_w").isin(L.STOP_TOKENS))
-    return hold(_token(rows, "_w")).where((F.length("token") > 1) & ~F.col("token").isin(L.STOP_TOKENS))
+    stop = ", ".join(f"'{w}'" for w in L.STOP_TOKENS)
+    rows = rows.where(f"length(_w) > 1 AND _w NOT IN ({stop})")
+    return hold(_token(rows, "_w")).where(f"length(token) > 1 AND token NOT IN ({stop})")
 
 
 def token_sets(df: DataFrame, key: list[str], **texts: str) -> DataFrame:
@@ -48,13 +49,6 @@ def profiles(df: DataFrame, key: list[str], **texts: str) -> DataFrame:
     return hold(rows.withColumns({f"{n}_attrs": T.attribute_hits(f"{n}_tokens") for n in texts}))
 
 
-def terms(spark: SparkSession) -> DataFrame:
-    """The fixed word lists as rows (``attr``, ``token``), normalised; the weak tokens under the name ``weak``."""
-    lists = {**L.ATTRIBUTES, "weak": L.WEAK_TOKENS}
-    values = ", ".join(f"('{a}', '{w}')" for a, ws in lists.items() for w in ws)
-    return _token(spark.sql(f"SELECT * FROM VALUES {values} AS v(attr, _w)"), "_w").distinct()
-
-
 def affirming(df: DataFrame, key: list[str], text: Column, targets: list[str], window: int = 18, near: int = 8) -> DataFrame:
     """Keys of the texts that have a target word outside a negated span (see ``functions.text.affirms``).
 
