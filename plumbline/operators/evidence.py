@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators import textindex as TI
 from plumbline.operators import words
-from plumbline.operators.joins import attach, hold
+from plumbline.operators.joins import hold, meet
 
+#: The fields a defect is matched by; defects that agree in all of them have equal scores.
+EVIDENCE = ["defect", "visual_signature", "visual_attributes", "region", "region_definition", "critical_check", "distinctions"]
 SOURCE_CHANNELS = ["visual_signature", "visual_signature_attribute", "graph_visual_attribute", "semantic_embedding"]
 
 
@@ -126,7 +128,8 @@ def defect_evidence(defects: DataFrame, key: list[str]) -> DataFrame:
     )
     fields = {n: f"_{n}" for n in ("name", "signature", "region", "evidence", "graph")}
     none = F.array().cast("array<string>")
-    rows = defects.join(words.token_sets(told, key, **fields), key, "left").withColumns({f"{n}_tokens": F.coalesce(f"{n}_tokens", none) for n in fields})
+    rows = meet(defects, words.token_sets(told, key, **fields), key, "left")
+    rows = rows.withColumns({f"{n}_tokens": F.coalesce(f"{n}_tokens", none) for n in fields})
     rows = hold(rows.withColumns({f"{n}_attrs": T.attribute_hits(f"{n}_tokens") for n in fields if n != "region"}))
     return rows.drop("evidence_tokens", "graph_tokens")
 
@@ -134,7 +137,11 @@ def defect_evidence(defects: DataFrame, key: list[str]) -> DataFrame:
 def score_options(pairs: DataFrame, similarity: Column | None = None) -> DataFrame:
     """Score option texts against defects. ``pairs`` has option_tokens, option_attrs and the
     columns of ``defect_evidence``."""
-    sim = F.coalesce(similarity, F.lit(0.0)) if similarity is not None else F.lit(0.0)
+    return _judged(_compared(pairs), similarity)
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    """What the two texts of a pair share and the parts of the score that no encoder changes (columns ``_...``)."""
     option = F.col("option_attrs")
     rows = pairs.withColumns(
         {
@@ -145,7 +152,6 @@ def score_options(pairs: DataFrame, similarity: Column | None = None) -> DataFra
             "signature_attribute_overlap": T.attribute_overlap(option, F.col("signature_attrs")),
             "name_attribute_overlap": T.attribute_overlap(option, F.col("name_attrs")),
             "graph_attribute_overlap": T.attribute_overlap(option, F.col("graph_attrs")),
-            "_sim": sim,
         }
     )
     weak = T.weak_tokens()
@@ -171,7 +177,6 @@ def score_options(pairs: DataFrame, similarity: Column | None = None) -> DataFra
         + F.size("name_attribute_overlap") * 0.7
         + F.size("graph_attribute_overlap") * 1.2
         + F.col("attribute_term_count") * 0.18
-        + F.greatest(F.lit(0.0), F.col("_sim") - 0.48) * 3.0
     )
     known = F.array_union(F.array_union("name_tokens", "signature_tokens"), F.col("region_tokens"))
     contained = (F.size("option_tokens") > 0) & (F.size(F.array_except("option_tokens", known)) == 0)
@@ -183,49 +188,95 @@ def score_options(pairs: DataFrame, similarity: Column | None = None) -> DataFra
     )
     rows = rows.withColumns(
         {
-            "signal_score": signal,
-            "score": signal + extra,
+            "_signal": signal,
+            "_extra": extra,
+            "_visual": visual,
             "evidence_tokens": F.array_sort(F.array_union("_strong_name", "_strong_sig")),
-            "support_channels": _channels(
+            "_support": _channels(
                 {
                     "defect_name": strong_name > 0,
                     "visual_signature": strong_sig > 0,
                     "visual_attribute": F.size("attribute_overlap") > 0,
                     "defect_name_attribute": F.size("name_attribute_overlap") > 0,
                     "graph_visual_attribute": F.size("graph_attribute_overlap") > 0,
-                    "semantic_embedding": F.col("_sim") >= 0.58,
                 }
             ),
-            "source_evidence_channels": _channels(
+            "_source": _channels(
                 {
                     "visual_signature": strong_sig > 0,
                     "visual_signature_attribute": F.size("signature_attribute_overlap") > 0,
                     "graph_visual_attribute": F.size("graph_attribute_overlap") > 0,
-                    "semantic_embedding": (F.col("_sim") >= 0.58) & visual,
                 }
             ),
         }
     )
-    agreed = consensus(F.col("support_channels"), F.col("attribute_term_count"), F.round("_sim", 4))
+    return hold(rows.drop("_name", "_sig", "_reg", "_strong_name", "_strong_sig"))
+
+
+def _judged(rows: DataFrame, similarity: Column | None = None) -> DataFrame:
+    """Scores, channels and agreement of compared pairs with an encoder's similarity."""
+    sim = F.coalesce(similarity, F.lit(0.0)) if similarity is not None else F.lit(0.0)
+    signal = F.col("_signal") + F.greatest(F.lit(0.0), sim - 0.48) * 3.0
+    rows = rows.withColumns(
+        {
+            "signal_score": signal,
+            "score": signal + F.col("_extra"),
+            "support_channels": F.concat("_support", _channels({"semantic_embedding": sim >= 0.58})),
+            "source_evidence_channels": F.concat("_source", _channels({"semantic_embedding": (sim >= 0.58) & F.col("_visual")})),
+        }
+    )
+    agreed = consensus(F.col("support_channels"), F.col("attribute_term_count"), F.round(sim, 4))
     sourced = F.size("source_evidence_channels") > 0
     rows = rows.withColumns({"label_only_match": ~sourced, "evidence_consensus": agreed & sourced})
-    return hold(rows.drop("_name", "_sig", "_reg", "_strong_name", "_strong_sig", "_sim"))
+    return hold(rows.drop("_signal", "_extra", "_visual", "_support", "_source"))
+
+
+def _option_profiles(options: DataFrame) -> DataFrame:
+    """Distinct option texts that have a token, profiled."""
+    rows = words.profiles(options.select("option_text").distinct(), ["option_text"], option="option_text")
+    return rows.where(F.size("option_tokens") > 0)
 
 
 def _option_sides(options: DataFrame, defects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct (category, option text) and the defects, both profiled; each text and each defect once."""
-    profiles = words.profiles(options.select("option_text").distinct(), ["option_text"], option="option_text")
-    texts = attach(options.select("category", "option_text").distinct(), profiles.where(F.size("option_tokens") > 0), ["option_text"])
+    texts = meet(options.select("category", "option_text").distinct(), _option_profiles(options), ["option_text"])
     return texts, defect_evidence(defects, ["category", "defect_order"])
 
 
+def _index_sides(options: DataFrame, defects: DataFrame, option_features: Column, defect_features: Column) -> tuple[DataFrame, ...]:
+    """The profiles of the distinct option texts and of the distinct evidences, and the two sides of the index.
+
+    The sides are slim: keys and ``features``; a defect's evidence is known by its digest ``_content``.
+    """
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*EVIDENCE)), 256)).alias("_content")
+    told = _option_profiles(options)
+    contents = defect_evidence(defects.select(*EVIDENCE).distinct().select("*", digest), ["_content"])
+    left = meet(options.select("category", "option_text").distinct(), told.select("option_text", option_features.alias("features")), ["option_text"])
+    slim = defects.select(*[c for c in defects.columns if c not in EVIDENCE], digest)
+    return told, contents, left, meet(slim, contents.select("_content", defect_features.alias("features")), ["_content"])
+
+
+def _with_profiles(pairs: DataFrame, told: DataFrame, contents: DataFrame) -> DataFrame:
+    """Distinct (option_text, _content, ...) with the profiles of both."""
+    return meet(meet(pairs.distinct(), told, ["option_text"]), contents, ["_content"])
+
+
+def _unprofiled(rows: DataFrame) -> DataFrame:
+    return rows.drop(*[f"{n}_{part}" for n in ("option", "name", "signature", "region") for part in ("tokens", "attrs")], "evidence_attrs", "graph_attrs")
+
+
 def option_scores(options: DataFrame, defects: DataFrame) -> DataFrame:
     """Every option text against the defects of its category that share any token or attribute with it (score above 0)."""
-    texts, known = _option_sides(options, defects)
-    left = texts.withColumn("features", F.array_union("option_tokens", TI.attributes("option_attrs")))
     every = F.array_union(F.array_union("name_tokens", "signature_tokens"), F.col("region_tokens"))
-    right = known.withColumn("features", F.array_union(every, TI.attributes("name_attrs", "signature_attrs", "evidence_attrs", "graph_attrs")))
-    return score_options(TI.meeting(left, right, ["category"]).drop("shared")).where("score > 0")
+    told, contents, left, right = _index_sides(
+        options,
+        defects,
+        F.array_union("option_tokens", TI.attributes("option_attrs")),
+        F.array_union(every, TI.attributes("name_attrs", "signature_attrs", "evidence_attrs", "graph_attrs")),
+    )
+    met = TI.meeting(left, right, ["category"]).drop("shared")
+    scored = score_options(_with_profiles(met.select("option_text", "_content"), told, contents)).where("score > 0")
+    return meet(met, _unprofiled(scored), ["option_text", "_content"]).drop("_content")
 
 
 def _could_match(min_score: float) -> Column:
@@ -245,26 +296,31 @@ def match_options(options: DataFrame, defects: DataFrame, *, min_score: float =
     """Best defects per answer option within its category.
 
     ``options``: category, question_id, option_key, option_text. ``defects``: category and defect_order (one row each) plus the
-    inputs of ``defect_evidence``. Each (category, option text) is scored once, however often it is asked. Pairs come from the index of
-    ``textindex``; one that cannot reach ``min_score`` is never scored. ``similarity``: rows (category, option_text, defect_order,
+    inputs of ``defect_evidence``. Each option text is scored once against each different evidence it meets, however many categories
+    ask or show it. Pairs come from the index of ``textindex``; one that cannot reach ``min_score`` is never scored. ``similarity``: rows (category, option_text, defect_order,
     similarity) of an optional encoder, such as the nearest defects of each option by ``vectors.top_k``.
     """
-    texts, known = _option_sides(options, defects)
-    left = texts.withColumn("features", F.array_union(TI.strong("option_tokens"), TI.attributes("option_attrs")))
-    right = known.withColumn(
-        "features", F.array_union(TI.strong("name_tokens", "signature_tokens"), TI.attributes("name_attrs", "evidence_attrs", "graph_attrs"))
+    told, contents, left, right = _index_sides(
+        options,
+        defects,
+        F.array_union(TI.strong("option_tokens"), TI.attributes("option_attrs")),
+        F.array_union(TI.strong("name_tokens", "signature_tokens"), TI.attributes("name_attrs", "evidence_attrs", "graph_attrs")),
     )
-    pairs = TI.meeting(left, right, ["category"])
+    met, pair = TI.meeting(left, right, ["category"]), ["option_text", "_content"]
+    good = (F.col("signal_score") > 0) & F.col("evidence_consensus") & (F.col("score") >= min_score)
     if similarity is None:
-        scored = score_options(pairs.where(_could_match(min_score)).drop("shared"))
+        pairs = _with_profiles(met.select(*pair, "shared"), told, contents).where(_could_match(min_score)).drop("shared")
+        scored = meet(met.drop("shared"), _unprofiled(score_options(pairs).where(good)), pair)
     else:
-        near = similarity.select("category", "option_text", "defect_order", F.col("similarity").cast("double"))
-        found = pairs.drop("shared").join(near, ["category", "option_text", "defect_order"], "left")
+        key = ["category", "option_text", "defect_order"]
+        near = similarity.select(*key, F.col("similarity").cast("double"))
         # what the encoder finds without a shared feature; it has to count as a channel
-        others = near.where("similarity >= 0.58").join(pairs.select("category", "option_text", "defect_order"), ["category", "option_text", "defect_order"], "left_anti")
-        others = others.join(texts, ["category", "option_text"]).join(known, ["category", "defect_order"])
-        scored = score_options(found.unionByName(others), F.col("similarity")).drop("similarity")
-    scored = scored.where((F.col("signal_score") > 0) & F.col("evidence_consensus") & (F.col("score") >= min_score))
+        others = meet(near.where("similarity >= 0.58"), met.select(*key), key, "left_anti")
+        others = meet(meet(others, left.drop("features"), ["category", "option_text"]), right.drop("features"), ["category", "defect_order"])
+        met = meet(met.drop("shared"), near, key, "left").unionByName(others)
+        compared = _unprofiled(_compared(_with_profiles(met.select(*pair), told, contents)))
+        scored = _judged(meet(met, compared, pair), F.col("similarity")).drop("similarity").where(good)
+    scored = scored.drop("_content")
     strength = [F.desc("score"), F.desc("signal_score"), F.desc(F.size("evidence_tokens")), F.asc("defect_order")]
     per_text = W.partitionBy("category", "option_text")
     scored = scored.withColumn("_nth", F.row_number().over(W.partitionBy("category", "option_text", "defect").orderBy(*strength)))
@@ -272,7 +328,7 @@ def match_options(options: DataFrame, defects: DataFrame, *, min_score: float =
     share = F.when(T.is_compound(F.col("option_text")), 0.45).otherwise(floor)
     kept = unique.where(F.col("score") >= F.greatest(F.lit(min_score), F.col("_best") * share))
     ranked = kept.withColumn("match_rank", F.row_number().over(per_text.orderBy(*strength))).where(F.col("match_rank") <= top)
-    return options.join(ranked.drop("_nth", "_best"), ["category", "option_text"])
+    return meet(options, ranked.drop("_nth", "_best"), ["category", "option_text"])
 
 
 def discriminative(matches: DataFrame, options: DataFrame) -> DataFrame:
@@ -294,19 +350,19 @@ def discriminative(matches: DataFrame, options: DataFrame) -> DataFrame:
         .when(many & (F.col("sets") < 2), False)
         .otherwise(True)
     )
-    return per_question.join(asked, "question_id").select("question_id", "match_count", decided.alias("discriminative"))
+    return meet(per_question, asked, ["question_id"]).select("question_id", "match_count", decided.alias("discriminative"))
 
 
 def rank_reports(reports: DataFrame, defects: DataFrame, *, top: int = 3, min_signal: float = 1.6, similarity: DataFrame | None = None) -> DataFrame:
     """Defect hypotheses per visual report within its category; normal reports give none.
 
     ``reports``: category, report_id, report. ``defects``: category, defect_order (one row each), defect_node
-    and evidence fields. Each (category, report text) is scored once, by the index of ``textindex``. ``similarity``: rows (category, report,
+    and evidence fields. Each report text is scored once against each different evidence it meets, by the index of ``textindex``. ``similarity``: rows (category, report,
     defect_order, similarity) of an optional encoder.
     """
     told = reports.select("report").distinct().withColumn("_text", T.normalize_text(F.col("report"))).where("_text <> ''")
     affirmed = words.affirming(told.where(T.has_normal_phrase(F.col("_text"))), ["report"], F.col("_text"), T.ANOMALY_WORDS)
-    told = told.join(affirmed.withColumn("_affirmed", F.lit(True)), "report", "left")
+    told = meet(told, affirmed.withColumn("_affirmed", F.lit(True)), ["report"], "left")
     told = told.where(~T.has_normal_phrase(F.col("_text")) | F.col("_affirmed").isNotNull()).select("report")
     stated = defects.select(
         "category",
@@ -322,31 +378,40 @@ def rank_reports(reports: DataFrame, defects: DataFrame, *, top: int = 3, min_si
             targets=False,
         ).alias("evidence"),
     )
-    left = words.profiles(told, ["report"], report="report").where(F.size("report_tokens") > 0)
-    left = attach(reports.select("category", "report").distinct(), left, ["report"]).withColumn("features", TI.strong("report_tokens"))
-    right = words.profiles(stated, ["category", "defect_order"], evidence="evidence").withColumn("features", TI.strong("evidence_tokens"))
+    profiles = words.profiles(told, ["report"], report="report").where(F.size("report_tokens") > 0)
+    contents = words.profiles(stated.select("evidence").distinct(), ["evidence"], evidence="evidence")
     # without an encoder a pair needs a strong token and an attribute, so only tokens are posted and both sides have attributes
-    pair = ["category", "report", "defect_order"]
     if similarity is None:
         some = lambda c: F.size(F.map_keys(c)) > 0
-        pairs = TI.meeting(left.where(some("report_attrs")), right.where(some("evidence_attrs")), ["category"]).drop("shared")
+        profiles, contents = profiles.where(some("report_attrs")), contents.where(some("evidence_attrs"))
+    digest = F.unhex(F.sha2("evidence", 256)).alias("_content")
+    contents = contents.select(digest, "evidence_tokens", "evidence_attrs")
+    left = meet(reports.select("category", "report").distinct(), profiles.select("report", TI.strong("report_tokens").alias("features")), ["report"])
+    right = meet(stated.select("*", digest).drop("evidence"), contents.select("_content", TI.strong("evidence_tokens").alias("features")), ["_content"])
+    met, pair, key = TI.meeting(left, right, ["category"]).drop("shared"), ["report", "_content"], ["category", "report", "defect_order"]
+    profiled_pairs = lambda rows: meet(meet(rows, profiles, ["report"]), contents, ["_content"])
+    if similarity is None:
+        pairs = profiled_pairs(met.select(*pair).distinct())
         pairs = pairs.where(F.arrays_overlap(F.map_keys("report_attrs"), F.map_keys("evidence_attrs")))
         scored = score_pairs(pairs, "report", "evidence")
     else:
-        near = similarity.select(*pair, F.col("similarity").cast("double"))
-        pairs = TI.meeting(left, right, ["category"]).drop("shared")
-        others = near.where("similarity >= 0.58").join(pairs.select(*pair), pair, "left_anti")
-        others = others.join(left.drop("features"), ["category", "report"]).join(right.drop("features"), ["category", "defect_order"])
-        scored = score_pairs(pairs.join(near, pair, "left").unionByName(others), "report", "evidence", F.col("similarity"))
+        near = similarity.select(*key, F.col("similarity").cast("double"))
+        others = meet(near.where("similarity >= 0.58"), met.select(*key), key, "left_anti")
+        others = meet(meet(others, left.drop("features"), ["category", "report"]), right.drop("features"), ["category", "defect_order"])
+        scored = score_pairs(profiled_pairs(meet(met, near, key, "left").unionByName(others)), "report", "evidence", F.col("similarity"))
     usable = (F.size("support_channels") == 0) | F.arrays_overlap("support_channels", T.words(["lexical_overlap", "semantic_embedding"]))
     scored = scored.where(F.col("evidence_consensus") & usable & (F.col("signal_score") >= min_signal))
     scored = scored.withColumns({"score": F.round("score", 3), "signal_score": F.round("signal_score", 3)})
+    scored = scored.drop("report_tokens", "report_attrs", "evidence_tokens", "evidence_attrs")
+    if similarity is None:
+        scored = meet(met, scored, pair)
+    scored = scored.drop("_content")
     place = F.row_number().over(
         W.partitionBy("category", "report").orderBy(
             F.desc("score"), F.desc("signal_score"), F.desc("attribute_term_count"), F.asc("defect_order")
         )
     )
-    return reports.join(scored.withColumn("rank", place).where(F.col("rank") <= top), ["category", "report"])
+    return meet(reports, scored.withColumn("rank", place).where(F.col("rank") <= top), ["category", "report"])
 
 
 def decisive(rows: DataFrame, group: list[str], order: list[Column], margin: float = 0.9) -> DataFrame:

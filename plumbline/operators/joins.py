@@ -25,6 +25,15 @@ def attach(df: DataFrame, lookup: DataFrame, on: list[str] | Column, how: str =
     return df.join(lookup, on, how)
 
 
+def meet(df: DataFrame, other: DataFrame, on: list[str] | Column, how: str = "inner") -> DataFrame:
+    """Join two tables that both grow, by shuffling both.
+
+    What is exploded from compressed files looks far smaller to the optimizer than it is; without the hint such a side is
+    broadcast before adaptive execution has seen its size, through the driver's memory.
+    """
+    return df.join(other.hint("merge"), on, how)
+
+
 def literal_lookup(df: DataFrame, table: DataFrame, on, how: str = "left") -> DataFrame:
     """Join a table written out in the code (its size is fixed by the source)."""
     return df.join(F.broadcast(table), on, how)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators.joins import hold
+from plumbline.operators.joins import hold, meet
 
 #: Marks a feature that is an attribute (no token contains it).
 ATTRIBUTE = "#"
@@ -40,7 +40,7 @@ def meeting(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     Both sides have an array column ``features`` without repeats. A hot feature's pairs are split by adaptive execution like any skewed join.
     """
     posted = lambda df, name: df.withColumnRenamed("features", name).withColumn("_feature", F.explode(name))
-    rows = posted(left, "_left").join(posted(right, "_right"), [*on, "_feature"])
+    rows = meet(posted(left, "_left"), posted(right, "_right"), [*on, "_feature"])
     rows = hold(rows.withColumn("shared", F.array_intersect("_left", "_right")).drop("_left", "_right"))
     return rows.where(F.col("_feature") == F.col("shared")[0]).drop("_feature")
 

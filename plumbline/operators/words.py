@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import lexicon as L
 from plumbline.functions import text as T
-from plumbline.operators.joins import hold
+from plumbline.operators.joins import hold, meet
 
 
 def _token(rows: DataFrame, word: str) -> DataFrame:
@@ -43,7 +43,7 @@ def token_sets(df: DataFrame, key: list[str], **texts: str) -> DataFrame:
 
 def profiles(df: DataFrame, key: list[str], **texts: str) -> DataFrame:
     """``df`` with ``<field>_tokens`` and ``<field>_attrs`` of each ``field=text column``; ``key`` tells its rows apart."""
-    rows = df.join(token_sets(df, key, **texts), key, "left")
+    rows = meet(df, token_sets(df, key, **texts), key, "left")
     none = F.array().cast("array<string>")
     rows = rows.withColumns({f"{n}_tokens": F.coalesce(f"{n}_tokens", none) for n in texts})
     return hold(rows.withColumns({f"{n}_attrs": T.attribute_hits(f"{n}_tokens") for n in texts}))

@@ -8,6 +8,7 @@ from plumbline.functions import lexicon as L
 from plumbline.functions import text as T
 from plumbline.operators import evidence as E
 from plumbline.operators import words
+from plumbline.operators.joins import meet
 from plumbline.plans import textsql as S
 from plumbline.plans.fixtures import KB_SQL, knowledge
 from plumbline.plans.registry import query, table
@@ -344,7 +345,7 @@ OPTION_SQL = (
 def option_scores(spark, folder):
     """Every option against the defects of its category that share any token or attribute with it."""
     opts = options(spark, folder)
-    out = opts.join(E.option_scores(opts, defects(spark, folder)), ["category", "option_text"])
+    out = meet(opts, E.option_scores(opts, defects(spark, folder)), ["category", "option_text"])
     return out.select(
         "question_id",
         "option_key",
@@ -405,7 +406,7 @@ def matches_with_encoder(spark, folder):
     """Option matching with an encoder's nearest pairs; a formula over the keys stands for its similarities."""
     opts, known = options(spark, folder), defects(spark, folder)
     phrase = F.array_position(F.array(*[F.lit(o) for o in OPTIONS]), F.col("option_text")) - 1
-    near = opts.select("question_id", "category", "option_text").distinct().join(known.select("category", "defect_order"), "category")
+    near = meet(opts.select("question_id", "category", "option_text").distinct(), known.select("category", "defect_order"), ["category"])
     sim = (F.col("question_id") * 7 + phrase * 13 + F.col("defect_order") * 29) % 100 / 100.0
     near = near.select("category", "option_text", "defect_order", sim.alias("similarity")).where("similarity >= 0.4")
     out = E.match_options(opts, known, similarity=near)
@@ -440,7 +441,7 @@ def grounding_audit(spark, folder):
     listed = per_option.groupBy("question_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "option_key", "defs"))), ";").alias("listing")
     )
-    rows = opts.select("question_id").distinct().join(told, "question_id", "left").join(listed, "question_id", "left")
+    rows = meet(meet(opts.select("question_id").distinct(), told, ["question_id"], "left"), listed, ["question_id"], "left")
     yes = F.coalesce("discriminative", F.lit(False))
     return rows.select(
         "question_id",

@@ -106,3 +106,19 @@ def test_words_as_rows(spark):
     want = {r.k for r in ordered.where(T.affirms(F.col("w"), T.ANOMALY_WORDS)).collect()}
     got = {r.k for r in words.affirming(plain, ["k"], F.col("n"), T.ANOMALY_WORDS).collect()}
     assert got == want and 203 in got and 202 not in got
+
+
+def test_evidence_that_categories_share_matches_in_each(spark):
+    options = spark.createDataFrame([(c, k, "A", "jagged crack at the rim") for k, c in enumerate(["a", "b", "c"])], "category string, question_id long, option_key string, option_text string")
+    defects = spark.createDataFrame([(c, k, "crack", "jagged crack", None, region, "the rim", None, None) for c, k, region in [("a", 0, "rim"), ("b", 1, "rim"), ("b", 2, "core"), ("d", 3, "rim")]], DEFECTS)
+    got = E.match_options(options, defects.withColumn("graph_path", F.concat("category", "region")))
+    assert sorted((r.category, r.defect_order, r.region, r.graph_path) for r in got.collect()) == [("a", 0, "rim", "arim"), ("b", 1, "rim", "brim")]
+
+
+@pytest.mark.parametrize("name", ["txt6_option_scores", "jn5_option_matches", "jn5_matches_with_encoder", "txt7_ranked_hypotheses"])
+def test_sides_that_grow_are_not_broadcast_by_estimate(spark, name):
+    from plumbline.plans import QUERIES, load_all
+
+    load_all()
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
