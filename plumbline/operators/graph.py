@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions.paths import safe_name
+from plumbline.operators.joins import meet
 
 
 def region_rows(bases: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def graph_edges(bases: DataFrame) -> DataFrame:
     )
     every = has.unionByName(possible).unionByName(distinct)
     # one edge per pair of nodes: a later statement replaces an earlier one
-    last = every.groupBy("category", "src", "dst").agg(F.max(F.struct("ordinal", "relation", "logic")).alias("e"))
+    last = every.repartition("category", "src", "dst").groupBy("category", "src", "dst").agg(F.max(F.struct("ordinal", "relation", "logic")).alias("e"))
     return last.select("category", "src", "dst", "e.relation", "e.logic", "e.ordinal")
 
 
@@ -100,12 +101,13 @@ def graph_nodes(bases: DataFrame) -> DataFrame:
     )
     known = root.unionByName(region).unionByName(defect)
     columns = [c for c in known.columns if c not in ("category", "node_id")]
-    known = known.groupBy("category", "node_id").agg(
+    # dealt by key first: a task that reads many bases would otherwise sort all their wide nodes
+    known = known.repartition("category", "node_id").groupBy("category", "node_id").agg(
         F.max(F.struct("ordinal", *[c for c in columns if c != "ordinal"])).alias("n")
     )
     known = known.select("category", "node_id", *[F.col(f"n.{c}").alias(c) for c in columns])
     named = graph_edges(bases).select("category", F.col("dst").alias("node_id")).distinct()
-    return named.join(known, ["category", "node_id"], "full").select("category", "node_id", *columns)
+    return meet(named, known, ["category", "node_id"], "full").select("category", "node_id", *columns)
 
 
 def region_defects(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -127,14 +129,13 @@ def region_defects(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     targets = nodes.select("category", F.col("node_id").alias("dst"), F.coalesce("short_name", "node_id").alias("target_defect"))
     distinct = (
-        edges.where("relation = 'distinct_from'")
-        .join(targets, ["category", "dst"])
+        meet(edges.where("relation = 'distinct_from'"), targets, ["category", "dst"])
         .groupBy("category", F.col("src").alias("defect_node"))
         .agg(F.array_sort(F.collect_list(F.struct("ordinal", "target_defect", F.col("logic").alias("difference")))).alias("_d"))
         .select("category", "defect_node", F.transform("_d", lambda d: d.dropFields("ordinal")).alias("distinctions"))
     )
-    rows = regions.join(possible, ["category", "region"]).join(details, ["category", "defect_node"]).join(root, "category")
-    rows = rows.join(distinct, ["category", "defect_node"], "left")
+    rows = meet(meet(meet(regions, possible, ["category", "region"]), root, ["category"]), details, ["category", "defect_node"])
+    rows = meet(rows, distinct, ["category", "defect_node"], "left")
     empty = F.array().cast("array<struct<target_defect:string,difference:string>>")
     return rows.withColumns(
         {
@@ -157,7 +158,7 @@ def graph_summary(nodes: DataFrame, edges: DataFrame, names: int = 10) -> DataFr
         F.count_if(F.col("type") == "defect_pattern").alias("defect_count"),
     )
     linked = edges.groupBy("category").agg(F.count(F.lit(1)).alias("edge_count"))
-    return counted.join(linked, "category", "left").join(first, "category", "left")
+    return meet(meet(counted, linked, ["category"], "left"), first, ["category"], "left")
 
 
 def region_text(nodes: DataFrame, defects: DataFrame) -> DataFrame:
@@ -184,7 +185,8 @@ def region_text(nodes: DataFrame, defects: DataFrame) -> DataFrame:
     listed = defects.groupBy("category", "region").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("defect_order", per_defect.alias("t"))))["t"], "\n").alias("details")
     )
-    rows = nodes.where("type = 'region'").withColumnRenamed("node_id", "region").join(listed, ["category", "region"], "left")
+    rows = nodes.where("type = 'region'").withColumnRenamed("node_id", "region")
+    rows = meet(rows, listed, ["category", "region"], "left")
     rules = F.transform(F.filter("rules", T.is_valid), lambda r: F.concat(F.lit("!!! "), r))
     return rows.select(
         "category",

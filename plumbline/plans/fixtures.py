@@ -322,6 +322,9 @@ def knowledge(spark, folder) -> DataFrame:
         picked[f"_two{pos}"] = F.get("_vocab", ((first + 1 + size % 6) % 8).cast("int"))
     return (
         table(spark, folder, "part")
+        .select("p_partkey", "p_size", "p_name", "p_type")
+        # a small compressed file holds many rows: they are dealt over the tasks before they are widened
+        .repartition("p_partkey")
         .withColumn("_vocab", vocab)
         .withColumns(picked)
         .select(
