@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators.boxes import is_structural_role
-from plumbline.operators.joins import attach
+from plumbline.operators.joins import attach, meet
 
 # What counts as a trusted source of knowledge and of visual references.
 KNOWLEDGE_SOURCE = "text_knowledge_json"
@@ -43,7 +43,7 @@ def plan_regions(requests: DataFrame, regions: DataFrame, similarity: Column | N
     """
     keep = ["request_id", "category", "mode", "top_k", "has_query", "include_global"]
     value = F.lit(None).cast("double") if similarity is None else F.round(similarity, 9)
-    rows = attach(requests, regions, ["category"]).select(*keep, "region", "pos", "critical_check", value.alias("_similarity"))
+    rows = meet(requests, regions, ["category"]).select(*keep, "region", "pos", "critical_check", value.alias("_similarity"))
     per_request = W.partitionBy("request_id")
     rank = F.row_number().over(per_request.orderBy(F.desc_nulls_last("_similarity"), "pos"))
     rows = rows.withColumn("rank", F.when(F.col("_similarity").isNotNull(), rank)).drop("_similarity")
@@ -181,13 +181,11 @@ def select_blocks(blocks: DataFrame, hypotheses: DataFrame, key: str) -> DataFra
     """
     norm = lambda c: F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"\s+", "_")
     local = hypotheses.where(~T.is_global_region(F.col("region")) & (norm(F.col("region")) != ""))
-    local = local.select(key, norm(F.col("region")).alias("_norm")).distinct().withColumn("_hit", F.lit(True))
-    any_local = local.select(key).distinct().withColumn("_local", F.lit(True))
+    local = local.groupBy(key).agg(F.collect_set(norm(F.col("region"))).alias("_local"))
     rows = blocks.where(F.coalesce("prompt_visible", F.lit(True))).withColumn("_norm", norm(F.col("region")))
-    rows = rows.join(local, [key, "_norm"], "left").join(any_local, key, "left")
-    rows = rows.withColumn("_keep", F.coalesce("_hit", F.lit(False)) | T.is_global_region(F.col("region")))
-    kept = rows.groupBy(key).agg(F.count_if("_keep").alias("_kept"))
-    rows = rows.join(kept, key)
+    rows = meet(rows, local, [key], "left")
+    rows = rows.withColumn("_keep", F.coalesce(F.array_contains("_local", F.col("_norm")), F.lit(False)) | T.is_global_region(F.col("region")))
+    rows = rows.withColumn("_kept", F.count_if("_keep").over(W.partitionBy(key)))
     mode = (
         F.when(F.col("_local").isNull(), "full_fallback_no_local_hypothesis")
         .when(F.col("_kept") == 0, "full_fallback_unmatched_hypothesis")
@@ -205,8 +203,8 @@ def supported_hypotheses(hypotheses: DataFrame, backing: DataFrame, supported_pa
     has_graph = F.coalesce("graph_cache_path", F.lit("")) != ""
     has_text = (F.coalesce("source_json_path", F.lit("")) != "") | (F.coalesce("text_path_count", F.lit(0)) > 0)
     backed = backing.where(has_graph & has_text).select("category", "region").distinct()
-    rows = attach(hypotheses, backed, ["category", "region"], "left_semi")
-    return rows.join(supported_paths, [*keys, "graph_path"], "left_semi")
+    rows = meet(hypotheses, backed, ["category", "region"], "left_semi")
+    return meet(rows, supported_paths, [*keys, "graph_path"], "left_semi")
 
 
 def role_family(role: Column) -> Column:

@@ -9,7 +9,8 @@ from plumbline.operators import evidence as E
 from plumbline.operators import graph as G
 from plumbline.operators import retrieval as R
 from plumbline.operators import trace as TR
-from plumbline.operators.joins import attach
+from plumbline.operators import words
+from plumbline.operators.joins import attach, meet
 from plumbline.plans import textsql as S
 from plumbline.plans.evidence import (
     HYPO_SQL,
@@ -59,8 +60,8 @@ def _plan(spark, folder):
     regions = G.region_rows(knowledge(spark, folder)).select("category", "region", "pos", "critical_check")
     number = F.regexp_extract("category", r"(\d+)$", 1).cast("long")
     vectors = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    asked = requests.withColumn("vec_id", F.col("request_id") % 150).join(vectors.withColumnRenamed("vec", "asked"), "vec_id").drop("vec_id")
-    known = regions.withColumn("vec_id", (number * 5 + F.col("pos")) % 150).join(vectors.withColumnRenamed("vec", "known"), "vec_id").drop("vec_id")
+    asked = meet(requests.withColumn("vec_id", F.col("request_id") % 150), vectors.withColumnRenamed("vec", "asked"), ["vec_id"]).drop("vec_id")
+    known = meet(regions.withColumn("vec_id", (number * 5 + F.col("pos")) % 150), vectors.withColumnRenamed("vec", "known"), ["vec_id"]).drop("vec_id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     cosine = dot("asked", "known") / F.sqrt(dot("asked", "asked") * dot("known", "known"))
     return R.plan_regions(asked, known, cosine)
@@ -100,7 +101,7 @@ def context_blocks(spark, folder):
     plan = _plan(spark, folder)
     nodes, edges = graph(spark, folder)
     texts = G.region_text(nodes, G.region_defects(nodes, edges))
-    blocks = attach(plan.where("selected"), texts, ["category", "region"]).select(
+    blocks = meet(plan.where("selected"), texts, ["category", "region"]).select(
         "request_id",
         "region",
         F.col("selected_order").alias("block_order"),
@@ -252,7 +253,7 @@ def supported_hypotheses(spark, folder):
 )
 def prompt_blocks(spark, folder):
     regions = G.region_rows(knowledge(spark, folder)).select("category", "region", F.col("pos").alias("ordinal"))
-    rows = attach(order_reports(spark, folder).select("report_id", "category"), regions, ["category"])
+    rows = meet(order_reports(spark, folder).select("report_id", "category"), regions, ["category"])
     hidden = ((F.col("report_id") % 3 == 0) & (F.col("ordinal") == 0)) | ((F.col("report_id") % 6 == 0) & (F.col("ordinal") == 1))
     blocks = rows.select("report_id", "region", (~hidden).alias("prompt_visible"))
     out = R.select_blocks(blocks, _hypotheses(spark, folder).select("report_id", "region"), "report_id")
@@ -442,18 +443,20 @@ def graph_supported(rows, backed_defects, *, min_signal: float = 2.0, margin: fl
     text = E.evidence_text(
         name=F.col("defect"), signature=F.col("visual_signature"), attributes=F.col("visual_attributes"), distinctions=F.col("distinctions")
     )
-    shown = E.profiled(backed_defects.withColumn("_e", text), evidence="_e")
-    support = shown.select("category", F.explode(F.map_keys("evidence_attrs")).alias("attr")).distinct()
+    stated = backed_defects.select("category", text.alias("_e")).distinct()
+    # each text is read once, however many categories state it
+    shown = words.profiles(stated.select("_e").distinct(), ["_e"], evidence="_e").select("_e", F.explode(F.map_keys("evidence_attrs")).alias("attr"))
+    support = meet(stated, shown, ["_e"]).select("category", "attr").distinct()
     support = support.groupBy("category").agg(F.array_sort(F.collect_list("attr")).alias("attrs"))
     told = rows.select("report").distinct().withColumn("_n", T.normalize_text(F.col("report")))
     told = told.withColumn("_w", T.ordered_tokens("_n"))
     told = told.withColumn("_normal", T.reports_normal(F.col("_n"), F.col("_w")))
     texts = E.hold(told.select("report", "_normal")).where(~F.col("_normal")).select("report")
-    pairs = attach(rows.select("report", "option_text").distinct(), texts, ["report"])
+    pairs = meet(rows.select("report", "option_text").distinct(), texts, ["report"])
     scored = E.score_pairs(E.profiled(pairs, report="report", option="option_text"), "report", "option")
     scored = scored.where(F.col("evidence_consensus") & (F.col("signal_score") >= min_signal)).select(
         "report", "option_text", F.round("score", 6).alias("score"), "signal_score", F.array_sort(F.map_keys("attribute_overlap")).alias("shared")
     )
-    found = attach(attach(rows, scored, ["report", "option_text"]), support, ["category"])
+    found = meet(meet(rows, scored, ["report", "option_text"]), support, ["category"])
     found = found.withColumn("supported", F.array_intersect("shared", "attrs")).where(F.size("supported") > 0)
     return E.decisive(found, ["question_id"], [F.desc("score"), F.asc("option_key")], margin - 1e-9)

@@ -115,7 +115,7 @@ def test_evidence_that_categories_share_matches_in_each(spark):
     assert sorted((r.category, r.defect_order, r.region, r.graph_path) for r in got.collect()) == [("a", 0, "rim", "arim"), ("b", 1, "rim", "brim")]
 
 
-@pytest.mark.parametrize("name", ["txt6_option_scores", "jn5_option_matches", "jn5_matches_with_encoder", "txt7_ranked_hypotheses"])
+@pytest.mark.parametrize("name", ["txt6_option_scores", "jn5_option_matches", "jn5_matches_with_encoder", "txt7_ranked_hypotheses", "rag1_retrieval_plan", "rag2_context_blocks", "txt15_attribute_evidence", "jn8_supported_hypotheses", "jn9_prompt_blocks", "grf1_graph_nodes"])
 def test_sides_that_grow_are_not_broadcast_by_estimate(spark, name):
     from plumbline.plans import QUERIES, load_all
 
