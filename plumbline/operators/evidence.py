@@ -332,9 +332,10 @@ def match_options(options: DataFrame, defects: DataFrame, *, min_score: float =
 
 
 def discriminative(matches: DataFrame, options: DataFrame) -> DataFrame:
-    """Whether a question's option matches tell its options apart: question_id, match_count, discriminative.
+    """Whether a question's option matches tell its options apart: question_id, match_count, discriminative, matched.
 
-    ``matches`` as from ``match_options``; ``options`` gives the number of options.
+    ``matches`` as from ``match_options``; ``options`` gives the number of options. ``matched`` lists the question's options that
+    have matches, by key, each with its defects in order.
     """
     asked = options.groupBy("question_id").agg(F.count(F.lit(1)).alias("option_count"))
     per_option = matches.groupBy("question_id", "option_key").agg(
@@ -342,15 +343,18 @@ def discriminative(matches: DataFrame, options: DataFrame) -> DataFrame:
         F.max(F.when(F.col("match_rank") == 1, F.round("signal_score", 3))).alias("signal"),
     )
     per_question = per_option.groupBy("question_id").agg(
-        F.count(F.lit(1)).alias("match_count"), F.count_distinct("defects").alias("sets"), F.max("signal").alias("signal")
+        F.count(F.lit(1)).alias("match_count"),
+        F.array_sort(F.collect_list(F.struct("option_key", "defects"))).alias("matched"),
+        F.max("signal").alias("signal"),
     )
+    sets = F.size(F.array_distinct(F.col("matched")["defects"]))
     many = F.col("option_count") > 1
     decided = (
         F.when(many & (F.col("match_count") < 2), F.col("signal") >= 3.2)
-        .when(many & (F.col("sets") < 2), False)
+        .when(many & (sets < 2), False)
         .otherwise(True)
     )
-    return meet(per_question, asked, ["question_id"]).select("question_id", "match_count", decided.alias("discriminative"))
+    return meet(per_question, asked, ["question_id"]).select("question_id", "match_count", decided.alias("discriminative"), "matched")
 
 
 def rank_reports(reports: DataFrame, defects: DataFrame, *, top: int = 3, min_signal: float = 1.6, similarity: DataFrame | None = None) -> DataFrame:

@@ -419,7 +419,7 @@ def matches_with_encoder(spark, folder):
 
 @query("set5_discriminative", "WITH " + OPTION_SQL + " SELECT p_partkey AS question_id, match_count, discriminative FROM told")
 def discriminative(spark, folder):
-    return E.discriminative(_matches(spark, folder), options(spark, folder))
+    return E.discriminative(_matches(spark, folder), options(spark, folder)).drop("matched")
 
 
 @query(
@@ -433,15 +433,10 @@ def discriminative(spark, folder):
 )
 def grounding_audit(spark, folder):
     """Matches are kept for the audit only when they tell the options apart."""
-    opts, matches = options(spark, folder), _matches(spark, folder)
-    told = E.discriminative(matches, opts)
-    per_option = matches.groupBy("question_id", "option_key").agg(
-        F.array_join(F.array_sort(F.collect_list("defect")), ",").alias("defs")
-    )
-    listed = per_option.groupBy("question_id").agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "option_key", "defs"))), ";").alias("listing")
-    )
-    rows = meet(meet(opts.select("question_id").distinct(), told, ["question_id"], "left"), listed, ["question_id"], "left")
+    opts = options(spark, folder)
+    told = E.discriminative(_matches(spark, folder), opts)
+    listing = F.array_join(F.transform("matched", lambda m: F.concat_ws("=", m["option_key"], F.array_join(m["defects"], ","))), ";")
+    rows = meet(opts.select("question_id").distinct(), told, ["question_id"], "left").withColumn("listing", listing)
     yes = F.coalesce("discriminative", F.lit(False))
     return rows.select(
         "question_id",

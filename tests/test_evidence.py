@@ -122,3 +122,24 @@ def test_sides_that_grow_are_not_broadcast_by_estimate(spark, name):
     load_all()
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_grounding_audit_matches_once(spark):
+    """The audit's figures and its listing come from one matching of the options, not from one each."""
+    from plumbline.plans import QUERIES, load_all
+
+    from conftest import SMALL
+
+    load_all()
+    scans = lambda name: QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    assert scans("rag5_grounding_audit") < 1.5 * scans("jn5_option_matches")
+
+
+def test_discriminative_lists_what_matched(spark):
+    options = spark.createDataFrame([(1, "A"), (1, "B"), (2, "A"), (2, "B"), (3, "A"), (3, "B")], "question_id int, option_key string")
+    rows = [(1, "B", "crack", 1, 2.0), (1, "A", "hole", 2, 2.0), (1, "A", "dent", 1, 2.5), (2, "A", "hole", 1, 9.0), (2, "B", "hole", 1, 9.0), (3, "A", "hole", 1, 3.2)]
+    matches = spark.createDataFrame(rows, "question_id int, option_key string, defect string, match_rank int, signal_score double")
+    got = {r["question_id"]: r for r in E.discriminative(matches, options).collect()}
+    assert {q: r["discriminative"] for q, r in got.items()} == {1: True, 2: False, 3: True}
+    assert [(m["option_key"], m["defects"]) for m in got[1]["matched"]] == [("A", ["dent", "hole"]), ("B", ["crack"])]
+    assert {q: r["match_count"] for q, r in got.items()} == {1: 2, 2: 2, 3: 1}
