@@ -92,9 +92,11 @@ def _windows(table: DataFrame, keys: list[str], size: int) -> DataFrame:
     named = F.zip_with("canon", "cores", lambda k, c: F.xxhash64(_named(k, c)))
     folded = F.transform("cores", lambda c: F.xxhash64(F.lower(c)))
     hashed = hold(table.select(*keys, F.transform("canon", lambda c: F.xxhash64(c)).alias("h1"), named.alias("h2"), folded.alias("h3")))
-    places = F.when(F.size("h1") >= size, F.sequence(F.lit(1), F.size("h1") - size + 1)).otherwise(F.array().cast("array<int>"))
-    window = lambda i: F.struct(*(F.xxhash64(F.slice(f"h{k}", i, size)).alias(f"w{k}") for k in (1, 2, 3)))
-    return hashed.select(*keys, F.posexplode(F.transform(places, window)).alias("place", "w")).select(*keys, "place", "w.*")
+    # the words of a window stand side by side in a row before they are hashed: functions of rows are compiled, those inside lambdas are not
+    places = F.greatest(F.size("h1") - size + 1, F.lit(0))
+    shifted = [F.slice(f"h{k}", i, places).alias(f"h{k}_{i}") for k in (1, 2, 3) for i in range(1, size + 1)]
+    rows = hashed.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("place", "v"))
+    return rows.select(*keys, "place", *(F.xxhash64(*(F.col(f"v.h{k}_{i}") for i in range(1, size + 1))).alias(f"w{k}") for k in (1, 2, 3)))
 
 
 def _short_windows(table: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:

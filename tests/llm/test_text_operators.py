@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import bpe, decontaminate, html_consensus, language, prefix_counts, repetition, toxicity, warc
@@ -241,6 +242,21 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_windows_are_hashed_in_rows(spark):
+    texts = ["", "one two", "one two three four five", "In 1999 Anna paid 20 dollars for 3 Red apples."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    table = decontaminate.templates(docs, ["id"])
+    got = decontaminate._windows(table, ["id"], 5)
+    # a hash per window inside a lambda took most of op3's time
+    assert not re.search(r"lambdafunction\([^\n]*xxhash64\(slice\(", got._jdf.queryExecution().optimizedPlan().toString())
+    words = {r.id: (r.canon, r.cores) for r in table.collect()}
+    wanted = {(i, k) for i, (canon, _) in words.items() for k in range(len(canon) - 4)}
+    assert {(r.id, r.place) for r in got.collect()} == wanted and len(wanted) == 7
+    same = spark.createDataFrame([(i, k, words[i][0][k : k + 5], [c.lower() for c in words[i][1][k : k + 5]]) for i, k in wanted], "id long, place int, a array<string>, b array<string>")
+    each = lambda c: F.xxhash64(F.transform(c, lambda w: F.xxhash64(w)))
+    assert same.join(got, ["id", "place"]).where((each("a") == F.col("w1")) & (each("b") == F.col("w3"))).count() == 7
+
+
 def pairs(spark, texts, items, settings=decontaminate.TemplateSettings()):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
