@@ -69,7 +69,8 @@ def _canonical(core: Column, at: Column, cores: Column, words: Column) -> Column
         .otherwise(F.lower(core))
     )
     plain = F.when(core.isin(NUMBER_WORDS), "<number>").when(core.isin(UNITS) & after_number, "<unit>").otherwise(core)
-    return F.when(core.rlike(MARKED), marked).otherwise(plain)
+    # most words begin with a to z, which is compared faster than a pattern is searched
+    return F.when(((core < "a") | (core >= "{")) & core.rlike(MARKED), marked).otherwise(plain)
 
 
 def templates(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
