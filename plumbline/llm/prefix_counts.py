@@ -29,6 +29,8 @@ from plumbline.llm.bpe import CHUNK, KNOWN_LENGTH, KNOWN_PARTS, WHITE, WORDS, _s
 
 #: Known neighbours per Python worker.
 KNOWN_PAIRS = 1_000_000
+#: Known words per Python worker; parts that differ in punctuation share their words.
+KNOWN_WORDS = 100_000
 #: Lengths in bytes of the beginnings of words whose rows are kept.
 BEGINNINGS = (8, 5)
 #: Endings that the split pattern takes whole; cut short they split otherwise.
@@ -42,13 +44,14 @@ class PrefixCounter:
         self.vocab = vocabulary(path)
         self.goes: dict[int, bool] = {}
         self.begun: dict[bytes, tuple[list[int], list[int]]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        #: The lengths of the tokens of three bytes or more, longest first, by their last three bytes.
+        #: The lengths of the tokens that can end with the same four bytes, longest first.
         ends: dict[bytes, set[int]] = {}
         for token in self.vocab.ids:
-            if len(token) > 2:
-                ends.setdefault(token[-3:], set()).add(len(token))
+            if len(token) > 3:
+                ends.setdefault(token[-4:], {n for n in (1, 2, 3) if token[-n:] in self.vocab.ids}).add(len(token))
         self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
 
     def pair_goes(self, left: int, right: int) -> bool:
@@ -72,7 +75,7 @@ class PrefixCounter:
                 count, last = begun[0].copy(), begun[1].copy()
                 break
         for i in range(len(count), len(raw) + 1):
-            for size in (*ends(raw[i - 3 : i], ()), 2, 1) if i > 2 else range(i, 0, -1):
+            for size in ends(raw[i - 4 : i], (3, 2, 1)) if i > 3 else range(i, 0, -1):
                 if size > i or (token := ids(raw[i - size : i])) is None:
                     continue
                 before = last[i - size]
@@ -89,10 +92,17 @@ class PrefixCounter:
                 self.begun[raw[:i]] = (count.copy(), last.copy())
         return count[1:]
 
-    def _letters(self, text: str) -> list[int]:
+    def _letters(self, text: str) -> tuple[int, ...]:
         """The same for the prefixes of 1, 2, ... code points."""
+        if (known := self.words.get(text)) is not None:
+            return known
         counts = self.word(text.encode())
-        return counts if text.isascii() else [counts[k - 1] for k in accumulate(len(c.encode()) for c in text)]
+        out = tuple(counts if text.isascii() else (counts[k - 1] for k in accumulate(len(c.encode()) for c in text)))
+        if len(text) <= KNOWN_LENGTH:
+            if len(self.words) >= KNOWN_WORDS:
+                self.words.clear()
+            self.words[text] = out
+        return out
 
     def _cut_short(self, word: str) -> list[int]:
         return [sum(self.word(w.encode())[-1] for w in WORDS.findall(word[:k])) for k in range(1, len(word) + 1)]
@@ -100,7 +110,7 @@ class PrefixCounter:
     def part(self, text: str) -> tuple[int, ...]:
         """Counts of the prefixes of 1, 2, ... code points of white space and what follows it."""
         blank = BLANK.match(text).end()
-        counts = self._letters(text[:blank]) if blank else []
+        counts = list(self._letters(text[:blank])) if blank else []
         at = before = 0
         for word in WORDS.findall(text):
             at += len(word)

@@ -60,6 +60,18 @@ def test_every_prefix(library):
         assert table.budget(text, limit) == (want[-1] if want else 0, fits)
 
 
+def test_words_of_different_parts_are_counted_once(library, monkeypatch):
+    table = prefix_counts.PrefixCounter(PATH)
+    counted = []
+    word = table.word
+    monkeypatch.setattr(table, "word", lambda raw: counted.append(raw) or word(raw))
+    text = "Zebra zebra, zebra. (zebra) zébra zébra! " * 3
+    assert table.budget(text, 1000)[0] == len(library.encode(text, add_special_tokens=False).ids)
+    assert len(counted) == len(set(counted))
+    monkeypatch.setattr(prefix_counts, "KNOWN_WORDS", 2)
+    assert prefix_counts.PrefixCounter(PATH).every_prefix(text).tolist() == table.every_prefix(text).tolist()
+
+
 def edge_table(spark, **extra):
     rows = [(k if k % 3 else None, t, "clash", 1.0) for k, t in enumerate(EDGES + EDGES[3:5])]
     return spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, score double")
