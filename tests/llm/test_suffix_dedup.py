@@ -91,6 +91,24 @@ def test_removal(spark, monkeypatch, size, anchor, shard, run):
         assert r.n_removed or r.kept_text == (r.text or "")
 
 
+def test_query_returns_what_is_left(spark, tmp_path):
+    """A passage of over fifty words goes at both places if it has 400 bytes, and stays if it has fewer; other texts are whole."""
+    from plumbline.llm import queries
+
+    rng = random.Random(8)
+    passage = lambda n, letters: " ".join("".join(rng.choice("abcdefgh") for _ in range(letters)) for _ in range(n))
+    long, short = passage(55, 8), passage(55, 5)
+    assert len(long) >= 400 > len(short)
+    own = [passage(40, 6) for _ in range(5)]
+    texts = [f"{own[0]} 1 {long} 2 {own[1]}", f"3 {long}4", f"{short} 5 {own[2]}", f"{own[3]} 6 {short}", own[4]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in got.values())
+    # the blank before the passage is equal at both places too
+    assert [got[k].text for k in (0, 1)] == [f"{own[0]} 1 2 {own[1]}", "34"]
+    assert [got[k].text for k in (2, 3, 4)] == texts[2:]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(docs).count() == 0
