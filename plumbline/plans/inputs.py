@@ -38,7 +38,8 @@ rows_ AS (SELECT *, p[1] AS category, p[2] AS dir, CASE WHEN len(p) > 3 THEN p[3
 # --- SRC1, SRC2: question files --------------------------------------------------------
 
 
-def _question_files(spark, folder):
+def _question_images(spark, folder):
+    """subclass, key and item of each image, one image per conversation."""
     conv, turn = F.col("conv_id"), F.col("turn")
     item = F.struct(
         turn.alias("turn"),
@@ -56,9 +57,12 @@ def _question_files(spark, folder):
         F.when(conv % 2 == 1, F.concat(F.lit("own/"), conv.cast("string"), F.lit(".png"))).alias("image_path"),
         F.transform("turns", lambda t: t.dropFields("turn")).alias("conversation"),
     )
-    return grouped.select(
-        F.concat(F.lit("part"), (conv % 5).cast("string")).alias("subclass"), F.to_json(F.create_map(key, body)).alias("text")
-    )
+    return grouped.select(F.concat(F.lit("part"), (conv % 5).cast("string")).alias("subclass"), key.alias("key"), body.alias("item"))
+
+
+def _question_files(spark, folder):
+    """A document per image."""
+    return _question_images(spark, folder).select("subclass", F.to_json(F.create_map("key", "item")).alias("text"))
 
 
 @query(
@@ -82,17 +86,18 @@ QUESTION_SQL = """SELECT 'part' || CAST(conv_id % 5 AS VARCHAR) AS subclass,
     FROM conversations WHERE role = 'user'"""
 
 
-def _written_questions(spark, folder):
+def _written_questions(spark, docs):
     """The question files, one document per file in a folder per subclass."""
     path = shared_path(spark, "questions")
-    sinks.write_documents(_question_files(spark, folder), path, ["subclass"])
+    sinks.write_documents(docs, path, ["subclass"])
     return path
 
 
 @query("src1_question_files", QUESTION_SQL)
 def question_files(spark, folder):
     """Question rows of files that lie in folders by subclass."""
-    files = documents.read_json_files(spark, _written_questions(spark, folder))
+    docs = sinks.question_documents(_question_images(spark, folder))
+    files = documents.read_json_files(spark, _written_questions(spark, docs))
     files = files.select(F.regexp_extract("path", "/subclass=([^/]*)/", 1).alias("subclass"), "text")
     return documents.question_rows(files).select("subclass", "image_path", "question", "gt_answer")
 
@@ -102,8 +107,8 @@ def question_files(spark, folder):
     "SELECT 'subclass=part' || CAST(conv_id % 5 AS VARCHAR) AS folder, count(DISTINCT conv_id) AS files, min(length(text)) > 0 AS filled FROM conversations GROUP BY conv_id % 5",
 )
 def listed_folders(spark, folder):
-    """A recursive listing of written files."""
-    files = layout.list_files(spark, _written_questions(spark, folder))
+    """A recursive listing of written files, one per image."""
+    files = layout.list_files(spark, _written_questions(spark, _question_files(spark, folder)))
     return files.groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(F.count(F.lit(1)).alias("files"), (F.min("size") > 0).alias("filled"))
 
 

@@ -17,6 +17,18 @@ def write_documents(docs: DataFrame, path: str, folders: list[str]) -> None:
     docs.select(*folders, "text").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy(*folders).text(path)
 
 
+def question_documents(images: DataFrame, per_document: int = 1 << 20) -> DataFrame:
+    """Question documents {key: item} (subclass, text) of about ``per_document`` characters, or one image if that is longer.
+
+    ``images``: subclass, key, item; a key occurs once. The images of a subclass are dealt over its documents by the hash of their keys, so that
+    the number of files follows the amount of text and no task holds a subclass.
+    """
+    sizes = images.groupBy("subclass").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length(F.to_json("item"))) / per_document)).alias("_n"))
+    rows = images.join(sizes, "subclass").withColumn("_chunk", F.pmod(F.xxhash64("key"), F.col("_n")))
+    grouped = rows.groupBy("subclass", "_chunk").agg(F.map_from_entries(F.collect_list(F.struct("key", "item"))).alias("items"))
+    return grouped.select("subclass", F.to_json("items").alias("text"))
+
+
 def metadata_documents(items: DataFrame, per_document: int = 10_000) -> DataFrame:
     """Split metadata {split: {category: [items]}} as documents (category, text) of about ``per_document`` items at most.
 
