@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.paths import is_image, is_normal_name
+from plumbline.operators.joins import hold
 
 QA_SCHEMA = (
     "map<string, struct<image_path: string, conversation: array<struct<annotation: boolean, "
@@ -134,11 +135,9 @@ def knowledge_bases(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     active = name.endswith(".json") & ~name.endswith("_origin.json")
     parsed = F.from_json("text", KNOWLEDGE_SCHEMA)
-    return (
-        files.where(active)
-        .select(F.regexp_replace(name, r"\.json$", "").alias("category"), parsed.alias("kb"))
-        .where(F.col("kb.target_object").isNotNull() & F.col("kb.regions").isNotNull())
-    )
+    # held, as the optimizer would parse each text once per condition, and do so where the files are listed, before any shuffle deals them
+    bases = hold(files.where(active).select(F.regexp_replace(name, r"\.json$", "").alias("category"), parsed.alias("kb")))
+    return bases.where(F.col("kb.target_object").isNotNull() & F.col("kb.regions").isNotNull())
 
 
 def _shot(text) -> F.Column:

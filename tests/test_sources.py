@@ -27,3 +27,10 @@ def test_question_documents(spark, size):
     columns = ("subclass", "image_path", "question", "gt_answer", "options", "task_type")
     got, want = (sorted(map(str, documents.question_rows(d).select(*columns).collect())) for d in (docs, inputs._question_files(spark, SMALL)))
     assert got == want
+
+
+def test_knowledge_is_parsed_once_after_it_is_dealt(spark):
+    """No condition on a parsed text repeats the parsing, or does it in the tasks that scan the compressed table."""
+    plan = inputs.knowledge_scan(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    assert "from_json" not in plan[plan.index("RepartitionByExpression") :]
