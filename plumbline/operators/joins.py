@@ -34,6 +34,23 @@ def meet(df: DataFrame, other: DataFrame, on: list[str] | Column, how: str = "in
     return df.join(other.hint("merge"), on, how)
 
 
+def apart(small: DataFrame, keys: list[str]) -> DataFrame:
+    """Put a computed table (a row per key) behind a shuffle of its own, so that adaptive execution sees its size and can broadcast it.
+
+    What was grouped by the keys is dealt by them already: a plain ``repartition`` by them is planned away, and the table's last steps then
+    share a stage with the large side, which is sorted for the join. Dealt by their hash instead, the shuffle stays.
+    """
+    return small.repartition(F.xxhash64(*keys))
+
+
+def look_up(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Join a computed table with a row per key onto a large one whose few keys hold many rows each; only the small side is held, nothing is sorted.
+
+    With few keys most shuffle partitions are empty, and adaptive execution then broadcasts no side.
+    """
+    return df.join(apart(small, keys).hint("shuffle_hash"), keys)
+
+
 def literal_lookup(df: DataFrame, table: DataFrame, on, how: str = "left") -> DataFrame:
     """Join a table written out in the code (its size is fixed by the source)."""
     return df.join(F.broadcast(table), on, how)

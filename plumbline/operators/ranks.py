@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.operators.joins import attach
+from plumbline.operators.joins import apart, attach, look_up
 
 
 def slice_of(value: Column, cuts: Column, n_cuts: int) -> Column:
@@ -91,7 +91,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, probs: dict[str
         )
     # brackets go through a shuffle of their own, so that all tasks of a split group read the same ones
     brackets = brackets.select(*keys, "n", "max_value", *[c for pair in names.values() for c in pair], *(["_near", "_far"] if deviation is not None else []))
-    tagged = attach(rows, brackets.repartition(*keys), keys)
+    tagged = look_up(rows, brackets, keys)
     places = {name: _inside(F.col("_v"), low, high) for name, (low, high) in names.items()}
     if deviation is not None:
         low, high = (F.col(c) for c in names["_centre"])
@@ -139,6 +139,24 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     return order_statistics(df, keys, value, probs)
 
 
+#: Parts of a group whose smallest values bound the few wanted rows.
+PARTS = 256
+
+
+def near_smallest(df: DataFrame, keys: list[str], value: str, n: int, spread: list[str], parts: int = PARTS) -> DataFrame:
+    """The rows that can be among the ``n`` with the smallest ``value`` of their group, ties included, and few others.
+
+    A group is dealt over ``parts`` by the hash of ``spread``; the n-th smallest of the parts' minima is a bound that at least ``n`` rows keep. It takes a
+    pass with one number per part, so nothing is sorted before most rows are gone. A group with values in fewer than ``n`` parts keeps all its rows.
+    What is left is dealt by ``keys``, in a shuffle of its own so that the rows before it need not be.
+    """
+    part = F.pmod(F.xxhash64(*spread), F.lit(max(parts, 16 * n))).alias("_part")
+    minima = df.groupBy(*keys, part).agg(F.min(value).alias("_least"))
+    bounds = minima.groupBy(*keys).agg(F.get(F.array_sort(F.collect_list("_least")), F.lit(n - 1)).alias("_bound"))
+    kept = look_up(df, bounds, keys).where(F.col("_bound").isNull() | (F.col(value) <= F.col("_bound")))
+    return apart(kept.drop("_bound"), keys)
+
+
 def running_totals(
     df: DataFrame,
     keys: list[str],

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from plumbline.operators import calibrate as cal
 from plumbline.operators import metrics
 from plumbline.operators.decide import decide
-from plumbline.operators.joins import attach, literal_lookup
-from plumbline.operators.ranks import exact_quantiles
+from plumbline.operators.joins import attach, literal_lookup, look_up
+from plumbline.operators.ranks import exact_quantiles, near_smallest
 from plumbline.plans.fixtures import PREDICTIONS_SQL, SCORES_SQL, predictions, scores
 from plumbline.plans.registry import query
 
@@ -346,12 +346,11 @@ def normal_references(spark, folder):
 def normal_reference_rows(train, max_refs: int):
     """Rows closest to their category's median; ties by score, then path."""
     middle = exact_quantiles(train, KEYS, "score", {"median": 0.5}).select(*KEYS, "median")
-    order = W.partitionBy(*KEYS).orderBy(F.abs(F.col("score") - F.col("median")), "score", "image_path")
-    return (
-        attach(train, middle, KEYS)
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= max(1, max_refs))
-    )
+    wanted = max(1, max_refs)
+    away = look_up(train, middle, KEYS).withColumn("_away", F.abs(F.col("score") - F.col("median")))
+    order = W.partitionBy(*KEYS).orderBy(F.col("_away").asc_nulls_last(), "score", "image_path")
+    near = near_smallest(away, KEYS, "_away", wanted, ["image_path"])
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= wanted).drop("_away")
 
 
 @query(

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import calibrate, metrics
-from plumbline.operators.ranks import exact_quantiles, running_totals
+from plumbline.operators.ranks import exact_quantiles, near_smallest, running_totals
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +79,26 @@ def test_computed_tables_carry_no_hint(spark):
     many = spark.range(10).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(1000))))
     plan = attach(spark.range(10), many, ["id"])._jdf.queryExecution().analyzed().toString()
     assert "Hint" not in plan
+
+
+@pytest.mark.parametrize("parts", [1, 256])
+def test_near_smallest_keeps_ties_and_little_else(large, rows, parts):
+    away = rows.withColumn("away", F.abs(F.col("score") - 0.25))
+    got = near_smallest(away, ["category"], "away", 3, ["image_path"], parts=parts).toPandas()
+    for key, group in grouped(away).items():
+        least = group["away"].sort_values().iloc[2]
+        near = got[got["category"] == key]
+        assert set(group[group["away"] <= least]["image_path"]) <= set(near["image_path"])
+        assert len(near) <= len(group) and (key != "hot" or len(near) < len(group) / 10)
+
+
+def test_reference_rows_are_found_without_sorting_all_rows(large, spark):
+    from plumbline.plans.calibration import normal_reference_rows
+
+    train = spark.range(4000).select(F.lit("s").alias("dataset"), F.lit("c").alias("category"), F.format_string("p%05d", "id").alias("image_path"), (F.col("id") % 1001).cast("double").alias("score"))
+    picked = normal_reference_rows(train, 3)
+    got = [(r.image_path, r.score, r.place) for r in picked.orderBy("place").collect()]
+    middle = np.median([k % 1001 for k in range(4000)])
+    want = sorted((abs(k % 1001 - middle), float(k % 1001), f"p{k:05d}") for k in range(4000))[:3]
+    assert got == [(path, score, place) for place, (_, score, path) in enumerate(want, 1)]
+    assert "SortMergeJoin" not in picked._jdf.queryExecution().executedPlan().toString()
