@@ -7,8 +7,10 @@ document's own ``l`` grows with the estimated cost of its prefix, and a pair is
 as many shingles as the smaller of the two ``l``.
 
 1. Sets are described (size, hash of the set, prefix); documents with equal sets form a class.
-2. Classes that share a shingle of their shortest prefixes are joined to the smallest one there, one edge each, and connected components of
-   these edges are neighbourhoods: no link leaves one. A shingle's group is never expanded into pairs.
+2. The classes that share a shingle of their prefixes are joined to the smallest one there. Classes joined by several shingles, or by
+   one that very many share, are neighbours, and connected components of neighbours are neighbourhoods: groups of copies stand in one, and
+   texts that share one shingle by chance do not chain. Within a neighbourhood no group is expanded into pairs.
+   Across neighbourhoods the pairs of every other shingle are counted, and those that share enough shingles are verified too, so no link is lost.
 3. A neighbourhood is verified in blocks of bounded size. In a block, pairs that are known to be connected are not compared
    again, so a dense group costs about one comparison per member. Neighbourhoods of several blocks get a few delegates in every
    block; what is then not connected to the neighbourhood's largest part is compared with every block of it.
@@ -39,7 +41,8 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 class JoinSettings:
     """Two sets link when ``100 * intersection >= percent * union``. ``sketch_bits``: the sketch has 2 ** bits counters of a byte.
     ``most_matches``: the longest prefix asks for so many shared shingles. ``block``: classes verified in one task at once.
-    ``delegates``: about so many of a neighbourhood stand in each of its blocks."""
+    ``delegates``: about so many of a neighbourhood stand in each of its blocks. ``hot``: classes that share a shingle with more than so
+    many are neighbours by it alone, as pairs across neighbourhoods would be too many."""
 
     words: int = 4
     percent: int = 85
@@ -47,6 +50,7 @@ class JoinSettings:
     most_matches: int = 8
     block: int = 2048
     delegates: int = 32
+    hot: int = 256
 
 
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +184,6 @@ def _described(docs: DataFrame, id_column: str, text: str, classes: Broadcast, s
             raw = hashes.tobytes()
             signs = [xxhash.xxh3_128_intdigest(raw[8 * (e - n) : 8 * e]) for e, n in zip(ends.tolist(), number.tolist(), strict=True)]
             got = prefixes(hashes, number, classes.value, settings)
-            # the shortest prefix is what documents meet by
-            short = [p[: max(0, len(p) - m + 1)].view(np.int64) for p, m in got]
             yield with_rest(
                 batch,
                 ["id", "t1", "t2"],
@@ -189,12 +191,13 @@ def _described(docs: DataFrame, id_column: str, text: str, classes: Broadcast, s
                     "n": pa.array(number, pa.int64()),
                     "s1": pa.array([(s >> 64) - (1 << 63) for s in signs], pa.int64()),
                     "s2": pa.array([(s & (1 << 64) - 1) - (1 << 63) for s in signs], pa.int64()),
-                    "prefix": pa.array(short, pa.list_(pa.int64())),
+                    "least": pa.array([m for _, m in got], pa.int64()),
+                    "prefix": pa.array([p.view(np.int64) for p, _ in got], pa.list_(pa.int64())),
                 },
             )
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), F.col(text)).alias("t2"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, t1 long, t2 long, n long, s1 long, s2 long, prefix array<long>")
+    return rows.mapInArrow(run, "id long, t1 long, t2 long, n long, s1 long, s2 long, least long, prefix array<long>")
 
 
 class Links:
@@ -297,6 +300,46 @@ def _verified(rows: DataFrame, classes: Broadcast, settings: JoinSettings) -> Da
     return rows.repartition("nbh", "block").sortWithinPartitions("nbh", "block", "place").mapInArrow(run, "a long, b long")
 
 
+def _met(sets: DataFrame) -> DataFrame:
+    """Rows (token, place, of, pivot): the classes that share a shingle of their prefixes with others, how many do, and the smallest of them."""
+    postings = sets.select("place", F.explode("prefix").alias("token"))
+    shared = postings.groupBy("token").agg(F.count("*").alias("of"), F.min("place").alias("pivot")).where("of > 1")
+    return postings.join(shared, "token")
+
+
+def _neighbourhoods(met: DataFrame, settings: JoinSettings) -> DataFrame:
+    """Rows (place, nbh, size, blocks, block): the classes in each neighbourhood, dealt to its blocks."""
+    joined = met.where("place <> pivot").groupBy("place", "pivot").agg(F.count("*").alias("shared"), F.max("of").alias("of"))
+    edges = joined.where((F.col("shared") > 1) | (F.col("of") > settings.hot)).select(F.col("place").alias("a"), F.col("pivot").alias("b"))
+    near = components(edges).select(F.col("node").alias("place"), F.col("root").alias("nbh"))
+    sizes = near.groupBy("nbh").agg(F.count("*").alias("size"))
+    near = near.join(sizes, "nbh").withColumn("blocks", F.ceil(F.col("size") / settings.block))
+    return near.select("place", "nbh", "size", "blocks", F.pmod(F.xxhash64("place"), F.col("blocks")).alias("block"))
+
+
+def _pairs(met: DataFrame, near: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFrame:
+    """Rows (a, b): pairs in different neighbourhoods whose sizes allow a link and whose prefixes share enough shingles for one.
+
+    The classes of a shingle that more than ``hot`` share are in one neighbourhood, so no larger group is expanded."""
+    rows = met.where(F.col("of") <= settings.hot).join(near.select("place", "nbh"), "place", "left")
+    rows = rows.select("token", "place", F.coalesce("nbh", "place").alias("nbh"))
+    mixed = rows.groupBy("token").agg(F.min("nbh").alias("low"), F.max("nbh").alias("high")).where("low <> high").select("token")
+    rows = rows.join(mixed, "token", "left_semi").join(sets.select("place", "n", "least"), "place")
+    sizes = 100 * F.least("x.n", "y.n") >= settings.percent * F.greatest("x.n", "y.n")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.place") < F.col("y.place")) & (F.col("x.nbh") != F.col("y.nbh")) & sizes
+    found = rows.alias("x").join(rows.alias("y"), on).groupBy(F.col("x.place").alias("a"), F.col("y.place").alias("b"))
+    return found.agg(F.count("*").alias("shared"), F.first(F.least("x.least", "y.least")).alias("least")).where("shared >= least").select("a", "b")
+
+
+def _across(pairs: DataFrame, settings: JoinSettings) -> DataFrame:
+    """Rows as of ``_neighbourhoods`` and ``probe``: the first class of a pair is the probe of a neighbourhood of its own, in every block of it."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / settings.block).alias("of"))
+    names = [(-1 - F.col("a")).alias("nbh"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("blocks")]
+    heads = sizes.select(F.col("a").alias("place"), *names, F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("block"), F.lit(True).alias("probe"))
+    others = pairs.join(sizes, "a").select(F.col("b").alias("place"), *names, F.pmod(F.xxhash64("b"), F.col("of")).alias("block"), F.lit(False).alias("probe"))
+    return heads.unionAll(others)
+
+
 def near_duplicates(docs: DataFrame, settings: JoinSettings = JoinSettings(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, ``n_shingles``, ``component_id`` (the smallest id reachable by links) and
     ``representative`` (whether the row is the one that stands for its group), ``t1`` and ``t2`` (hashes of the text).
@@ -310,20 +353,18 @@ def near_duplicates(docs: DataFrame, settings: JoinSettings = JoinSettings(), id
     classes = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, text, settings))
     described = keep(_described(docs, id_column, text, classes, settings))
     lowest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("at")
-    sets = described.where("n > 0").groupBy("s1", "s2").agg(lowest, F.first("prefix").alias("prefix"))
+    first = [F.first(c).alias(c) for c in ("n", "least", "prefix")]
+    sets = described.where("n > 0").groupBy("s1", "s2").agg(lowest, *first)
     sets = keep(sets.withColumn("place", F.monotonically_increasing_id()))
-    postings = sets.select("place", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("n"), F.min("place").alias("pivot")).where("n > 1").select("token", "pivot")
-    edges = postings.join(shared, "token").where("place <> pivot").select(F.col("place").alias("a"), F.col("pivot").alias("b"))
-    near = components(edges).select(F.col("node").alias("place"), F.col("root").alias("nbh"))
-    sizes = near.groupBy("nbh").agg(F.count("*").alias("size"))
-    near = near.join(sizes, "nbh").withColumn("blocks", F.ceil(F.col("size") / settings.block)).withColumn("block", F.pmod(F.xxhash64("place"), F.col("blocks")))
-    wanted = near.join(sets.select("place", "at.id", "at.t1", "at.t2"), "place")
+    met = keep(_met(sets))
+    near = keep(_neighbourhoods(met, settings))
+    wanted = near.withColumn("probe", F.lit(False)).unionByName(_across(keep(_pairs(met, near, sets, settings)), settings))
+    wanted = wanted.join(sets.select("place", "at.id", "at.t1", "at.t2"), "place")
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), F.col(text)).alias("t2"), F.col(text).alias("text"))
     on = (F.col("w.t1") == F.col("d.t1")) & (F.col("w.t2") == F.col("d.t2")) & F.col("w.id").eqNullSafe(F.col("d.id"))
-    held = keep(texts.alias("d").join(wanted.alias("w"), on).select("place", "nbh", "size", "blocks", "block", "d.text"))
+    held = keep(texts.alias("d").join(wanted.alias("w"), on).select("place", "nbh", "size", "blocks", "block", "probe", "d.text"))
 
-    member = held.withColumn("probe", F.lit(False)).withColumn("known", F.col("place"))
+    member = held.withColumn("known", F.col("place"))
     columns = ["place", "nbh", "block", "probe", "known", "text"]
     several = member.where("blocks > 1")
     delegates = several.where(F.pmod(F.xxhash64(F.lit(7), F.col("place")), F.ceil(F.col("size") / settings.delegates)) == 0)

@@ -79,3 +79,40 @@ def test_one_of_each_group_stays(spark):
     assert len(left) == 4
     assert left[0].asDict().keys() == {"doc_id", "text"}
     assert shingle_join.near_duplicates(docs.limit(0)).count() == 0
+
+
+def scattered(seed):
+    """Texts of ten words of which many share one by chance, and a few near copies."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(600)]
+    texts = []
+    for k in range(240):
+        words = rng.sample(vocabulary, 10)
+        texts.append(" ".join(words))
+        for _ in range(2 if k % 12 == 0 else 0):
+            words[rng.randrange(10)] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("hot", [1, 3, 256])
+def test_texts_that_share_a_shingle_by_chance(spark, monkeypatch, hot):
+    rows, moved, verified = scattered(5), [], shingle_join._verified
+    monkeypatch.setattr(shingle_join, "_verified", lambda r, *a: moved.append(r.count()) or verified(r, *a))
+    settings = JoinSettings(words=1, percent=60, block=16, delegates=2, sketch_bits=16, hot=hot)
+    got = shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), settings)
+    assert sorted(got.select("doc_id", "n_shingles", "component_id").collect()) == sorted(brute(rows, 1, 60))
+    if hot == 256:
+        # such texts do not chain to one neighbourhood, whose blocks would each be sent all of them
+        assert sum(moved) < len(rows)
+
+
+def test_pairs_of_different_neighbourhoods_link(spark, monkeypatch):
+    """Neighbours only choose what is verified together: with none of them the groups are the same."""
+    rows = corpus(3)
+    alone = shingle_join._neighbourhoods
+    monkeypatch.setattr(shingle_join, "_neighbourhoods", lambda met, settings: alone(met, settings).where("size < 0"))
+    settings = JoinSettings(words=3, percent=70, block=8, sketch_bits=10, hot=1000)
+    got = shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), settings)
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=key) == sorted(brute(rows, 3, 70), key=key)
