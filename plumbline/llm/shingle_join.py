@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import by_bytes, components, keep, with_rest
+from plumbline.llm.base import by_bytes, components, keep, shuffles_freed, with_rest
 from plumbline.llm.suffix_dedup import MIX, ROLL, _powers
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -142,7 +142,7 @@ def frequency_sketch(docs: DataFrame, text: str, settings: JoinSettings) -> np.n
 
     fields = "slice int, counts binary"
     out = np.zeros(1 << bits, np.uint8)
-    for r in docs.select(text).mapInArrow(count, fields).repartition(slices, "slice").mapInArrow(add, fields).toLocalIterator():
+    for r in keep(docs.select(text).mapInArrow(count, fields).repartition(slices, "slice").mapInArrow(add, fields)).toLocalIterator():
         out[r["slice"] * part : (r["slice"] + 1) * part] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return frequency_classes(out)
 
@@ -340,15 +340,8 @@ def _across(pairs: DataFrame, settings: JoinSettings) -> DataFrame:
     return heads.unionAll(others)
 
 
-def near_duplicates(docs: DataFrame, settings: JoinSettings = JoinSettings(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, ``n_shingles``, ``component_id`` (the smallest id reachable by links) and
-    ``representative`` (whether the row is the one that stands for its group), ``t1`` and ``t2`` (hashes of the text).
-
-    Ids are integers. Null and empty texts, and texts without words, have no shingles and link with nothing: their component is
-    their own id and they stand for themselves. Rows with equal sets are one class, so copies are linked without pairs. A null id
-    never is a component's id unless all ids of the group are null. Rows that repeat with id and text stand together.
-    An empty table gives no rows.
-    """
+def _grouped(docs: DataFrame, settings: JoinSettings, id_column: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The described rows, the classes, and rows (node, root): the linked classes with the smallest one of their group."""
     # of a fixed size; sent once and read by every step
     classes = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, text, settings))
     described = keep(_described(docs, id_column, text, classes, settings))
@@ -383,7 +376,20 @@ def near_duplicates(docs: DataFrame, settings: JoinSettings = JoinSettings(), id
         probes = known.where("known <> largest").withColumn("probe", F.lit(True)).withColumn("side", F.pmod(F.xxhash64(F.lit(3), F.col("place")), F.col("sides")))
         probes = probes.withColumn("block", everywhere).withColumn("block", F.col("block") * F.col("sides") + F.col("side"))
         links = keep(links.unionAll(_verified(members.select(columns).unionAll(probes.select(columns)), classes, settings)))
-    groups = components(links)
+    return described, sets, components(links)
+
+
+def near_duplicates(docs: DataFrame, settings: JoinSettings = JoinSettings(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: the id, ``n_shingles``, ``component_id`` (the smallest id reachable by links) and
+    ``representative`` (whether the row is the one that stands for its group), ``t1`` and ``t2`` (hashes of the text).
+
+    Ids are integers. Null and empty texts, and texts without words, have no shingles and link with nothing: their component is
+    their own id and they stand for themselves. Rows with equal sets are one class, so copies are linked without pairs. A null id
+    never is a component's id unless all ids of the group are null. Rows that repeat with id and text stand together.
+    An empty table gives no rows.
+    """
+    with shuffles_freed(docs.sparkSession):
+        described, sets, groups = _grouped(docs, settings, id_column, text)
     named = sets.join(groups.select(F.col("node").alias("place"), "root"), "place", "left").withColumn("root", F.coalesce("root", "place"))
     heads = named.groupBy("root").agg(F.min("at").alias("head"))
     named = named.join(heads, "root").select("s1", "s2", "head")
@@ -406,7 +412,8 @@ def drop_near_duplicates(docs: DataFrame, settings: JoinSettings = JoinSettings(
     keys = ["__id", "__t1", "__t2"]
     stay = near_duplicates(docs, settings, id_column, text).where("representative")
     stay = stay.groupBy(F.col(id_column).cast("long").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
-    stay = keep(stay.agg(((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("__again")))
+    with shuffles_freed(docs.sparkSession):
+        stay = keep(stay.agg(((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("__again")))
     on = docs[id_column].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__t1")) & (F.xxhash64(F.lit(1), docs[text]) == F.col("__t2"))
     once = docs.join(stay.where("not __again"), on, "left_semi")
     again = docs.join(stay.where("__again"), on)

@@ -116,3 +116,17 @@ def test_pairs_of_different_neighbourhoods_link(spark, monkeypatch):
     got = shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), settings)
     key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=key) == sorted(brute(rows, 3, 70), key=key)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(setting, "false")
+    before = files()
+    rows = scattered(6)
+    named = shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), JoinSettings(words=1, percent=60, sketch_bits=16))
+    # only tests for emptiness, which move a row per task, leave files to the driver's garbage collection
+    left = {f.split("_")[1] for f in files() - before}
+    assert len(left) <= 6, left
+    assert spark.conf.get(setting) == "false"
+    assert named.count() == len(rows)
